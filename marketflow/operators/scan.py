@@ -109,6 +109,31 @@ def _attach(local: DataFrame, carried: DataFrame, scan: Lanes) -> DataFrame:
     return joined.drop("_cblock", *[f"_c_{c}" for c in scan.by])
 
 
+def _prefix_fold(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    value: str | Column,
+    out: str,
+    fold,
+    join_parts,
+    inclusive: bool,
+    bounded: bool,
+    gate: DataFrame | None,
+) -> DataFrame:
+    value = F.col(value) if isinstance(value, str) else value
+    scan = lanes(df.withColumn("_v", value), by, order, bounded=bounded, gate=gate)
+    frame = scan.window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = scan.df.withColumn("_local", fold("_v").over(frame))
+    if not scan.blocked:
+        return local.withColumn(out, join_parts(F.col("_local"), None)).drop("_local", "_v")
+    carried = _carry(scan.df, scan, fold("_v"), lambda own, w: fold(own).over(w))
+    joined = _attach(local, carried, scan)
+    return scan.finish(
+        joined.withColumn(out, join_parts(F.col("_local"), F.col("_in"))).drop("_local", "_in", "_v")
+    )
+
+
 def prefix_sum(
     df: DataFrame,
     by: Sequence[str],
@@ -124,17 +149,32 @@ def prefix_sum(
 
     ``order`` must be total inside a group. The first row of an exclusive sum gets 0.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    scan = lanes(df.withColumn("_v", value), by, order, bounded=bounded, gate=gate)
-    frame = scan.window().rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = scan.df.withColumn("_local", F.sum("_v").over(frame))
-    zero = F.lit(0)
-    if not scan.blocked:
-        return local.withColumn(out, F.coalesce(F.col("_local"), zero)).drop("_local", "_v")
-    carried = _carry(scan.df, scan, F.sum("_v"), lambda own, w: F.sum(own).over(w))
-    joined = _attach(local, carried, scan)
-    total = F.coalesce(F.col("_local"), zero) + F.coalesce(F.col("_in"), zero)
-    return scan.finish(joined.withColumn(out, total).drop("_local", "_in", "_v"))
+
+    def add(local: Column, carried: Column | None) -> Column:
+        zero = F.lit(0)
+        own = F.coalesce(local, zero)
+        return own if carried is None else own + F.coalesce(carried, zero)
+
+    return _prefix_fold(df, by, order, value, out, F.sum, add, inclusive, bounded, gate)
+
+
+def prefix_max(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    value: str | Column,
+    out: str,
+    *,
+    inclusive: bool = False,
+    bounded: bool = False,
+    gate: DataFrame | None = None,
+) -> DataFrame:
+    """Running maximum over earlier rows; NULL when there are none."""
+
+    def larger(local: Column, carried: Column | None) -> Column:
+        return local if carried is None else F.greatest(local, carried)
+
+    return _prefix_fold(df, by, order, value, out, F.max, larger, inclusive, bounded, gate)
 
 
 def row_rank(
@@ -214,3 +254,8 @@ def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, ran
     """
     window = Window.partitionBy(*by).orderBy(*order_columns(order))
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+
+
+def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """1-based position in one total order of all rows."""
+    return row_rank(df.withColumn("_all", F.lit(0)), ["_all"], order, out).drop("_all")
