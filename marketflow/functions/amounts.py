@@ -156,3 +156,59 @@ def ascii_currency_hex(label: Column) -> Column:
     """Label of 1 to 20 ASCII characters as the 40-digit currency code; NULL otherwise."""
     fits = (F.length(label) >= 1) & (F.length(label) <= 20) & label.rlike(r"^[\x00-\x7F]*$")
     return F.when(fits, F.rpad(F.upper(F.hex(label)), 40, "0"))
+
+
+def signed_sum(
+    left: tuple[Column, Column], right: tuple[Column, Column], sign: int, native: Column
+) -> Column:
+    """``left + sign * right`` of (units, exponent) pairs as ``struct<units, exponent>``.
+
+    The sum is formed exactly at the smaller exponent, then brought back to 16 digits half-even as
+    ledger arithmetic does; native amounts stay whole drops. When the exponents are too far apart to
+    align, the smaller operand is below the last digit of the larger one and drops out.
+    """
+    (lu, le), (ru, re) = left, right
+    base = F.least(F.when(lu != 0, le), F.when(ru != 0, re))
+    exact = F.try_add(aligned(lu, le, base), aligned(ru, re, base) * sign).cast(UNITS)
+    larger = F.when(le >= re, F.struct(lu.cast(UNITS).alias("units"), le.cast("int").alias("exponent"))).otherwise(
+        F.struct((ru * sign).cast(UNITS).alias("units"), re.cast("int").alias("exponent"))
+    )
+    plain = F.struct(
+        F.coalesce(exact, F.lit(0).cast(UNITS)).alias("units"), F.coalesce(base, F.lit(-6)).cast("int").alias("exponent")
+    )
+    nothing = (lu == 0) & (ru == 0)
+    rounded = F.when(nothing, zero_amount()).when(exact.isNull(), larger).otherwise(sixteen_digits(exact, base))
+    return F.when(native, plain).otherwise(rounded)
+
+
+def zero_amount() -> Column:
+    return F.struct(F.lit(0).cast(UNITS).alias("units"), F.lit(ZERO_EXPONENT).alias("exponent"))
+
+
+def sixteen_digits(units: Column, exponent: Column) -> Column:
+    """An exact integer at ``exponent`` as a 16-digit ``struct<units, exponent>``, half-even."""
+    size = F.abs(units)
+    n = F.length(size.cast("string"))
+    step = _pow10(n - MANTISSA_DIGITS)
+    down = (size - size % step) / step
+    quotient = F.floor(down).cast(UNITS)
+    rest = size % step
+    up = (rest * 2 > step) | ((rest * 2 == step) & (quotient % 2 == 1))
+    wide = quotient + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    full = F.lit(str(10**MANTISSA_DIGITS)).cast(UNITS)
+    carried = wide >= full
+    big = F.when(carried, F.lit(str(10 ** (MANTISSA_DIGITS - 1))).cast(UNITS)).otherwise(wide)
+    small = (size * _pow10(MANTISSA_DIGITS - n)).cast(UNITS)
+    sign = F.when(units < 0, F.lit(-1)).otherwise(F.lit(1))
+    return F.when(units == 0, zero_amount()).otherwise(
+        F.struct(
+            (F.when(n > MANTISSA_DIGITS, big).otherwise(small) * sign).cast(UNITS).alias("units"),
+            (exponent + (n - MANTISSA_DIGITS) + F.when((n > MANTISSA_DIGITS) & carried, F.lit(1)).otherwise(F.lit(0)))
+            .cast("int").alias("exponent"),
+        )
+    )
+
+
+def same_amount(left: Column, right: Column) -> Column:
+    """Equality of canonical amounts; zero has no exponent."""
+    return (left["units"] == right["units"]) & ((left["units"] == 0) | (left["exponent"] == right["exponent"]))
