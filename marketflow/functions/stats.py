@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketflow.functions.constants import ERROR_ABOVE, ERROR_BUCKETS, ERROR_UNDEFINED
 
@@ -48,7 +49,7 @@ def to_bps(value: Column) -> Column:
     return value * 10_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_tailed_p(t_stat: pd.Series) -> pd.Series:
     """Two-tailed p-value under the normal approximation; an infinite statistic gives 0."""
     return t_stat.map(lambda t: None if pd.isna(t) else math.erfc(abs(t) / math.sqrt(2.0)))

@@ -79,4 +79,4 @@ def require_columns(df: DataFrame, columns: list[str] | tuple[str, ...], source:
 
 
 def parsed(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+    return T.StructType.fromDDL(ddl)
