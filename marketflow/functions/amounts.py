@@ -4,6 +4,10 @@ A raw amount is union typed: a JSON string holds native drops, a JSON object hol
 ``{currency, issuer, value}``. Readers declare such fields as STRING, so an object arrives as its
 JSON text and a native amount as bare digits. Parsed amounts keep exact integers:
 ``value = units * 10^exponent`` with 16 significant digits for issued assets.
+
+The larger expressions are written as SQL text and take SQL text (a column name, a field path or an
+expression). ``_let`` binds an intermediate value through a one-element ``transform``, so it is
+computed once however often it is named.
 """
 
 from __future__ import annotations
@@ -23,102 +27,153 @@ from marketflow.functions.constants import (
 
 UNITS = "decimal(38,0)"
 VALUE = "decimal(38,18)"
-NUMBER = r"^[+-]?(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
-
-
-def _pow10(power: Column) -> Column:
-    """10^power as an exact integer for power in 0..37, else NULL."""
-    table = F.array(*[F.lit(str(10**i)).cast(UNITS) for i in range(38)])
-    return F.when((power >= 0) & (power <= 37), F.element_at(table, (power + 1).cast("int")))
+NUMBER = r"^[+-]?(\\d*)\\.?(\\d*)(?:[eE]([+-]?\\d+))?$"
+FULL, LEAST = f"{10**MANTISSA_DIGITS}BD", f"{10 ** (MANTISSA_DIGITS - 1)}BD"
+ZERO_SQL = f"named_struct('units', cast(0 as {UNITS}), 'exponent', {ZERO_EXPONENT})"
 
 
-def is_issued(raw: Column) -> Column:
-    return raw.startswith("{")
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def currency_of(raw: Column) -> Column:
-    return F.when(is_issued(raw), F.get_json_object(raw, "$.currency")).when(raw.isNotNull(), F.lit(NATIVE))
-
-
-def issuer_of(raw: Column) -> Column:
-    return F.when(is_issued(raw), F.get_json_object(raw, "$.issuer"))
+def _pow10(power: str) -> str:
+    """10^power as an exact integer for power in 0..37, else NULL."""
+    return f"try_cast(rpad('1', ({power}) + 1, '0') as {UNITS})"
 
 
-def value_text_of(raw: Column) -> Column:
-    return F.when(is_issued(raw), F.get_json_object(raw, "$.value"))
+def _pair(units: str, exponent: str) -> str:
+    return f"named_struct('units', cast({units} as {UNITS}), 'exponent', cast({exponent} as int))"
 
 
-def asset_key(raw: Column) -> Column:
-    """``currency:issuer`` with an empty issuer for the native asset."""
-    return F.concat_ws(":", currency_of(raw), F.coalesce(issuer_of(raw), F.lit("")))
+def sixteen_digits_sql(units: str, exponent: str) -> str:
+    """An exact integer at ``exponent`` as a 16-digit ``struct<units, exponent>``, half-even."""
+    n = MANTISSA_DIGITS
+    row = f"named_struct('size', cast(abs({units}) as {UNITS}), 'sign', cast(signum({units}) as int), 'e', {exponent})"
+    sized = "named_struct('d', s.size, 'sign', s.sign, 'e', s.e, 'n', length(cast(s.size as string)))"
+    # The leading digits are taken from the text: DECIMAL division would round.
+    cut = (
+        f"named_struct('head', try_cast(substring(cast(w.d as string), 1, {n}) as {UNITS}), "
+        f"'rest', cast(w.d % {_pow10(f'w.n - {n}')} as {UNITS}), 'step', {_pow10(f'w.n - {n}')})"
+    )
+    up = "c.rest * 2 > c.step or (c.rest * 2 = c.step and c.head % 2 = 1)"
+    rounded = f"cast(c.head + if({up}, 1, 0) as {UNITS})"
+    long = _pair(f"if(m >= {FULL}, {LEAST}, m) * w.sign", f"w.e + w.n - {n} + if(m >= {FULL}, 1, 0)")
+    short = _pair(f"try_multiply(w.d, {_pow10(f'{n} - w.n')}) * w.sign", f"w.e + w.n - {n}")
+    whole = (
+        f"case when w.d = 0 then {ZERO_SQL} when w.n <= {n} then {short} "
+        f"else {_let(cut, 'c', _let(rounded, 'm', long))} end"
+    )
+    return _let(row, "s", _let(sized, "w", whole))
 
 
-def canonical(text: Column) -> Column:
+def canonical_sql(text: str) -> str:
     """Decimal text as ``struct<units, exponent>``: 16 digits, half-even beyond, underflow to zero."""
-    text = F.trim(text)
-    whole, frac = F.regexp_extract(text, NUMBER, 1), F.regexp_extract(text, NUMBER, 2)
-    power = F.coalesce(F.regexp_extract(text, NUMBER, 3).try_cast("int"), F.lit(0)) - F.length(frac)
-    valid = text.rlike(NUMBER) & (F.length(F.concat(whole, frac)) > 0)
-    digits = F.regexp_replace(F.concat(whole, frac), "^0+", "")
-    n = F.length(digits)
-    head = F.rpad(F.substring(digits, 1, MANTISSA_DIGITS), MANTISSA_DIGITS, "0").try_cast(UNITS)
-    rest = digits.substr(F.lit(MANTISSA_DIGITS + 1), n)
-    half = F.rpad(F.lit("5"), F.greatest(F.length(rest), F.lit(1)), F.lit("0"))
-    up = (n > MANTISSA_DIGITS) & ((rest > half) | ((rest == half) & (head % 2 == 1)))
-    rounded = head + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    full = F.lit(str(10**MANTISSA_DIGITS)).cast(UNITS)
-    carried = rounded >= full
-    units = F.when(carried, F.lit(str(10 ** (MANTISSA_DIGITS - 1))).cast(UNITS)).otherwise(rounded)
-    exponent = power + n - MANTISSA_DIGITS + F.when(carried, F.lit(1)).otherwise(F.lit(0))
-    zero = (n == 0) | (exponent < EXPONENT_MIN)
-    sign = F.when(text.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    ok = valid & (zero | (exponent <= EXPONENT_MAX))
-    return F.when(
-        ok,
-        F.struct(
-            F.when(zero, F.lit(0)).otherwise(units * sign).cast(UNITS).alias("units"),
-            F.when(zero, F.lit(ZERO_EXPONENT)).otherwise(exponent).cast("int").alias("exponent"),
-        ),
+    part = lambda i: f"regexp_extract(t, '{NUMBER}', {i})"
+    parts = (
+        f"if(t rlike '{NUMBER}' and length({part(1)}) + length({part(2)}) > 0, named_struct("
+        f"'digits', regexp_replace(concat({part(1)}, {part(2)}), '^0+(?=.)', ''), "
+        f"'power', coalesce(try_cast({part(3)} as int), 0) - length({part(2)}), "
+        "'sign', if(startswith(t, '-'), '-', '')), null)"
+    )
+    # 38 digits are ample for rounding to 16; the dropped ones only move the exponent.
+    scaled = sixteen_digits_sql(
+        f"try_cast(concat(p.sign, substring(p.digits, 1, 38)) as {UNITS})", "p.power + greatest(length(p.digits) - 38, 0)"
     )
+    bounded = (
+        f"case when p is null then null when q.exponent < {EXPONENT_MIN} then {ZERO_SQL} "
+        f"when q.exponent <= {EXPONENT_MAX} then q end"
+    )
+    return _let(f"trim({text})", "t", _let(parts, "p", _let(scaled, "q", bounded)))
 
 
-def parse_amount(raw: Column) -> Column:
+def parse_sql(raw: str) -> str:
     """Raw amount as ``struct<currency, issuer, units, exponent, value, inexact>``; NULL when invalid.
 
     ``inexact`` marks an amount whose digits do not fit the DECIMAL(38,18) projection; exact work
     uses ``units`` and ``exponent``.
     """
-    number = canonical(value_text_of(raw))
-    issued = is_issued(raw)
-    units = F.when(issued, number["units"]).otherwise(raw.try_cast(UNITS))
-    exponent = F.when(issued, number["exponent"]).otherwise(F.lit(-6))
-    value = F.when(issued, value_text_of(raw).try_cast(VALUE)).otherwise(
-        F.try_divide(raw.try_cast("decimal(20,0)"), F.lit(1_000_000).cast("decimal(7,0)")).cast(VALUE)
+    opened = (
+        "named_struct('o', if(startswith(r, '{'), from_json(r, 'currency string, issuer string, value string'), null), "
+        "'drops', if(startswith(r, '{'), null, try_cast(r as decimal(20,0))))"
     )
-    lost = (exponent < -18) & (units % F.coalesce(_pow10(-18 - exponent), F.lit(1).cast(UNITS)) != 0)
-    inexact = value.isNull() | F.coalesce(lost, F.lit(False)) | (exponent < -55) & (units != 0)
-    return F.when(
-        units.isNotNull() & exponent.isNotNull(),
-        F.struct(
-            currency_of(raw).alias("currency"),
-            issuer_of(raw).alias("issuer"),
-            units.cast(UNITS).alias("units"),
-            exponent.cast("int").alias("exponent"),
-            value.alias("value"),
-            inexact.alias("inexact"),
-        ),
+    numbered = (
+        f"named_struct('currency', coalesce(x.o.currency, '{NATIVE}'), 'issuer', x.o.issuer, "
+        f"'n', case when x.drops is not null then {_pair('x.drops', '-6')} "
+        f"when x.o is not null then {canonical_sql('x.o.value')} end, "
+        f"'value', coalesce(try_cast(x.o.value as {VALUE}), cast(x.drops / cast(1000000 as decimal(7,0)) as {VALUE})))"
+    )
+    lost = f"y.n.exponent < -18 and coalesce(y.n.units % {_pow10('-18 - y.n.exponent')} <> 0, y.n.units <> 0)"
+    finished = (
+        "if(y.n is null, null, named_struct('currency', y.currency, 'issuer', y.issuer, 'units', y.n.units, "
+        f"'exponent', y.n.exponent, 'value', y.value, 'inexact', y.value is null or ({lost})))"
+    )
+    return _let(raw, "r", _let(opened, "x", _let(numbered, "y", finished)))
+
+
+def aligned_sql(units: str, exponent: str, base: str) -> str:
+    """Units rewritten at the smaller exponent ``base``; NULL when 38 digits are not enough."""
+    product = f"cast(try_multiply({units}, {_pow10(f'({exponent}) - ({base})')}) as {UNITS})"
+    return f"if({units} = 0, cast(0 as {UNITS}), {product})"
+
+
+def signed_sum_sql(left: str, right: str, sign: int, native: str) -> str:
+    """``left + sign * right`` of structs with (units, exponent) as ``struct<units, exponent>``.
+
+    The sum is formed exactly at the smaller exponent, then brought back to 16 digits half-even as
+    ledger arithmetic does; native amounts stay whole drops. When the exponents are too far apart to
+    align, the smaller operand is below the last digit of the larger one and drops out.
+    """
+    row = (
+        f"named_struct('a', cast({left}.units as {UNITS}), 'ae', {left}.exponent, "
+        f"'b', cast({right}.units * {sign} as {UNITS}), 'be', {right}.exponent, 'native', {native})"
+    )
+    based = "named_struct('g', g, 'base', least(if(g.a <> 0, g.ae, null), if(g.b <> 0, g.be, null)))"
+    exact = f"cast(try_add({aligned_sql('h.g.a', 'h.g.ae', 'h.base')}, {aligned_sql('h.g.b', 'h.g.be', 'h.base')}) as {UNITS})"
+    rounded = (
+        "case when h.g.a is null or h.g.b is null then null "
+        f"when h.base is null then if(h.g.native, {_pair('0', '-6')}, {ZERO_SQL}) "
+        f"when k is null then if(h.g.ae >= h.g.be, {_pair('h.g.a', 'h.g.ae')}, {_pair('h.g.b', 'h.g.be')}) "
+        f"when h.g.native then {_pair('k', 'h.base')} else {sixteen_digits_sql('k', 'h.base')} end"
     )
+    return _let(row, "g", _let(based, "h", _let(exact, "k", rounded)))
+
+
+def canonical(text: str) -> Column:
+    return F.expr(canonical_sql(text))
+
+
+def parse_amount(raw: str) -> Column:
+    return F.expr(parse_sql(raw))
+
+
+def signed_sum(left: str, right: str, sign: int, native: str) -> Column:
+    return F.expr(signed_sum_sql(left, right, sign, native))
 
 
 def number_double(units: Column, exponent: Column) -> Column:
     return units.cast("double") * F.pow(F.lit(10.0), exponent.cast("double"))
 
 
-def aligned(units: Column, exponent: Column, base: Column) -> Column:
-    """Units rewritten at the smaller exponent ``base``; NULL when 38 digits are not enough."""
-    return F.when(units == 0, F.lit(0).cast(UNITS)).otherwise(
-        F.try_multiply(units.cast(UNITS), _pow10(exponent - base)).cast(UNITS)
-    )
+def same_amount(left: str, right: str) -> Column:
+    """Equality of canonical amounts; zero has no exponent."""
+    return F.expr(f"{left}.units = {right}.units and ({left}.units = 0 or {left}.exponent = {right}.exponent)")
+
+
+def is_issued(raw: Column) -> Column:
+    return raw.startswith("{")
+
+
+def currency_of(raw: Column) -> Column:
+    return F.when(is_issued(raw), F.get_json_object(raw, "$.currency")).when(raw.isNotNull(), F.lit(NATIVE))
+
+
+def issuer_of(raw: Column) -> Column:
+    return F.when(is_issued(raw), F.get_json_object(raw, "$.issuer"))
+
+
+def asset_key(raw: Column) -> Column:
+    """``currency:issuer`` with an empty issuer for the native asset."""
+    return F.concat_ws(":", currency_of(raw), F.coalesce(issuer_of(raw), F.lit("")))
 
 
 def book_quality(directory: Column) -> Column:
@@ -137,13 +192,11 @@ def book_rate(directory: Column) -> Column:
     return mantissa * F.pow(F.lit(10.0), exponent.cast("double"))
 
 
-def round_to_tick(mantissa: Column, tick: Column) -> Column:
+def round_to_tick(mantissa: str, tick: str) -> Column:
     """Mantissa rounded up to ``tick`` significant digits; sizes of 16 and above leave it alone."""
-    step = F.coalesce(_pow10(MANTISSA_DIGITS - tick), F.lit(1).cast(UNITS))
-    raised = mantissa.cast(UNITS) + step - 1
-    return F.when(tick.isNull() | (tick >= MANTISSA_DIGITS), mantissa.cast(UNITS)).otherwise(
-        (raised - raised % step).cast(UNITS)
-    )
+    step = _pow10(f"{MANTISSA_DIGITS} - {tick}")
+    raised = _let(step, "s", f"cast({mantissa} + s - 1 - ({mantissa} + s - 1) % s as {UNITS})")
+    return F.expr(f"if({tick} is null or {tick} >= {MANTISSA_DIGITS}, cast({mantissa} as {UNITS}), {raised})")
 
 
 def spendable_drops(balance: Column, owner_count: Column) -> Column:
@@ -156,59 +209,3 @@ def ascii_currency_hex(label: Column) -> Column:
     """Label of 1 to 20 ASCII characters as the 40-digit currency code; NULL otherwise."""
     fits = (F.length(label) >= 1) & (F.length(label) <= 20) & label.rlike(r"^[\x00-\x7F]*$")
     return F.when(fits, F.rpad(F.upper(F.hex(label)), 40, "0"))
-
-
-def signed_sum(
-    left: tuple[Column, Column], right: tuple[Column, Column], sign: int, native: Column
-) -> Column:
-    """``left + sign * right`` of (units, exponent) pairs as ``struct<units, exponent>``.
-
-    The sum is formed exactly at the smaller exponent, then brought back to 16 digits half-even as
-    ledger arithmetic does; native amounts stay whole drops. When the exponents are too far apart to
-    align, the smaller operand is below the last digit of the larger one and drops out.
-    """
-    (lu, le), (ru, re) = left, right
-    base = F.least(F.when(lu != 0, le), F.when(ru != 0, re))
-    exact = F.try_add(aligned(lu, le, base), aligned(ru, re, base) * sign).cast(UNITS)
-    larger = F.when(le >= re, F.struct(lu.cast(UNITS).alias("units"), le.cast("int").alias("exponent"))).otherwise(
-        F.struct((ru * sign).cast(UNITS).alias("units"), re.cast("int").alias("exponent"))
-    )
-    plain = F.struct(
-        F.coalesce(exact, F.lit(0).cast(UNITS)).alias("units"), F.coalesce(base, F.lit(-6)).cast("int").alias("exponent")
-    )
-    nothing = (lu == 0) & (ru == 0)
-    rounded = F.when(nothing, zero_amount()).when(exact.isNull(), larger).otherwise(sixteen_digits(exact, base))
-    return F.when(native, plain).otherwise(rounded)
-
-
-def zero_amount() -> Column:
-    return F.struct(F.lit(0).cast(UNITS).alias("units"), F.lit(ZERO_EXPONENT).alias("exponent"))
-
-
-def sixteen_digits(units: Column, exponent: Column) -> Column:
-    """An exact integer at ``exponent`` as a 16-digit ``struct<units, exponent>``, half-even."""
-    size = F.abs(units)
-    n = F.length(size.cast("string"))
-    step = _pow10(n - MANTISSA_DIGITS)
-    down = (size - size % step) / step
-    quotient = F.floor(down).cast(UNITS)
-    rest = size % step
-    up = (rest * 2 > step) | ((rest * 2 == step) & (quotient % 2 == 1))
-    wide = quotient + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    full = F.lit(str(10**MANTISSA_DIGITS)).cast(UNITS)
-    carried = wide >= full
-    big = F.when(carried, F.lit(str(10 ** (MANTISSA_DIGITS - 1))).cast(UNITS)).otherwise(wide)
-    small = (size * _pow10(MANTISSA_DIGITS - n)).cast(UNITS)
-    sign = F.when(units < 0, F.lit(-1)).otherwise(F.lit(1))
-    return F.when(units == 0, zero_amount()).otherwise(
-        F.struct(
-            (F.when(n > MANTISSA_DIGITS, big).otherwise(small) * sign).cast(UNITS).alias("units"),
-            (exponent + (n - MANTISSA_DIGITS) + F.when((n > MANTISSA_DIGITS) & carried, F.lit(1)).otherwise(F.lit(0)))
-            .cast("int").alias("exponent"),
-        )
-    )
-
-
-def same_amount(left: Column, right: Column) -> Column:
-    """Equality of canonical amounts; zero has no exponent."""
-    return (left["units"] == right["units"]) & ((left["units"] == 0) | (left["exponent"] == right["exponent"]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marketflow.functions import amounts as A
 from marketflow.functions.constants import NATIVE
-from marketflow.operators.scan import next_row, prefix_last
+from marketflow.operators.scan import next_row, prefix_last, previous_row
 
 BEFORE_ALL = -1
 VALUE = "decimal(38,18)"
@@ -170,8 +170,6 @@ def carry_funding(log: DataFrame, boundary: DataFrame, key: list[str]) -> DataFr
     rows = moves.unionByName(start, allowMissingColumns=True)
     # An amount change is where a row's amounts differ from the row before it; funding is read from
     # the latest such row, which carries a struct of NULLs unless it is the boundary.
-    from marketflow.operators.scan import previous_row
-
     seen = previous_row(rows, keyed, ["transaction_index", "step"], ["_amounts"], "_prev", gate=rows)
     changed = ~F.col("_amounts").eqNullSafe(F.col("_prev._amounts")) | F.col("_prev").isNull()
     none = F.lit(None).cast("struct<owner_funds:string,taker_gets_funded:string,taker_pays_funded:string>")
@@ -247,11 +245,11 @@ def trust_lines(nodes: DataFrame) -> DataFrame:
     low, high = pre("LowLimit"), pre("HighLimit")
     before, after = pre("Balance"), F.coalesce(post("Balance"), pre("Balance"))
     currency = F.coalesce(A.currency_of(before), A.currency_of(low), A.currency_of(high))
-    return nodes.filter(F.col("body.LedgerEntryType") == "RippleState").select(
+    found = nodes.filter(F.col("body.LedgerEntryType") == "RippleState").select(
         "tx_hash", "ledger_index", "transaction_index", "step", "kind", currency.alias("currency"),
-        A.issuer_of(low).alias("low"), A.issuer_of(high).alias("high"),
-        A.parse_amount(before).alias("before"), A.parse_amount(after).alias("after"),
+        A.issuer_of(low).alias("low"), A.issuer_of(high).alias("high"), before.alias("_pre"), after.alias("_post"),
     ).filter("currency is not null and low is not null and high is not null")
+    return found.withColumns({"before": A.parse_amount("_pre"), "after": A.parse_amount("_post")}).drop("_pre", "_post")
 
 
 def funds_changes(meta: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def fit_histograms(compared: DataFrame, by: list[str]) -> DataFrame:
 def fit_moments(compared: DataFrame, by: list[str]) -> DataFrame:
     """Signed and unsigned moments per side over structure-matched rows."""
     rows = endpoint_errors(compared, by).filter("side <> 'max'")
-    kinds = F.array(F.struct(F.lit("signed").alias("kind"), F.col("signed").alias("err")), F.struct(F.lit("unsigned"), F.col("unsigned")))
+    kinds = F.array(F.struct(F.lit("signed").alias("kind"), F.col("signed").alias("err")), F.struct(F.lit("unsigned").alias("kind"), F.col("unsigned").alias("err")))
     return moments(rows.select(*by, "side", F.inline(kinds)), [*by, "side", "kind"], "err")
 
 

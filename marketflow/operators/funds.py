@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketflow.functions import amounts as A
 from marketflow.functions.constants import FEE_MAX, FEE_SCALE
 from marketflow.operators.scan import prefix_sum
 
@@ -151,13 +150,6 @@ def effective_fee(rows: DataFrame) -> DataFrame:
     )
 
 
-def published_funds(raw_funds: Column, gives: Column) -> Column:
-    """Published owner funds as amount text: drops for native offers, decimals otherwise."""
-    return F.when(A.is_issued(gives), A.canonical(raw_funds)).otherwise(
-        F.struct(raw_funds.try_cast(UNITS).alias("units"), F.lit(-6).alias("exponent"))
-    )
-
-
 def funds_by_account(offers: DataFrame, by: list[str]) -> DataFrame:
     """Accounts that publish an explicit funded amount on any offer."""
     funded = F.col("taker_gets_funded").isNotNull() | F.col("taker_pays_funded").isNotNull()

@@ -18,29 +18,15 @@ from marketflow.operators.book import affected_nodes, post, pre, trust_lines
 UNITS = "decimal(38,0)"
 
 
-def _transition(before: Column, after: Column, change: str | Column, source: str | Column, native: Column) -> Column:
-    """Leg side: taken amount with the balance before and after it."""
-    change = F.lit(change) if isinstance(change, str) else change
-    source = F.lit(source) if isinstance(source, str) else source
-    grown = A.signed_sum((after["units"], after["exponent"]), (before["units"], before["exponent"]), -1, native)
-    shrunk = A.signed_sum((before["units"], before["exponent"]), (after["units"], after["exponent"]), -1, native)
-    taken = F.when(change == "increase", grown).otherwise(shrunk)
-    return F.struct(
-        taken["units"].alias("units"),
-        taken["exponent"].alias("exponent"),
-        F.struct(before["units"].alias("units"), before["exponent"].alias("exponent")).alias("pre"),
-        F.struct(after["units"].alias("units"), after["exponent"].alias("exponent")).alias("post"),
-        change.alias("state_change"),
-        source.alias("state_source"),
-    )
-
-
-def _positive(amount: Column) -> Column:
-    return F.coalesce(amount["units"] > 0, F.lit(False))
-
-
-def _zeroed(amount: Column, when: Column) -> Column:
-    return F.when(when, amount.withField("units", F.lit(0).cast(UNITS))).otherwise(amount)
+def _transition(before: str, after: str, change: str, source: str, native: str) -> str:
+    """SQL of a leg side: the taken amount with the balance before and after it."""
+    low, high = (before, after) if change == "increase" else (after, before)
+    gap = A.signed_sum_sql(high, low, -1, native)
+    end = lambda x: f"named_struct('units', {x}.units, 'exponent', {x}.exponent)"
+    return A._let(gap, "z", (
+        f"named_struct('units', z.units, 'exponent', z.exponent, 'pre', {end(before)}, 'post', {end(after)}, "
+        f"'state_change', '{change}', 'state_source', '{source}')"
+    ))
 
 
 def real_offer_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
@@ -51,90 +37,68 @@ def real_offer_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
     movement is the leg, because it includes effects the offer fields do not show.
     """
     direction = intents.select("tx_hash", "in_currency", "out_currency")
-    nodes = affected_nodes(meta).join(direction, "tx_hash")
+    nodes = affected_nodes(meta)
     touched = nodes.filter(
         (F.col("body.LedgerEntryType") == "Offer")
         & F.col("kind").isin("modified", "deleted")
         & F.col("body.FinalFields").isNotNull()
         & F.col("body.PreviousFields").isNotNull()
     )
-    offers = touched.select(
-        "tx_hash", "kind", "in_currency", "out_currency",
-        F.col("body.LedgerIndex").alias("source_id"),
-        F.col("body.FinalFields.Account").alias("owner"),
-        A.parse_amount(pre("TakerGets")).alias("gets_pre"),
-        A.parse_amount(pre("TakerPays")).alias("pays_pre"),
-        A.parse_amount(F.col("body.FinalFields.TakerGets")).alias("gets_end"),
-        A.parse_amount(F.col("body.FinalFields.TakerPays")).alias("pays_end"),
-    ).filter((F.col("gets_pre.currency") == F.col("out_currency")) & (F.col("pays_pre.currency") == F.col("in_currency")))
-    gone = F.col("kind") == "deleted"
-    gets_end, pays_end = F.col("gets_end"), F.col("pays_end")
-    parsed = offers.select(
-        "*",
-        _zeroed(gets_end, gone & _positive(gets_end) & ~_positive(pays_end)).alias("gets_post"),
-        _zeroed(pays_end, gone & _positive(pays_end) & ~_positive(gets_end)).alias("pays_post"),
+    raw = touched.select(
+        "tx_hash", "kind", F.col("body.LedgerIndex").alias("source_id"), F.col("body.FinalFields.Account").alias("owner"),
+        pre("TakerGets").alias("_gp"), pre("TakerPays").alias("_pp"),
+        F.col("body.FinalFields.TakerGets").alias("_gf"), F.col("body.FinalFields.TakerPays").alias("_pf"),
     )
+    sides = raw.withColumns(
+        {
+            "_out_currency": A.currency_of(F.col("_gp")), "_out_issuer": A.issuer_of(F.col("_gp")),
+            "_in_currency": A.currency_of(F.col("_pp")), "_in_issuer": A.issuer_of(F.col("_pp")),
+        }
+    ).join(direction, "tx_hash")
+    sides = sides.filter("_out_currency = out_currency and _in_currency = in_currency")
     # Counted before the delta filter: every parsed offer of the owner claims the same trust line.
-    same_out = Window.partitionBy("tx_hash", "owner", "gets_pre.currency", "gets_pre.issuer")
-    same_in = Window.partitionBy("tx_hash", "owner", "pays_pre.currency", "pays_pre.issuer")
-    counted = parsed.withColumns(
-        {"_n_out": F.count(F.lit(1)).over(same_out), "_n_in": F.count(F.lit(1)).over(same_in)}
+    claim = lambda side: Window.partitionBy("tx_hash", "owner", f"_{side}_currency", f"_{side}_issuer")
+    counted = sides.withColumns({f"_n_{s}": F.count(F.lit(1)).over(claim(s)) for s in ("out", "in")})
+    parsed = counted.withColumns({name: A.parse_amount(name) for name in ("_gp", "_pp", "_gf", "_pf")})
+    zeroed = lambda own, other: F.expr(
+        f"named_struct('units', if(kind = 'deleted' and {own}.units > 0 and {other}.units <= 0, "
+        f"cast(0 as {UNITS}), {own}.units), 'exponent', {own}.exponent)"
     )
-    lines = _line_states(nodes.drop("in_currency", "out_currency"))
-
-    def line_for(side: str, currency: str, issuer: str) -> DataFrame:
-        return lines.select(
-            "tx_hash", F.col("account").alias("owner"), F.col("currency").alias(f"_{side}_currency"),
-            F.col("issuer").alias(f"_{side}_issuer"), F.struct("before", "after").alias(f"_{side}_line"),
-        )
-
-    keyed = counted.withColumns(
+    closed = parsed.withColumns({"_gf": zeroed("_gf", "_pf"), "_pf": zeroed("_pf", "_gf")})
+    natives = {s: f"{s}_currency = '{NATIVE}'" for s in ("out", "in")}
+    by_offer = closed.withColumns(
         {
-            "_out_currency": F.col("gets_pre.currency"), "_out_issuer": F.col("gets_pre.issuer"),
-            "_in_currency": F.col("pays_pre.currency"), "_in_issuer": F.col("pays_pre.issuer"),
+            "_offer_out": F.expr(_transition("_gp", "_gf", "decrease", "offer_node", natives["out"])),
+            "_offer_in": F.expr(_transition("_pp", "_pf", "decrease", "offer_node", natives["in"])),
         }
-    )
-    for side in ("out", "in"):
-        on = ["tx_hash", "owner", f"_{side}_currency", f"_{side}_issuer"]
-        keyed = keyed.join(line_for(side, on[2], on[3]), on, "left")
-
-    def moved(line: Column, falling: bool) -> Column:
-        delta = A.signed_sum(
-            (line["after"]["units"], line["after"]["exponent"]), (line["before"]["units"], line["before"]["exponent"]),
-            -1, F.lit(False),
-        )["units"]
-        return F.coalesce(delta < 0 if falling else delta > 0, F.lit(False))
-
-    native_out, native_in = F.col("out_currency") == NATIVE, F.col("in_currency") == NATIVE
-    by_line_out = (F.col("_n_out") == 1) & ~native_out & moved(F.col("_out_line"), True)
-    by_line_in = (F.col("_n_in") == 1) & ~native_in & moved(F.col("_in_line"), False)
-    offer_out = _transition(F.col("gets_pre"), F.col("gets_post"), "decrease", "offer_node", native_out)
-    offer_in = _transition(F.col("pays_pre"), F.col("pays_post"), "decrease", "offer_node", native_in)
-    line_out = _transition(F.col("_out_line.before"), F.col("_out_line.after"), "decrease", "account_delta", native_out)
-    line_in = _transition(F.col("_in_line.before"), F.col("_in_line.after"), "increase", "account_delta", native_in)
-    legs = keyed.filter((offer_out["units"] > 0) & (offer_in["units"] > 0))
-    return legs.select(
-        "tx_hash", F.lit("CLOB").alias("src"), "source_id", "owner",
-        F.when(by_line_out, line_out).otherwise(offer_out).alias("out"),
-        F.when(by_line_in, line_in).otherwise(offer_in).alias("in"),
-    )
+    ).drop("_gp", "_gf", "_pp", "_pf").filter("_offer_out.units > 0 and _offer_in.units > 0")
+    lines = _line_states(nodes)
+    for side, change in (("out", "decrease"), ("in", "increase")):
+        moved = lines.filter("rising" if change == "increase" else "not rising").select(
+            "tx_hash", F.col("account").alias("owner"), F.col("currency").alias(f"_{side}_currency"),
+            F.col("issuer").alias(f"_{side}_issuer"),
+            F.expr(_transition("before", "after", change, "account_delta", "false")).alias(f"_line_{side}"),
+        )
+        by_offer = by_offer.join(moved, ["tx_hash", "owner", f"_{side}_currency", f"_{side}_issuer"], "left")
+    pick = lambda s: F.expr(f"if(_n_{s} = 1 and _line_{s} is not null, _line_{s}, _offer_{s})").alias(s)
+    return by_offer.select("tx_hash", F.lit("CLOB").alias("src"), "source_id", "owner", pick("out"), pick("in"))
 
 
 def _line_states(nodes: DataFrame) -> DataFrame:
-    """Changed trust-line balances seen from both ends: (account, currency, issuer, before, after)."""
-    lines = trust_lines(nodes)
-    flip = lambda a: a.withField("units", (-a["units"]).cast(UNITS))
-    before, after = F.col("before"), F.col("after")
-    ends = F.array(
-        F.struct(F.col("low").alias("account"), F.col("high").alias("issuer"), before.alias("before"), after.alias("after")),
-        F.struct(F.col("high").alias("account"), F.col("low").alias("issuer"), flip(before).alias("before"), flip(after).alias("after")),
+    """Changed trust-line balances seen from both ends, with whether the end's balance rose."""
+    changed = trust_lines(nodes).filter("before is not null and after is not null").filter(~A.same_amount("before", "after"))
+    end = lambda x, sign: f"named_struct('units', cast({x}.units * {sign} as {UNITS}), 'exponent', {x}.exponent)"
+    side = lambda who, other, sign: (
+        f"named_struct('account', {who}, 'issuer', {other}, 'before', {end('before', sign)}, 'after', {end('after', sign)})"
     )
-    changed = lines.filter("before is not null and after is not null").filter(~A.same_amount(before, after))
-    seen = changed.select("tx_hash", "step", "currency", F.inline(ends))
+    ends = F.expr(f"inline(array({side('low', 'high', 1)}, {side('high', 'low', -1)}))")
+    seen = changed.select("tx_hash", "step", "currency", ends)
     last = F.max_by(F.struct("before", "after"), "step")
-    return seen.groupBy("tx_hash", "account", "currency", "issuer").agg(last.alias("s")).select(
+    latest = seen.groupBy("tx_hash", "account", "currency", "issuer").agg(last.alias("s")).select(
         "tx_hash", "account", "currency", "issuer", "s.before", "s.after"
     )
+    gap = A.signed_sum("after", "before", -1, "false")
+    return latest.withColumn("rising", gap["units"] > 0)
 
 
 def _pool_lines(nodes: DataFrame, pools: DataFrame) -> DataFrame:
@@ -142,9 +106,11 @@ def _pool_lines(nodes: DataFrame, pools: DataFrame) -> DataFrame:
     lines = trust_lines(nodes).join(pools, "tx_hash")
     low = F.col("low") == F.col("pool_account")
     mine = lines.filter(low | (F.col("high") == F.col("pool_account")))
-    sign = F.when(F.col("low") == F.col("pool_account"), F.lit(1)).otherwise(F.lit(-1))
-    turn = lambda a: a.withField("units", (a["units"] * sign).cast(UNITS))
-    return mine.withColumns({"before": turn(F.col("before")), "after": turn(F.col("after"))})
+    turned = lambda x: F.expr(
+        f"if({x} is null, null, named_struct('units', cast({x}.units * if(low = pool_account, 1, -1) as {UNITS}), "
+        f"'exponent', {x}.exponent, 'value', {x}.value * if(low = pool_account, 1, -1)))"
+    )
+    return mine.withColumns({"before": turned("before"), "after": turned("after")})
 
 
 def real_pool_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
@@ -164,22 +130,15 @@ def real_pool_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
     lines = _pool_lines(nodes, pools.select("tx_hash", "pool_account"))
     held = lines.filter((F.col("before.units") > 0) & (F.col("after.units") > 0))
     line = held.groupBy("tx_hash").agg(F.min_by(F.struct("before", "after"), "step").alias("l"))
-    joined = pools.join(line, "tx_hash").join(direction, "tx_hash")
-    native_first = F.col("in_currency") == NATIVE
-    yes, no = F.lit(True), F.lit(False)
-    moves = lambda b, a: b["units"] != a["units"]
-    both = moves(F.col("native_pre"), F.col("native_post")) & ~A.same_amount(F.col("l.before"), F.col("l.after"))
-
-    def side(change: str, native: bool) -> Column:
-        if native:
-            return _transition(F.col("native_pre"), F.col("native_post"), change, "pool_account", yes)
-        return _transition(F.col("l.before"), F.col("l.after"), change, "pool_line", no)
-
-    return joined.filter(both).select(
-        "tx_hash", F.lit("AMM").alias("src"), F.col("pool_account").alias("source_id"),
-        F.col("pool_account").alias("owner"),
-        F.when(native_first, side("decrease", False)).otherwise(side("decrease", True)).alias("out"),
-        F.when(native_first, side("increase", True)).otherwise(side("increase", False)).alias("in"),
+    joined = pools.join(line, "tx_hash").join(direction, "tx_hash").select("*", "l.before", "l.after")
+    moved = joined.filter("native_pre.units <> native_post.units").filter(~A.same_amount("before", "after"))
+    native_side = lambda change: _transition("native_pre", "native_post", change, "pool_account", "true")
+    line_side = lambda change: _transition("before", "after", change, "pool_line", "false")
+    first = f"in_currency = '{NATIVE}'"
+    return moved.select(
+        "tx_hash", F.lit("AMM").alias("src"), F.col("pool_account").alias("source_id"), F.col("pool_account").alias("owner"),
+        F.expr(f"if({first}, {line_side('decrease')}, {native_side('decrease')})").alias("out"),
+        F.expr(f"if({first}, {native_side('increase')}, {line_side('increase')})").alias("in"),
     )
 
 
@@ -306,16 +265,13 @@ def pair_legs(model: DataFrame, real: DataFrame) -> DataFrame:
     return right.join(grouped, [*LEG, "leg_rank"], "left")
 
 
-def _project(side: str, native: Column) -> Column:
+def _project(side: str) -> Column:
     """Balance after the faced model amounts, applied one by one with ledger rounding."""
-    start = F.struct(F.col(f"{side}.pre.units").cast(UNITS).alias("units"), F.col(f"{side}.pre.exponent").cast("int").alias("exponent"))
-    rising = F.col(f"{side}.state_change") == "increase"
-
-    def step(state: Column, leg: Column) -> Column:
-        here, there = (state["units"], state["exponent"]), (leg[side]["units"], leg[side]["exponent"])
-        return F.when(rising, A.signed_sum(here, there, 1, native)).otherwise(A.signed_sum(here, there, -1, native))
-
-    return F.aggregate("model_legs", start, step)
+    start = f"named_struct('units', cast(`{side}`.pre.units as {UNITS}), 'exponent', cast(`{side}`.pre.exponent as int))"
+    turn = f"named_struct('units', cast(v.`{side}`.units * if(`{side}`.state_change = 'increase', 1, -1) as {UNITS}), 'exponent', v.`{side}`.exponent)"
+    native = f"{side}_currency = '{NATIVE}'"
+    step = A._let(turn, "f", A.signed_sum_sql("u", "f", 1, native))
+    return F.expr(f"aggregate(model_legs, {start}, (u, v) -> {step})")
 
 
 def leg_totals(legs: DataFrame, side: str) -> DataFrame:
@@ -334,7 +290,8 @@ def _total_gaps(model: DataFrame, real: DataFrame) -> DataFrame:
     rows = long(model, 1).unionByName(long(real, -1))
     low = F.min(F.when(F.col("units") != 0, F.col("exponent"))).over(Window.partitionBy("tx_hash", "side"))
     placed = rows.withColumn("_base", F.coalesce(low, F.lit(0)))
-    exact = A.aligned(F.col("units"), F.col("exponent"), F.col("_base")) * F.col("sign")
+    placed = placed.withColumn("_exact", F.expr(A.aligned_sql("units", "exponent", "_base")) * F.col("sign"))
+    exact = F.col("_exact")
     value = A.number_double(F.col("units"), F.col("exponent"))
     sums = placed.groupBy("tx_hash", "side").agg(
         F.try_sum(exact.cast(UNITS)).alias("_gap"), F.bool_or(exact.isNull()).alias("_lost"), F.min("_base").alias("_base"),
@@ -360,20 +317,16 @@ def compare_legs(targets: DataFrame, model: DataFrame, real: DataFrame) -> DataF
     """
     directions = targets.select("tx_hash", "in_currency", "out_currency")
     paired = pair_legs(model, real).join(directions, "tx_hash")
-    gap, double = {}, {}
-    for side in ("in", "out"):
-        native = F.col(f"{side}_currency") == NATIVE
-        after = F.col(f"{side}.post")
-        gap[side] = _project(side, native)
-        double[side] = after
-    stepped = paired.withColumns({f"_{s}_projected": gap[s] for s in ("in", "out")})
-    checks = {}
+    stepped = paired.withColumns({f"_{s}_projected": _project(s) for s in ("in", "out")})
     for side in ("in", "out"):
-        projected, after = F.col(f"_{side}_projected"), double[side]
-        residual = A.signed_sum((projected["units"], projected["exponent"]), (after["units"], after["exponent"]), -1, F.lit(False))
-        checks[f"{side}_ok"] = F.coalesce(A.same_amount(projected, after), F.lit(False))
-        checks[f"{side}_residual"] = A.number_double(residual["units"], residual["exponent"])
-    tested = stepped.withColumns(checks)
+        residual = A.signed_sum(f"_{side}_projected", f"`{side}`.post", -1, "false")
+        stepped = stepped.withColumns(
+            {
+                f"{side}_ok": F.coalesce(A.same_amount(f"_{side}_projected", f"`{side}`.post"), F.lit(False)),
+                f"_{side}_gap": residual,
+            }
+        ).withColumn(f"{side}_residual", A.number_double(F.col(f"_{side}_gap.units"), F.col(f"_{side}_gap.exponent")))
+    tested = stepped
     place = lambda s, n: F.struct("src", "leg_id", "leg_rank", F.lit(n).alias("turn"))
     fails = F.least(F.when(~F.col("out_ok"), place("out", 0)), F.when(~F.col("in_ok"), place("in", 1)))
     per_tx = tested.groupBy("tx_hash").agg(

@@ -121,7 +121,10 @@ def reserve_range(swaps: DataFrame) -> DataFrame:
                     F.col("amm_asset_currency").alias("currency"),
                     F.col("amm_asset_balance_before").alias("balance"),
                 ),
-                F.struct(F.col("amm_asset2_currency"), F.col("amm_asset2_balance_before")),
+                F.struct(
+                    F.col("amm_asset2_currency").alias("currency"),
+                    F.col("amm_asset2_balance_before").alias("balance"),
+                ),
             )
         ),
     )

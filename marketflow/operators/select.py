@@ -120,14 +120,14 @@ def normalise_metadata(df: DataFrame) -> DataFrame:
 
 def resolve_ids(df: DataFrame) -> DataFrame:
     """Add (ledger_index, transaction_index, tx_hash) from the alternative places of a record."""
+    fields = df.schema["result"].dataType.fieldNames()
+    metas = [m for m in ("meta", "metaData") if m in fields]
     return df.withColumns(
         {
             "ledger_index": F.coalesce(
-                "result.ledger_index", "result.inLedger", "result.meta.ledger_index", "ledger_index"
-            ),
-            "transaction_index": F.coalesce(
-                "result.meta.TransactionIndex", "result.metaData.TransactionIndex"
+                "result.ledger_index", "result.inLedger", *[f"result.{m}.ledger_index" for m in metas], "ledger_index"
             ),
+            "transaction_index": F.coalesce(*[f"result.{m}.TransactionIndex" for m in metas]),
             "tx_hash": F.upper(F.coalesce("tx_hash", "result.hash")),
         }
     )
@@ -188,11 +188,16 @@ def build_intents(meta: DataFrame) -> DataFrame:
     payment, offer = kind == "PAYMENT", kind == "OFFERCREATE"
     flags = F.coalesce(r["Flags"], F.lit(0)).cast("bigint")
     deliver = F.coalesce(r["DeliverMax"], r["Amount"])
-    out_raw = F.when(payment, deliver).otherwise(r["TakerPays"])
+    raw = meta.filter(payment | offer).withColumns(
+        {
+            "_out": F.when(payment, deliver).otherwise(r["TakerPays"]),
+            "_in": F.when(payment, F.coalesce(r["SendMax"], deliver)).otherwise(r["TakerGets"]),
+            "_min": F.when(payment, r["DeliverMin"]),
+        }
+    )
     derived_issuer = F.when(A.is_issued(deliver), r["Account"])
-    in_raw = F.when(payment, F.coalesce(r["SendMax"], deliver)).otherwise(r["TakerGets"])
     paths = r["Paths"]
-    base = meta.filter(payment | offer).select(
+    base = raw.select(
         "tx_hash",
         "ledger_index",
         "transaction_index",
@@ -200,15 +205,15 @@ def build_intents(meta: DataFrame) -> DataFrame:
         flags.alias("flags"),
         r["Account"].alias("account"),
         r["date"].alias("close_seconds"),
-        A.parse_amount(in_raw).alias("in_amount"),
-        A.parse_amount(out_raw).alias("out_amount"),
-        A.currency_of(in_raw).alias("in_currency"),
-        F.when(payment & r["SendMax"].isNull(), derived_issuer).otherwise(A.issuer_of(in_raw)).alias("in_issuer"),
-        A.currency_of(out_raw).alias("out_currency"),
-        A.issuer_of(out_raw).alias("out_issuer"),
-        F.when(payment, A.parse_amount(r["DeliverMin"])).alias("min_amount"),
-        F.when(payment, r["DeliverMin"].isNotNull()).otherwise(F.lit(False)).alias("has_min"),
-        F.when(payment, A.asset_key(r["DeliverMin"])).alias("_min_asset"),
+        A.parse_amount("_in").alias("in_amount"),
+        A.parse_amount("_out").alias("out_amount"),
+        A.currency_of(F.col("_in")).alias("in_currency"),
+        F.when(payment & r["SendMax"].isNull(), derived_issuer).otherwise(A.issuer_of(F.col("_in"))).alias("in_issuer"),
+        A.currency_of(F.col("_out")).alias("out_currency"),
+        A.issuer_of(F.col("_out")).alias("out_issuer"),
+        A.parse_amount("_min").alias("min_amount"),
+        F.col("_min").isNotNull().alias("has_min"),
+        A.asset_key(F.col("_min")).alias("_min_asset"),
         (payment & L.has_flag(flags, PAYMENT_PARTIAL)).alias("partial_allowed"),
         (payment & L.has_flag(flags, PAYMENT_NO_DIRECT)).alias("no_direct"),
         (payment & L.has_flag(flags, PAYMENT_LIMIT_QUALITY)).alias("limit_quality"),

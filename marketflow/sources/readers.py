@@ -86,11 +86,14 @@ def parse_metadata(df: DataFrame, column: str) -> DataFrame:
     return df.select(record.alias("_r")).select("_r.*")
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
-    """Same-fill results under ``root/<pair>/results.ndjson``; the folder names the pair."""
-    raw = spark.read.schema(SAME_FILL).json(f"{root.rstrip('/')}/*/results.ndjson")
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/results\.ndjson$", 1)
-    return raw.select(F.url_decode(folder).alias("pair"), "*")
+def read_results(spark: SparkSession, root: str, files: str = "results.ndjson") -> DataFrame:
+    """Same-fill results in one folder per pair; the folder names the pair.
+
+    ``files`` is the file name or pattern inside a folder; a folder may be called ``pair=NAME``.
+    """
+    raw = spark.read.schema(SAME_FILL).json(f"{root.rstrip('/')}/*/{files}")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return raw.select(F.regexp_replace(F.url_decode(folder), "^pair=", "").alias("pair"), "*")
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
