@@ -322,7 +322,7 @@ def results(spark: SparkSession, root: str) -> DataFrame:
     fill = lambda i, o, spent, gain, bps, pool, book: _struct(
         input=i, output=o, spent_input=spent, improvement=gain, improvement_bps=bps,
         amm_input=f"if({pool}, {t('c', 2000)}, {zero})", amm_output=zero, clob_input=f"if({book}, {t('c', 2000)}, {zero})", clob_output=zero)
-    unit = lambda number: f"cast(cast(1 + cast({number} as decimal(10,0)) / cast(1000 as decimal(5,0)) as decimal(12,3)) as string)"
+    unit = lambda number: f"cast(cast(1 + cast({number} as decimal(10,0)) / cast(100000 as decimal(7,0)) as decimal(12,5)) as string)"
     slope = lambda number: f"cast(cast(1 + cast({number} as decimal(10,0)) / cast(100000 as decimal(7,0)) as decimal(12,5)) as string)"
     interval = lambda lo, hi, cost, a="null", b="null": _struct(
         interval_lo=lo, interval_hi=hi, clob_unit_cost=cost, clob_out_per_input=cost,

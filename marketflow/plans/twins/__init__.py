@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-from marketflow.plans.twins import activity, base, fits, ledger, market
+from marketflow.plans.twins import activity, base, fits, ledger, market, results, streams
 
-ALL = {**base.TWINS, **activity.TWINS, **market.TWINS, **ledger.TWINS, **fits.TWINS}
+ALL = {
+    **base.TWINS, **activity.TWINS, **market.TWINS, **ledger.TWINS, **fits.TWINS, **results.TWINS, **streams.TWINS
+}

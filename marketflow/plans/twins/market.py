@@ -145,7 +145,7 @@ def effective_fee(spark, root):
 
 def _line_offers(spark, root):
     li = D.table(spark, root, "lineitem")
-    price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("double") / 100
     tie = F.concat_ws("-", "l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     return li.select("l_partkey", F.col("l_quantity").alias("size"), price.alias("price"), tie.alias("tie"))
 
@@ -277,7 +277,7 @@ def amount_only(spark, root):
     return plain(FT.amount_only_range(o, ["pair"], "err", expected), 4)
 
 
-UNIT = "round(l_extendedprice / l_quantity, 2)"
+UNIT = "floor(l_extendedprice / l_quantity * 100) / 100"
 TIE = "l_orderkey || '-' || l_suppkey || '-' || l_linenumber || '-' || l_extendedprice"
 OFFERS = f"q AS (SELECT l_partkey, l_quantity size, {UNIT} price, {TIE} tie FROM lineitem), w AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY l_partkey ORDER BY price, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM q)"
 TICKS = "t0 AS (SELECT k // 10 li, 'I' || (u % 3) account, k, CASE WHEN c % 3 = 0 THEN NULL ELSE 3 + c % 13 END sz FROM o WHERE c % 97 < 10), tk AS (SELECT li, account, (max(struct_pack(k := k, sz := sz))).sz sz, true f FROM t0 GROUP BY 1, 2)"
