@@ -12,7 +12,7 @@ computed once however often it is named.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketflow.functions.constants import (
@@ -138,6 +138,16 @@ def signed_sum_sql(left: str, right: str, sign: int, native: str) -> str:
     return _let(row, "g", _let(based, "h", _let(exact, "k", rounded)))
 
 
+def computed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add SQL columns behind a one-row generator.
+
+    A later filter on such a column stays above it. Pushed through a projection, the filter would
+    carry a copy of the whole expression for every mention and evaluate each copy per row.
+    """
+    entries = ", ".join(f"'{name}', {text}" for name, text in columns.items())
+    return df.select("*", F.expr(f"inline(array(named_struct({entries})))"))
+
+
 def canonical(text: str) -> Column:
     return F.expr(canonical_sql(text))
 

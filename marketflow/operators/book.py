@@ -249,7 +249,7 @@ def trust_lines(nodes: DataFrame) -> DataFrame:
         "tx_hash", "ledger_index", "transaction_index", "step", "kind", currency.alias("currency"),
         A.issuer_of(low).alias("low"), A.issuer_of(high).alias("high"), before.alias("_pre"), after.alias("_post"),
     ).filter("currency is not null and low is not null and high is not null")
-    return found.withColumns({"before": A.parse_amount("_pre"), "after": A.parse_amount("_post")}).drop("_pre", "_post")
+    return A.computed(found, {"before": A.parse_sql("_pre"), "after": A.parse_sql("_post")}).drop("_pre", "_post")
 
 
 def funds_changes(meta: DataFrame) -> DataFrame:

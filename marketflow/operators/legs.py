@@ -59,19 +59,21 @@ def real_offer_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
     # Counted before the delta filter: every parsed offer of the owner claims the same trust line.
     claim = lambda side: Window.partitionBy("tx_hash", "owner", f"_{side}_currency", f"_{side}_issuer")
     counted = sides.withColumns({f"_n_{s}": F.count(F.lit(1)).over(claim(s)) for s in ("out", "in")})
-    parsed = counted.withColumns({name: A.parse_amount(name) for name in ("_gp", "_pp", "_gf", "_pf")})
-    zeroed = lambda own, other: F.expr(
+    parsed = A.computed(counted, {f"{name}a": A.parse_sql(name) for name in ("_gp", "_pp", "_gf", "_pf")})
+    zeroed = lambda own, other: (
         f"named_struct('units', if(kind = 'deleted' and {own}.units > 0 and {other}.units <= 0, "
         f"cast(0 as {UNITS}), {own}.units), 'exponent', {own}.exponent)"
     )
-    closed = parsed.withColumns({"_gf": zeroed("_gf", "_pf"), "_pf": zeroed("_pf", "_gf")})
+    closed = A.computed(parsed, {"_go": zeroed("_gfa", "_pfa"), "_po": zeroed("_pfa", "_gfa")})
     natives = {s: f"{s}_currency = '{NATIVE}'" for s in ("out", "in")}
-    by_offer = closed.withColumns(
-        {
-            "_offer_out": F.expr(_transition("_gp", "_gf", "decrease", "offer_node", natives["out"])),
-            "_offer_in": F.expr(_transition("_pp", "_pf", "decrease", "offer_node", natives["in"])),
-        }
-    ).drop("_gp", "_gf", "_pp", "_pf").filter("_offer_out.units > 0 and _offer_in.units > 0")
+    taken = {
+        "_offer_out": _transition("_gpa", "_go", "decrease", "offer_node", natives["out"]),
+        "_offer_in": _transition("_ppa", "_po", "decrease", "offer_node", natives["in"]),
+    }
+    by_offer = A.computed(closed, taken).filter("_offer_out.units > 0 and _offer_in.units > 0").select(
+        "tx_hash", "source_id", "owner", *[f"_{s}_{c}" for s in ("out", "in") for c in ("currency", "issuer")],
+        "_n_out", "_n_in", "_offer_out", "_offer_in",
+    )
     lines = _line_states(nodes)
     for side, change in (("out", "decrease"), ("in", "increase")):
         moved = lines.filter("rising" if change == "increase" else "not rising").select(
@@ -97,8 +99,8 @@ def _line_states(nodes: DataFrame) -> DataFrame:
     latest = seen.groupBy("tx_hash", "account", "currency", "issuer").agg(last.alias("s")).select(
         "tx_hash", "account", "currency", "issuer", "s.before", "s.after"
     )
-    gap = A.signed_sum("after", "before", -1, "false")
-    return latest.withColumn("rising", gap["units"] > 0)
+    gap = A.computed(latest, {"_gap": A.signed_sum_sql("after", "before", -1, "false")})
+    return gap.withColumn("rising", F.col("_gap.units") > 0).drop("_gap")
 
 
 def _pool_lines(nodes: DataFrame, pools: DataFrame) -> DataFrame:
@@ -106,11 +108,12 @@ def _pool_lines(nodes: DataFrame, pools: DataFrame) -> DataFrame:
     lines = trust_lines(nodes).join(pools, "tx_hash")
     low = F.col("low") == F.col("pool_account")
     mine = lines.filter(low | (F.col("high") == F.col("pool_account")))
-    turned = lambda x: F.expr(
+    turned = lambda x: (
         f"if({x} is null, null, named_struct('units', cast({x}.units * if(low = pool_account, 1, -1) as {UNITS}), "
         f"'exponent', {x}.exponent, 'value', {x}.value * if(low = pool_account, 1, -1)))"
     )
-    return mine.withColumns({"before": turned("before"), "after": turned("after")})
+    signed = A.computed(mine, {"_b": turned("before"), "_a": turned("after")}).drop("before", "after")
+    return signed.withColumnsRenamed({"_b": "before", "_a": "after"})
 
 
 def real_pool_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
@@ -265,13 +268,13 @@ def pair_legs(model: DataFrame, real: DataFrame) -> DataFrame:
     return right.join(grouped, [*LEG, "leg_rank"], "left")
 
 
-def _project(side: str) -> Column:
-    """Balance after the faced model amounts, applied one by one with ledger rounding."""
+def _project(side: str) -> str:
+    """SQL of the balance after the faced model amounts, applied one by one with ledger rounding."""
     start = f"named_struct('units', cast(`{side}`.pre.units as {UNITS}), 'exponent', cast(`{side}`.pre.exponent as int))"
     turn = f"named_struct('units', cast(v.`{side}`.units * if(`{side}`.state_change = 'increase', 1, -1) as {UNITS}), 'exponent', v.`{side}`.exponent)"
     native = f"{side}_currency = '{NATIVE}'"
     step = A._let(turn, "f", A.signed_sum_sql("u", "f", 1, native))
-    return F.expr(f"aggregate(model_legs, {start}, (u, v) -> {step})")
+    return f"aggregate(model_legs, {start}, (u, v) -> {step})"
 
 
 def leg_totals(legs: DataFrame, side: str) -> DataFrame:
@@ -317,15 +320,12 @@ def compare_legs(targets: DataFrame, model: DataFrame, real: DataFrame) -> DataF
     """
     directions = targets.select("tx_hash", "in_currency", "out_currency")
     paired = pair_legs(model, real).join(directions, "tx_hash")
-    stepped = paired.withColumns({f"_{s}_projected": _project(s) for s in ("in", "out")})
+    stepped = A.computed(paired, {f"_{s}_projected": _project(s) for s in ("in", "out")})
+    gaps = {f"_{s}_gap": A.signed_sum_sql(f"_{s}_projected", f"`{s}`.post", -1, "false") for s in ("in", "out")}
+    stepped = A.computed(stepped, gaps)
     for side in ("in", "out"):
-        residual = A.signed_sum(f"_{side}_projected", f"`{side}`.post", -1, "false")
-        stepped = stepped.withColumns(
-            {
-                f"{side}_ok": F.coalesce(A.same_amount(f"_{side}_projected", f"`{side}`.post"), F.lit(False)),
-                f"_{side}_gap": residual,
-            }
-        ).withColumn(f"{side}_residual", A.number_double(F.col(f"_{side}_gap.units"), F.col(f"_{side}_gap.exponent")))
+        exact = F.coalesce(A.same_amount(f"_{side}_projected", f"`{side}`.post"), F.lit(False))
+        stepped = stepped.withColumn(f"{side}_ok", exact).withColumn(f"{side}_residual", A.number_double(F.col(f"_{side}_gap.units"), F.col(f"_{side}_gap.exponent")))
     tested = stepped
     place = lambda s, n: F.struct("src", "leg_id", "leg_rank", F.lit(n).alias("turn"))
     fails = F.least(F.when(~F.col("out_ok"), place("out", 0)), F.when(~F.col("in_ok"), place("in", 1)))

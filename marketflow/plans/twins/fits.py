@@ -30,7 +30,7 @@ def pair_legs(spark, root):
 
 def leg_totals(spark, root):
     legs = real(spark, root)
-    return plain(LG.leg_totals(legs, "out").join(LG.leg_totals(legs, "in"), "tx_hash"), 4)
+    return plain(LG.leg_totals(legs, "out").join(LG.leg_totals(legs, "in"), "tx_hash"))
 
 
 def compare_legs(spark, root):
@@ -152,7 +152,7 @@ CEIL = lambda q: f"max(CASE WHEN pe IS NOT NULL AND rk = ceil((m - 1) * {q}) + 1
 TWINS = {
     "structure_match": (structure_match, sql(COMPARED, f"SELECT tx tx_hash, {n('nm')} model_leg_count, {n('nr')} real_leg_count, struct_ok structure_match, paired identity_match, true pairable, am AND NOT noam model_pool, true real_book FROM fc WHERE has")),
     "pair_legs": (pair_legs, sql(COMPARED, f", pl AS (SELECT rl.*, noob, noam, split FROM rl JOIN fc ON fc.tx = rl.tx) SELECT tx tx_hash, sid source_id, CAST(1 AS BIGINT) leg_rank, {n('CASE WHEN src = ' + chr(39) + 'AMM' + chr(39) + ' THEN 1 - CAST(noam AS INT) WHEN sid LIKE ' + chr(39) + 'OB%' + chr(39) + ' THEN CASE WHEN noob THEN 0 WHEN split THEN 2 ELSE 1 END ELSE 1 END')} faced FROM pl")),
-    "leg_totals": (leg_totals, sql(COMPARED, f"SELECT tx tx_hash, {r('ro', 4)} total_out, {r('ri', 4)} total_in FROM tot")),
+    "leg_totals": (leg_totals, sql(COMPARED, f"SELECT tx tx_hash, {r('ro')} total_out, {r('ri')} total_in FROM tot")),
     "compare_legs": (compare_legs, sql(COMPARED, f"SELECT tx tx_hash, strict strict_exact_match, struct_ok structure_match, inok in_side_exact_match, outok out_side_exact_match, missi = 0 total_in_match, ofs - misso = 0 total_out_match, {r('-missi')} total_in_diff, {r('ofs - misso')} total_out_diff, "
         "CASE WHEN paired AND off THEN 'CLOB' END first_failed_kind, CASE WHEN paired AND off THEN 'OA' || k END first_failed_id, CASE WHEN paired AND off THEN 'out' END failed_side, "
         "CASE WHEN strict THEN 'strict_exact_match' WHEN struct_ok THEN 'strict_failed_but_structure_matched' ELSE 'structure_mismatch' END fit_bucket FROM fc")),

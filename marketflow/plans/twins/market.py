@@ -160,7 +160,7 @@ def depth_fill(spark, root):
     offers = _line_offers(spark, root)
     ladder = LD.depth_ladder(offers, ["l_partkey"], ["price", "tie"], "size", gate=offers)
     wants = D.table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias("request"), (F.col("p_size") * 10).cast("double").alias("want"))
-    return plain(LD.fill_from_ladder(wants, ladder, ["l_partkey"], "request"), 3)
+    return plain(LD.fill_from_ladder(wants, ladder, ["l_partkey"], "request"))
 
 
 def pool_quote(spark, root):
@@ -321,7 +321,7 @@ TWINS = {
     "effective_fee": (effective_fee, sql(ORDERS, ", q AS (SELECT k, k % 10 lv, k % 4 turn FROM o), w AS (SELECT *, CASE WHEN turn <> 2 AND k % 11 = 0 THEN 'fee_currency_mismatch' WHEN turn = 3 AND lv > 0 THEN 'fee_not_explained' ELSE 'ok' END p FROM q) SELECT 'a' || k tx_hash, CASE WHEN p = 'ok' THEN CASE WHEN turn = 1 THEN lv * 10 ELSE lv * 100 END END fee_units, p fee_problem FROM w")),
     "depth_ladder": (depth_ladder, f"WITH {OFFERS} SELECT l_partkey, tie, {r('b')} AS before, {r('b + size')} AS after, {r('greatest(0, 60 - b - size)')} interval_lo, {r('least(60, 60 - b)')} interval_hi FROM w WHERE b < 60"),
     "depth_fill": (depth_fill, f"WITH {OFFERS}, q2 AS (SELECT p_partkey, p_size * 10.0 want FROM part), t AS (SELECT p_partkey, want, price, greatest(0, least(size, want - b)) tk FROM q2 JOIN w ON l_partkey = p_partkey), f AS (SELECT p_partkey, sum(tk) f, sum(tk * price) c, count(*) n, max(price) wp FROM t WHERE tk > 0 GROUP BY 1) "
-        f"SELECT q2.p_partkey request, {r('want', 3)} want, {r('coalesce(f, 0)', 3)} filled, {r('coalesce(c, 0)', 3)} AS cost, {r('c / f', 3)} avg_price, coalesce(n, 0) offers_used, {r('wp', 3)} worst_price, coalesce(f, 0) < want is_partial FROM q2 LEFT JOIN f ON f.p_partkey = q2.p_partkey"),
+        f"SELECT q2.p_partkey request, {r('want')} want, {r('coalesce(f, 0)')} filled, {r('coalesce(c, 0)')} AS cost, {r('c / f')} avg_price, coalesce(n, 0) offers_used, {r('wp')} worst_price, coalesce(f, 0) < want is_partial FROM q2 LEFT JOIN f ON f.p_partkey = q2.p_partkey"),
     "pool_quote": (pool_quote, sql(ORDERS, ", q AS (SELECT k, CAST(c * 100 AS DOUBLE) x, CAST(u + 1 AS DOUBLE) y, CAST(c % 5000 AS DOUBLE) ai, CAST((u + 1) * (k % 11) AS DOUBLE) / 10 ao, 1 - CAST(k % 1001 AS DOUBLE) / 100000 g FROM o) "
         f"SELECT k, {r('CASE WHEN ai > 0 THEN greatest(y - x * y / (x + ai * g), 0) ELSE 0 END', 3)} quoted_out, {r('CASE WHEN ao > 0 AND ao < y THEN greatest((x * y / (y - ao) - x) / g, 0) ELSE 0 END', 3)} quoted_in, {r('x / y', 3)} spot_price FROM q")),
     "pool_quote_asof": (pool_quote_asof, sql(ORDERS, ", s AS (SELECT 'T' || (u % 7) t, k, CAST(c AS DOUBLE) x, CAST(c * 2 AS DOUBLE) y FROM o WHERE k % 3 = 0), a AS (SELECT k, 'T' || (u % 7) t, CAST(c % 1000 AS DOUBLE) ai FROM o WHERE k % 3 <> 0) "
