@@ -72,7 +72,7 @@ def canonical_sql(text: str) -> str:
     parts = (
         f"if(t rlike '{NUMBER}' and length({part(1)}) + length({part(2)}) > 0, named_struct("
         f"'digits', regexp_replace(concat({part(1)}, {part(2)}), '^0+(?=.)', ''), "
-        f"'power', coalesce(try_cast({part(3)} as int), 0) - length({part(2)}), "
+        f"'power', if({part(3)} = '', 0, coalesce(try_cast({part(3)} as int), 0)) - length({part(2)}), "
         "'sign', if(startswith(t, '-'), '-', '')), null)"
     )
     # 38 digits are ample for rounding to 16; the dropped ones only move the exponent.
@@ -181,6 +181,11 @@ def issuer_of(raw: Column) -> Column:
     return F.when(is_issued(raw), F.get_json_object(raw, "$.issuer"))
 
 
+def drops_of(raw: Column) -> Column:
+    """Native drops of a raw amount; NULL for an issued one, without trying to read its text."""
+    return F.when(~is_issued(raw), raw.try_cast("bigint"))
+
+
 def asset_key(raw: Column) -> Column:
     """``currency:issuer`` with an empty issuer for the native asset."""
     return F.concat_ws(":", currency_of(raw), F.coalesce(issuer_of(raw), F.lit("")))

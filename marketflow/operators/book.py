@@ -262,7 +262,7 @@ def funds_changes(meta: DataFrame) -> DataFrame:
     ids = ["tx_hash", "ledger_index", "transaction_index", "step"]
     roots = nodes.filter(F.col("body.LedgerEntryType") == "AccountRoot")
     gone = F.col("kind") == "deleted"
-    left = F.greatest(A.spendable_drops(post("Balance").try_cast("bigint"), post("OwnerCount")), F.lit(0))
+    left = F.greatest(A.spendable_drops(A.drops_of(post("Balance")), post("OwnerCount")), F.lit(0))
     native = roots.select(
         *ids, F.coalesce(post("Account"), pre("Account")).alias("account"), F.lit(NATIVE).alias("currency"),
         F.lit("").alias("issuer"), F.when(gone, F.lit(0)).otherwise(left).cast(VALUE).alias("funds"),
@@ -326,7 +326,7 @@ def tx_pre_funds(meta: DataFrame) -> DataFrame:
     ).filter("offer_id is not null and account is not null and currency is not null")
     roots = nodes.filter(F.col("body.LedgerEntryType") == "AccountRoot").select(
         "tx_hash", "step", pre("Account").alias("account"), F.lit(NATIVE).alias("currency"), F.lit("").alias("issuer"),
-        A.spendable_drops(pre("Balance").try_cast("bigint"), pre("OwnerCount")).cast(VALUE).alias("funds"),
+        A.spendable_drops(A.drops_of(pre("Balance")), pre("OwnerCount")).cast(VALUE).alias("funds"),
     ).filter("account is not null and funds > 0")
     lines = trust_lines(nodes)
     value = F.col("before.value")

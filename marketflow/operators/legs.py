@@ -123,7 +123,7 @@ def real_pool_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
     )
     nodes = affected_nodes(meta)
     pool_id = F.coalesce("body.PreviousFields.AMMID", "body.FinalFields.AMMID", "body.NewFields.AMMID")
-    raw = lambda c: F.struct(c.try_cast(UNITS).alias("units"), F.lit(-6).alias("exponent"))
+    raw = lambda c: F.struct(A.drops_of(c).cast(UNITS).alias("units"), F.lit(-6).alias("exponent"))
     roots = nodes.filter((F.col("body.LedgerEntryType") == "AccountRoot") & pool_id.isNotNull()).select(
         "tx_hash", "step", F.coalesce(post("Account"), pre("Account")).alias("pool_account"),
         raw(pre("Balance")).alias("native_pre"), raw(post("Balance")).alias("native_post"),
@@ -159,7 +159,7 @@ def pool_pre_state(meta: DataFrame, swaps: DataFrame) -> DataFrame:
     expected = swaps.select("tx_hash", "amm_account", "token_currency", F.coalesce("token_issuer", F.lit("")).alias("token_issuer"))
     roots = nodes.filter(F.col("body.LedgerEntryType") == "AccountRoot").select(
         "tx_hash", "step", F.coalesce(post("Account"), pre("Account")).alias("pool_account"),
-        pre("Balance").try_cast("bigint").alias("native_reserve"), pool_id.alias("_id"),
+        A.drops_of(pre("Balance")).alias("native_reserve"), pool_id.alias("_id"),
     ).join(expected, "tx_hash")
     named = F.col("pool_account") == F.col("amm_account")
     usable = roots.filter((F.col("_id").isNotNull() | named) & F.col("pool_account").isNotNull() & F.col("native_reserve").isNotNull())
@@ -189,7 +189,7 @@ def source_funds(meta: DataFrame, intents: DataFrame) -> DataFrame:
     ).join(intents.select("tx_hash", "in_currency", "in_issuer", "in_amount"), "tx_hash")
     nodes = affected_nodes(meta)
     roots = nodes.filter(F.col("body.LedgerEntryType") == "AccountRoot").select(
-        "tx_hash", "step", pre("Account").alias("account"), pre("Balance").try_cast("bigint").alias("balance"),
+        "tx_hash", "step", pre("Account").alias("account"), A.drops_of(pre("Balance")).alias("balance"),
         F.coalesce(pre("OwnerCount"), F.lit(0)).alias("owners"),
     ).filter("balance is not null")
     native = roots.join(who.filter(F.col("in_currency") == NATIVE), ["tx_hash", "account"])

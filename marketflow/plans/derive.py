@@ -21,7 +21,7 @@ from marketflow.operators.select import (
     prediction_roles,
     resolve_ids,
 )
-from marketflow.session import ensure_checkpoint_dir
+from marketflow.session import ensure_checkpoint_dir, shuffle_partitions
 from marketflow.sources.readers import normalise_legs, normalise_swaps, read_metadata
 
 
@@ -249,10 +249,16 @@ def _record() -> str:
     return f"""concat('{{"status":"ok","result":', {result}, '}}')"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out before each grows about a hundredfold: a small file is one scan task."""
+    spark = df.sparkSession
+    return df.repartition(max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism), "k")
+
+
 def metadata_text(spark: SparkSession, root: str) -> DataFrame:
     """One metadata record per order as JSON text with eight affected nodes."""
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    named = orders(spark, root).withColumns({n: F.expr(e) for n, e in METADATA_COLUMNS.items()})
+    named = spread(orders(spark, root)).withColumns({n: F.expr(e) for n, e in METADATA_COLUMNS.items()})
     return named.withColumn("seconds", seconds).select("k", F.expr(_record()).alias("value"))
 
 
@@ -359,7 +365,7 @@ def results(spark: SparkSession, root: str) -> DataFrame:
             status="case when k % 10 < 7 then 'strict_exact_match' when k % 10 = 7 then 'structure_match_endpoint_residual' else 'structure_mismatch' end",
             strict_exact_match="k % 10 < 7") + ")",
     }
-    return orders(spark, root).select(*[F.expr(e).alias(n) for n, e in expressions.items()])
+    return spread(orders(spark, root)).select(*[F.expr(e).alias(n) for n, e in expressions.items()])
 
 
 # --- model legs -----------------------------------------------------------------------------------
@@ -367,7 +373,7 @@ def results(spark: SparkSession, root: str) -> DataFrame:
 
 def model_legs(spark: SparkSession, root: str) -> DataFrame:
     """Model legs near the realised ones: some amounts off, some legs missing, some split in two."""
-    named = orders(spark, root).withColumns({n: F.expr(e) for n, e in METADATA_COLUMNS.items()})
+    named = spread(orders(spark, root)).withColumns({n: F.expr(e) for n, e in METADATA_COLUMNS.items()})
     direct = named.filter("(pay and k % 3 <> 0) or (offer and (k div 20) % 4 <> 3)")
     cur = lambda number: _issued(_fixed(number, 10_000))
     leg = lambda no, src, sid, when, out_n, out_i, in_n, in_i: (

@@ -72,12 +72,11 @@ def read_metadata(spark: SparkSession, path: str | Sequence[str], *, on_bad: str
     paths = [path] if isinstance(path, str) else list(path)
     if on_bad == "fail":
         return spark.read.schema(METADATA).option("mode", "FAILFAST").json(paths)
-    return (
-        spark.read.schema(f"{METADATA}, {CORRUPT} string")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(paths)
-    )
+    # Parsed from text, because the JSON source cannot answer a query that reads only the corrupt column.
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    record = F.from_json("value", parsed(f"{METADATA}, {CORRUPT} string"), options)
+    lines = spark.read.text(paths).filter(F.trim("value") != "")
+    return lines.select(record.alias("_r")).select("_r.*")
 
 
 def parse_metadata(df: DataFrame, column: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_book_directory(spark):
 
 
 def test_tick_rounding_goes_up(spark):
-    df = spark.createDataFrame([(1234567890123456, 5), (1234500000000000, 5), (1234567890123456, 16), (1234567890123456, None)], "m decimal(38,0), t int")
+    df = spark.createDataFrame([(1234567890123456, 5), (1234500000000000, 5), (1234567890123456, 16), (1234567890123456, None)], "m bigint, t int")
     assert [int(r[0]) for r in df.select(A.round_to_tick("m", "t")).collect()] == [1234600000000000, 1234500000000000, 1234567890123456, 1234567890123456]
 
 
