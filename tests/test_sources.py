@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from marketflow.sources import readers as R
@@ -68,7 +67,7 @@ def test_bad_metadata_lines(spark, tmp_path):
     assert (ok.count(), [r["reject_reason"] for r in bad.collect()]) == (1, ["malformed"])
     row = ok.first()["result"]
     assert json.loads(row["TakerGets"])["value"] == "1" and row["TakerPays"] == "5"
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="MALFORMED_RECORD|Malformed"):
         R.read_metadata(spark, path).collect()
 
 
