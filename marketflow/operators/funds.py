@@ -68,7 +68,7 @@ def funded_caps(book: DataFrame, account_offers: DataFrame, *, key: list[str]) -
     all the account's offers of that asset. Sizes and funds are integer units. An account's offer
     list is one snapshot record, so the gathered list is no larger than its input record.
     """
-    owner = book.filter("funds is not null").groupBy(*key).agg(F.first("funds").alias("funds"))
+    owner = book.filter("funds is not null").groupBy(*key).agg(F.min_by("funds", "sequence").alias("funds"))
     listed = book.select(*key, "sequence", F.col("size").alias("book_size"))
     offers = account_offers.join(listed, [*key, "sequence"], "left")
     row = F.struct(
