@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketflow.llm import bpe, token_files
+from marketflow.llm import bpe, minhash, secret_scan, token_files
 from marketflow.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,12 +18,22 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read(spark, folder))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
+    "op2_secrets": op2_secrets,
+    "op6_minhash": op6_minhash,
     "op8_bpe": op8_bpe,
 }
 ORACLES: dict[str, str] = {}
