@@ -193,7 +193,11 @@ def report(docs: DataFrame) -> DataFrame:
     """Per document: base spans by kind, a digest of them, and all spans."""
     spans = F.col("secret_spans")
     found = scan(docs.select("doc_id", "text")).select("doc_id", "secret_spans")
-    counts = [F.size(F.filter(spans, lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(BASE)]
+
+    def count(order: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["order"] == order)).cast("long")
+
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(BASE)]
     digest = F.sha2(described(F.filter(spans, lambda s: s["order"] < len(BASE))), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, described(spans).alias("spans"))
 
