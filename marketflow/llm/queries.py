@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketflow.llm import bpe, minhash, secret_scan, token_files
+from marketflow.llm import bpe, forest, minhash, pivots, secret_scan, token_files, url_rules
 from marketflow.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,14 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.link(table(spark, sf_dir, "embeddings"))
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages")).drop("url", "reason")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -30,6 +39,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 OP6_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -49,8 +62,11 @@ FROM documents d LEFT JOIN sizes z ON d.doc_id = z.doc_id JOIN lowest l ON d.doc
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_secrets": op2_secrets,
+    "op4_forest": op4_forest,
+    "op5_url_rules": op5_url_rules,
     "op6_minhash": op6_minhash,
     "op8_bpe": op8_bpe,
+    "op10_pivots": op10_pivots,
 }
 ORACLES: dict[str, str] = {
     "op6_minhash": OP6_SQL,
