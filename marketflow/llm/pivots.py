@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from marketflow.llm.common import land
 
 # The pivots are a bounded sample of the vectors; every vector is indexed.
-MIN_PIVOTS, MAX_PIVOTS = 32, 4096
-PIVOTS_PER_ROOT = 4.0
-PREFIX = 24
-POSTED = 12
+MIN_PIVOTS, MAX_PIVOTS = 64, 4096
+PIVOTS_PER_ROOT = 2.0
+PREFIX = 64
+POSTED = 16
 RERANKED = 400
 FILE_ROWS = 8_192  # vectors of one part of an inverted file
 
@@ -55,7 +55,7 @@ def permutations(vectors: DataFrame, vector: str, pivots: np.ndarray, prefix: in
     """Add ``pivots``: the indexes of the nearest pivots, nearest first, ties to the smaller index."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
     length = min(prefix, len(pivots))
-    schema = vectors.withColumn("pivots", F.array(F.lit(0))).schema
+    schema = vectors.withColumn("pivots", F.array(F.lit(0).cast("short"))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +66,7 @@ def permutations(vectors: DataFrame, vector: str, pivots: np.ndarray, prefix: in
                 top = np.argpartition(-near, length - 1, axis=1)[:, :length]
                 top.sort(axis=1)
                 orders.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1))
-            flat = np.concatenate(orders).astype(np.int32) if orders else np.zeros((0, length), np.int32)
+            flat = np.concatenate(orders).astype(np.int16) if orders else np.zeros((0, length), np.int16)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, length, dtype=np.int32)), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "pivots"])
 
@@ -88,13 +88,13 @@ def footrule(query: np.ndarray, candidates: np.ndarray, pivots: int) -> np.ndarr
 def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", reranked: int = RERANKED) -> DataFrame:
     """The ``k`` nearest found of every row that ``queries`` selects: ``query_id``, ``rank``, ``vec_id``, ``score`` (cosine).
 
-    ``queries`` is a condition on ``vec_id`` (the key, as long) and ``v`` (the vector, as doubles).
+    ``queries`` is a condition on ``vec_id`` (the key, as long) and ``v`` (the vector).
     Unusable vectors (null, zero, null or non-finite components) take no part, as queries and as candidates. A query is no
     candidate of itself. Rows that repeat a key count once (the first by its vector). A query with fewer than ``k`` candidates
     in its files is compared with all vectors, in blocks, so it gets all there are. Inverted files are cut into parts of a
     bounded number of rows, so a pivot to which a third of all vectors are close is dealt to many tasks.
     """
-    rows = vectors.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
     total = rows.count()
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -120,7 +120,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         ids = frame["vec_id"].to_numpy()
         orders = np.stack(frame["pivots"].to_numpy())
-        values = np.stack(frame["v"].to_numpy())
+        values = np.stack(frame["v"].to_numpy()).astype(np.float64)
         lengths = np.sqrt((values**2).sum(axis=1))
         own, own_orders, own_values, own_lengths = ids[~asks], orders[~asks], values[~asks], lengths[~asks]
         out = []
@@ -158,7 +158,7 @@ def _in_blocks(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame["asks"].to_numpy()
-        ids, values = frame["vec_id"].to_numpy(), np.stack(frame["v"].to_numpy())
+        ids, values = frame["vec_id"].to_numpy(), np.stack(frame["v"].to_numpy()).astype(np.float64)
         lengths = np.sqrt((values**2).sum(axis=1))
         own = np.flatnonzero(~asks)
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
