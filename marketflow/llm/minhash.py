@@ -4,9 +4,10 @@ Two random permutations of ``0..UNIVERSE-1`` give all signature coordinates: the
 second, circularly shifted by k, gives coordinate k. For one shingle the coordinates are therefore one contiguous slice of the
 second permutation, and a signature is the minimum over such slices.
 
-Links between different texts are found by banding, and every link is confirmed on the full shingle sets of both texts. Only
-connectivity is needed for the result, so members of a bucket are first compared with hubs of the bucket; what is connected
-through a hub needs no pair of its own, and all pairs still unconnected after the hubs are compared, however many there are.
+Links between different texts are found by banding, and every link is confirmed on full shingle sets. A bucket's members are not
+compared pair by pair on their texts: each is compared with the bucket's hub, the member that shares most buckets. What remains of
+a member is its difference from the hub; two members' sets differ by exactly the symmetric difference of their differences, so
+all their links follow from these small sets, through an inverted index over the differing shingles, without emitting a pair.
 """
 
 from __future__ import annotations
@@ -14,16 +15,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketflow.llm.common import components, land, mix64
-from marketflow.session import checkpoint
 
 UNIVERSE = 1 << 20
 COORDINATES = 128
-HUB_ROUNDS = 2
+BLOCK_SHINGLES, BLOCK_MEMBERS = 4_000_000, 20_000  # of one side of a comparison task within a hub's group
 SEED = 20
 # Odd multiplier of the polynomial hash over bytes, and its inverse modulo 2**64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -107,27 +108,89 @@ def signatures(docs: DataFrame, n: int, threshold: float, coordinates: int = COO
     return keyed.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes whose full sets have 100 * intersection >= percent * union; ``texts`` has ``node``, ``text``.
+def differences(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Every pair (``hub``, ``node``) compared on full sets: ``size``, ``linked`` and ``delta``, the shingles of only one of both.
 
-    Each text travels once per pair in which its node is the second member, next to the hub's; a task holds a batch of pairs.
+    ``linked``: 100 * intersection >= percent * union. ``delta`` is kept where the hub has several members (``several``).
+    A task holds a batch of pairs of texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
-            keep = []
-            for a, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True):
-                if a != last:
-                    last, left = a, shingle_hashes(text_a, n)
+            sizes, linked, deltas = [], [], []
+            for hub, several, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("hub", "several", "text_a", "text_b")), strict=True):
+                if hub != last:
+                    last, left = hub, shingle_hashes(text_a, n)
                 right = shingle_hashes(text_b, n)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+                delta = np.setxor1d(left, right, assume_unique=True)
+                total = len(left) + len(right)
+                sizes.append(len(right))
+                linked.append(100 * (total - len(delta)) >= percent * (total + len(delta)))
+                deltas.append(delta.tobytes() if several else None)
+            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("node"), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(deltas, pa.binary())], ["hub", "node", "size", "linked", "delta"])
+
+    second = pairs.join(texts.select("node", F.col("text").alias("text_b")), "node")
+    both = second.join(texts.select(F.col("node").alias("hub"), F.col("text").alias("text_a")), "hub")
+    return both.select("hub", "node", "several", "text_a", "text_b").mapInArrow(run, "hub binary, node binary, size long, linked boolean, delta binary")
+
+
+def _link_block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Edges among one hub's members: of the unlinked on one side to all on the other, as a forest (a node and its part's head)."""
+    asks = frame["asks"].to_numpy()
+    nodes, index = np.unique(frame["node"].to_numpy(), return_inverse=True)
+    deltas = [np.frombuffer(d, np.uint64) for d in frame["delta"]]
+    sizes = frame["size"].to_numpy()
+    # Part 0 is the hub's; the others start as their own.
+    part = np.arange(1, len(nodes) + 1)
+    part[index[frame["linked"].to_numpy()]] = 0
+    rows = np.flatnonzero(~asks)
+    lengths = np.array([len(deltas[r]) for r in rows])
+    shingles = np.concatenate([deltas[r] for r in rows]) if len(rows) else np.zeros(0, np.uint64)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owners = shingles[order], np.repeat(np.arange(len(rows)), lengths)[order]
+    for x in np.flatnonzero(asks):
+        low, high = np.searchsorted(shingles, deltas[x], "left"), np.searchsorted(shingles, deltas[x], "right")
+        counts = high - low
+        places = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        common = np.bincount(owners[places], minlength=len(rows))
+        apart = len(deltas[x]) + lengths - 2 * common
+        total = sizes[x] + sizes[rows]
+        near = np.flatnonzero(100 * (total - apart) >= percent * (total + apart))
+        parts = np.unique(np.append(part[index[rows[near]]], part[index[x]]))
+        if len(parts) > 1:
+            part[np.isin(part, parts)] = parts[0]
+    moved = np.flatnonzero((part != np.arange(1, len(nodes) + 1)) & ~np.isin(np.arange(len(nodes)), index[frame["linked"].to_numpy()]))
+    heads = [frame["hub"].iloc[0] if part[i] == 0 else nodes[part[i] - 1] for i in moved]
+    # A part joined to the hub's through a linked member is headed by the hub.
+    return pd.DataFrame({"a": nodes[moved], "b": heads})
+
+
+def bucket_links(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges ``(a, b)`` that connect all nodes of ``members(node, bucket)`` linked within a bucket, and no others."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("members"))
+    degrees = members.join(sizes, "bucket").groupBy("node").agg(F.sum("members").alias("degree"))
+    placed = members.join(degrees, "node")
+    hubs = placed.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
+    pairs = members.join(hubs, "bucket").filter("node <> hub").select("hub", "node").distinct()
+    counted = pairs.groupBy("hub").agg((F.count("*") > 1).alias("several"))
+    found = land(differences(pairs.join(counted, "hub"), texts, n, percent), "differences")
+    edges = found.filter("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+    groups = found.filter("delta is not null").groupBy("hub").agg(F.count("*").alias("rows"), F.sum(F.length("delta") / 8).alias("shingles"), F.count_if(~F.col("linked")).alias("left"))
+    parts = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("rows") / BLOCK_MEMBERS)).cast("int")
+    groups = groups.filter("left > 0 and rows > 1").select("hub", parts.alias("parts"))
+    dealt = found.join(groups, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    columns = ["hub", "node", "size", "linked", "delta"]
+    asking = dealt.filter("not linked").select(*columns, F.col("own").alias("i"), other.alias("j"), F.lit(True).alias("asks"))
+    asked = dealt.select(*columns, other.alias("i"), F.col("own").alias("j"), F.lit(False).alias("asks"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        return _link_block(frame, percent)
+
+    within = asking.unionByName(asked).groupBy("hub", "i", "j").applyInPandas(compare, "a binary, b binary")
+    return edges.union(within)
 
 
 def link(docs: DataFrame, n: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
@@ -139,38 +202,16 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, coordinates: int = COOR
     """
     found = land(signatures(docs, n, percent / 100, coordinates), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
-    classes = found.filter("node is not null").groupBy("node").agg(first.alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    classes = land(classes.select("node", "rep.doc_id", "rep.text_hash", "size", "bands"), "classes")
-    members = classes.select("node", "size", F.explode("bands").alias("bucket"))
+    classes = found.filter("node is not null").groupBy("node").agg(first.alias("rep"), F.first("bands").alias("bands"))
+    classes = land(classes.select("node", "rep.doc_id", "rep.text_hash", "bands"), "classes")
+    members = classes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = land(members.join(shared, "bucket"), "buckets")
     needed = members.select("node").distinct().join(classes.select("node", "doc_id", "text_hash"), "node")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     match = keyed["doc_id"].eqNullSafe(needed["doc_id"]) & (keyed["text_hash"] == needed["text_hash"])
     texts = land(keyed.join(needed, match).select("node", "text").dropDuplicates(["node"]), "texts")
-
-    fits = f"100 * least(size_a, size_b) >= {int(percent)} * greatest(size_a, size_b)"
-    labels = checkpoint(members.select("node", F.col("node").alias("component")).distinct())
-    edges = None
-    for step in range(HUB_ROUNDS + 1):
-        placed = members.join(labels, "node")
-        open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        placed = placed.join(open_buckets, "bucket")
-        right = placed.select("bucket", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("part_b"))
-        if step < HUB_ROUNDS:
-            # The same order in every bucket: a group's buckets mostly agree on the hub, so few different pairs arise.
-            order = F.struct(F.xxhash64("node", F.lit(step)).alias("order"), "node", "size", "component")
-            hubs = placed.groupBy("bucket").agg(F.min(order).alias("hub"))
-            left = hubs.select("bucket", F.col("hub.node").alias("a"), F.col("hub.size").alias("size_a"), F.col("hub.component").alias("part_a"))
-            pairs = left.join(right, "bucket").filter("part_a <> part_b")
-        else:
-            left = placed.select("bucket", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("part_a"))
-            pairs = left.join(right, "bucket").filter("part_a <> part_b and a < b")
-        pairs = pairs.filter(fits).select("a", "b").distinct()
-        new = checkpoint(verified(pairs, texts, n, percent))
-        edges = new if edges is None else edges.union(new)
-        joined = components(edges)
-        labels = checkpoint(labels.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    labels = components(bucket_links(members, texts, n, percent))
 
     named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
