@@ -145,7 +145,7 @@ def _link_block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     part = np.arange(1, len(nodes) + 1)
     part[index[frame["linked"].to_numpy()]] = 0
     rows = np.flatnonzero(~asks)
-    lengths = np.array([len(deltas[r]) for r in rows])
+    lengths = np.array([len(deltas[r]) for r in rows], np.int64)
     shingles = np.concatenate([deltas[r] for r in rows]) if len(rows) else np.zeros(0, np.uint64)
     order = np.argsort(shingles, kind="stable")
     shingles, owners = shingles[order], np.repeat(np.arange(len(rows)), lengths)[order]
