@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketflow.llm import bpe, forest, minhash, pivots, secret_scan, token_files, url_rules
+from marketflow.llm import bpe, forest, language, minhash, mixing, pivots, quality, secret_scan, token_files, url_rules
 from marketflow.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.link(table(spark, sf_dir, "embeddings"))
 
@@ -35,10 +39,22 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.link(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents")).drop("text", "n_chars")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = language.fit(docs, ~F.coalesce(held_out, F.lit(False)))
+    texts = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return language.predict(texts, model).drop("text")
+
+
 def op10_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -62,10 +78,13 @@ FROM documents d LEFT JOIN sizes z ON d.doc_id = z.doc_id JOIN lowest l ON d.doc
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
     "op4_forest": op4_forest,
     "op5_url_rules": op5_url_rules,
     "op6_minhash": op6_minhash,
+    "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
+    "op9_language": op9_language,
     "op10_pivots": op10_pivots,
 }
 ORACLES: dict[str, str] = {
