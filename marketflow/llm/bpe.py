@@ -23,8 +23,8 @@ from marketflow.llm.common import tokenizer_file
 
 WORD_BPE = "word_bpe_49k.json"
 END_OF_WORD = "</w>"
-# Distinct chunks whose encodings a worker keeps; beyond it the memory is cleared and filled anew.
-MEMO_CHUNKS = 500_000
+# Distinct chunks, and distinct pre-tokens, whose encodings a worker keeps; beyond it the memory is cleared and filled anew.
+MEMO_CHUNKS = 400_000
 _LAST = 0x8000  # offset that marks the last symbol of a word, which carries the end-of-word suffix
 _NEVER = np.int64(1 << 40)
 # White space of the tokenizer's normaliser: the Unicode property, without the four separators str.split() also takes.
@@ -230,7 +230,7 @@ def load(path: str) -> Bpe:
 
 
 class Encoder:
-    """Encodes texts batch by batch; distinct chunks are encoded once and remembered up to a bound."""
+    """Encodes texts batch by batch; distinct chunks are encoded once and remembered up to a bound, also from task to task."""
 
     def __init__(self, path: str):
         self.bpe, self.ids, self.texts, self.pieces = load(path), {}, {}, {}
@@ -245,7 +245,9 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.ids) + len(chunks) > MEMO_CHUNKS:
-            self.ids, self.texts, self.pieces = {}, {}, {}
+            self.ids, self.texts = {}, {}
+        if len(self.pieces) > MEMO_CHUNKS:
+            self.pieces = {}
         ids, texts, pieces, split = self.ids, self.texts, self.pieces, self.bpe.words.parts
         new = [c for c in chunks if c not in ids]
         parts = [split(c) for c in new]
@@ -282,6 +284,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process."""
+    return Encoder(path)
+
+
 def decode(ids: bytes, path: str) -> str:
     """Text of little-endian ids: tokens joined by a space, as a tokenizer without a decoder does."""
     text = load(path).text
@@ -299,7 +307,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text")
     schema = rest.withColumns({"ids": F.lit(b""), "decoded": F.lit("")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             found = encoder.encode(batch.column(text).to_pylist())
             ids, decoded = [a for a, _ in found], [b for _, b in found]
@@ -313,7 +321,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_file(WORD_BPE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             found = encoder.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(

@@ -26,6 +26,7 @@ BUCKETS = 1 << 14
 EPOCHS = 30
 KEEP = 0.5
 FALSE_ALARM = 0.01  # most a labeller may call good documents bad
+LEAST_ALARM = 0.05  # least a labeller calls bad documents bad, so that rare kinds count
 
 _ODD = re.compile(r"[#$%&*@^~|<>{}\[\]\\+=]")
 
@@ -35,9 +36,11 @@ def shape(text: str) -> dict[str, float]:
     words = text.split()
     lines = [line for line in text.split("\n") if line]
     count = len(words)
+    signs = len(_ODD.findall(text))
     return {
         "count": count,
-        "odd": len(_ODD.findall(text)) / len(text),
+        "signs": signs,
+        "odd": signs / len(text),
         "upper": sum([w.isupper() and len(w) > 1 for w in words]) / count,
         "bangs": text.count("!") / count,
         "ends": (text.count(".") + text.count("?")) / count,
@@ -53,16 +56,16 @@ def votes(s: dict[str, float]) -> tuple[int, ...]:
 
     The least share of different words falls with a text's length, as vocabularies grow more slowly than texts.
     """
-    return (
-        -1 if s["odd"] > 0.05 else 0,
+    alarms = (
+        -1 if s["odd"] > 0.05 and s["signs"] > 2 else 0,
         -1 if s["upper"] > 0.25 and s["count"] > 4 else 0,
         -1 if s["bangs"] > 0.15 and s["count"] > 4 else 0,
-        -1 if s["count"] >= 60 and s["distinct"] < min(0.3, 3 * s["count"] ** -0.4) else 0,
+        -1 if s["count"] >= 12 and s["distinct"] < min(0.3, 3 * s["count"] ** -0.4) else 0,
         -1 if s["lines"] > 3 and s["repeats"] > 0.5 else 0,
         -1 if s["mean"] > 25 or s["mean"] < 1.5 else 0,
-        1 if 0.02 < s["ends"] < 0.5 else 0,
-        1 if s["odd"] < 0.01 and s["upper"] < 0.05 and s["bangs"] < 0.02 and s["repeats"] < 0.4 else 0,
     )
+    calm = (s["odd"] < 0.01 or s["signs"] <= 2) and s["upper"] < 0.08 and s["bangs"] < 0.05
+    return (*alarms, 1 if 0.02 < s["ends"] < 0.5 else 0, 1 if calm and not any(alarms) else 0)
 
 
 def features(text: str, s: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +79,7 @@ def features(text: str, s: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.bincount(np.concatenate([kinds, pairs + _N, pairs[1:] * _N + kinds[:-2] + _N + _N * _N]), minlength=_N + _N**2 + _N**3)
     grams = np.flatnonzero(counts)
     steps = [int(10 * min(1.0, s[name])) + 16 * i for i, name in enumerate(("distinct", "repeats", "upper", "bangs", "odd"))]
-    longer = s["count"] >= 60  # the share of different words means little for short texts
+    longer = s["count"] >= 12  # the share of different words means little for short texts
     steps = np.array(steps if longer else steps[1:]) + (1 << 20)
     values = np.concatenate([np.sqrt(counts[grams] / len(data)), np.full(len(steps), 0.5)])
     return (mix64(np.concatenate([grams, steps]).astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64), values
@@ -116,6 +119,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
         new = np.stack([[[(w * (patterns[:, j] == v)).sum() + 1 for v in (-1, 0, 1)] for j in range(patterns.shape[1])] for w in weights])
         table = new / new.sum(axis=2, keepdims=True)
         table[1, :, 0] = np.minimum(table[1, :, 0], FALSE_ALARM)
+        table[0, :6, 0] = np.maximum(table[0, :6, 0], LEAST_ALARM)
         table /= table.sum(axis=2, keepdims=True)
         old, share = share, float((weights[1].sum() + 1) / (counts.sum() + 2))
         if abs(share - old) < 1e-9:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
 DICTIONARY_BYTES = 1 << 20
 TEXT_ROWS_PER_SHARD = 20_000
+ENCODED_ROWS = 256  # texts a task encodes at once
 FILE_SCHEMA = "doc_id long, n_tokens long, shard int, shard_start long, tokens array<int>"
 
 
@@ -60,7 +62,9 @@ class LibraryEncoder:
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.ids) + len(chunks) > bpe.MEMO_CHUNKS:
-            self.ids, self.pieces = {}, {}
+            self.ids = {}
+        if len(self.pieces) > bpe.MEMO_CHUNKS:
+            self.pieces = {}
         ids, pieces, split = self.ids, self.pieces, self.split.parts
         new = [c for c in chunks if c not in ids]
         parts = [split(c) for c in new]
@@ -71,12 +75,17 @@ class LibraryEncoder:
         for c, ps in zip(new, parts, strict=True):
             ids[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            group = [bpe.chunks_of(t or "") for t in texts[at : at + 256]]
-            self.learn(set().union(*group))
-            for chunks in group:
-                yield b"".join(map(self.ids.__getitem__, chunks))
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        group = [bpe.chunks_of(t or "") for t in texts]
+        self.learn(set().union(*group))
+        return [b"".join(map(self.ids.__getitem__, chunks)) for chunks in group]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> LibraryEncoder:
+    """The encoder of this worker process; what it remembers serves all its tasks."""
+    return LibraryEncoder(path)
 
 
 def encode(docs: DataFrame, shards: int, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -94,17 +103,15 @@ def encode(docs: DataFrame, shards: int, path: str | None = None, end_id: int =
     names = ["doc_id", "n_tokens", "shard", "shard_start", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = LibraryEncoder(path), 0
-        for batch in batches:
-            found = [ids + end for ids in encoder.encode(batch.column("text").to_pylist())]
-            ends = np.cumsum([len(ids) // 4 for ids in found])
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            values = np.frombuffer(b"".join(found), "<i4")
-            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            lengths = np.diff(offsets).astype(np.int64)
-            starts = before + offsets[:-1].astype(np.int64)
-            before += int(offsets[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths), batch.column("shard"), pa.array(starts), tokens], names)
+        encoder, before = encoder_of(path), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, ENCODED_ROWS):
+                batch = whole.slice(at, ENCODED_ROWS)
+                found = [ids + end for ids in encoder.encode(batch.column("text").to_pylist())]
+                offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in found])])
+                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), batch.column("shard"), pa.array(before + offsets[:-1]), tokens], names)
+                before += int(offsets[-1])
 
     return ordered.mapInArrow(run, FILE_SCHEMA)
 
