@@ -7,6 +7,7 @@ check walks both sides' merge trees towards the border; it runs in numpy over al
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -40,11 +41,29 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+# Anything but Latin letters (all composed, and lower-cased alone), white space, full stops and commas.
+_UNEASY = re.compile("[^A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f \\t-\\r\x85\xa0.,]")
+
+
+def _easy(text: str) -> bool:
+    """Whether lower case and a space before each full stop and comma leave one pre-token between white space."""
+    return not (_UNEASY.search(text) or ".." in text or ".," in text or ",." in text or ",," in text)
+
+
+def _words(text: str) -> list[str]:
+    return text.lower().replace(",", " , ").replace(".", " . ").split()
+
+
 def chunks_of(text: str) -> list[str]:
-    """The parts of a text between white space; the tokenizer works on each alone."""
+    """A text cut where pre-tokens surely end; the tokenizer works on each part alone.
+
+    Plain lines are cut into their lower-cased pre-tokens, which recur most; the others at white space.
+    """
+    if _easy(text):
+        return _words(text)
     if _ODD_SPLIT.search(text):
         return [c for c in _SPACE.split(text) if c]
-    return text.split()
+    return [c for line in text.split("\n") for c in (_words(line) if _easy(line) else line.split())]
 
 
 class WordPieces:
@@ -229,39 +248,83 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-class Encoder:
+class Memory:
+    """Encodings of chunks, learned once and remembered up to a bound: ``ids`` (bytes) and, if asked for, decoded ``texts``."""
+
+    def __init__(self, split: WordPieces, texts: bool):
+        self.split, self.special = split, {i: (int(i).to_bytes(4, "little"), t) for t, i in split.special.items()}
+        self.ids: dict[str, bytes] = {}
+        self.texts: dict[str, str] | None = {} if texts else None
+        self.pieces: dict[str | int, tuple[bytes, str]] = dict(self.special)
+
+    def words(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """Ids in bytes and decoded text of pre-tokens."""
+        raise NotImplementedError
+
+    def rows(self, group: list[list[str]]) -> list[list[bytes]]:
+        """Ids of every chunk of every list; afterwards all of the group's chunks are remembered."""
+        found = [list(map(self.ids.get, chunks)) for chunks in group]
+        open_rows = [i for i, row in enumerate(found) if None in row]
+        if open_rows:
+            missing = {c for i in open_rows for c, v in zip(group[i], found[i], strict=True) if v is None}
+            if len(self.ids) + len(missing) > MEMO_CHUNKS:
+                self.ids = {}
+                if self.texts is not None:
+                    self.texts = {}
+                missing = set().union(*group)
+            self.learn(missing)
+            for i in open_rows:
+                found[i] = list(map(self.ids.__getitem__, group[i]))
+        return found
+
+    def learn(self, chunks: set[str]) -> None:
+        # Many small containers are made and kept here; none is part of a cycle.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            self._learn(chunks)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.pieces) > MEMO_CHUNKS:
+            self.pieces = dict(self.special)
+        single, words, others = [], [], []
+        for c in chunks:
+            low = c.lower()
+            if low.isalpha() and low.isascii():
+                single.append(c)
+                words.append(low)
+            else:
+                others.append(c)
+        parts = [self.split.parts(c) for c in others]
+        pieces = self.pieces
+        new = list(set(words).union(*parts) - pieces.keys())
+        pieces.update(zip(new, self.words(new), strict=True))
+        found = [pieces[w] for w in words]
+        self.ids.update(zip(single, [a for a, _ in found], strict=True))
+        many = [[pieces[p] for p in ps] for ps in parts]
+        self.ids.update(zip(others, [b"".join([a for a, _ in ps]) for ps in many], strict=True))
+        if self.texts is not None:
+            self.texts.update(zip(single, [b for _, b in found], strict=True))
+            self.texts.update(zip(others, [" ".join([b for _, b in ps]) for ps in many], strict=True))
+
+
+class Encoder(Memory):
     """Encodes texts batch by batch; distinct chunks are encoded once and remembered up to a bound, also from task to task."""
 
     def __init__(self, path: str):
-        self.bpe, self.ids, self.texts, self.pieces = load(path), {}, {}, {}
+        self.bpe = load(path)
+        super().__init__(self.bpe.words, texts=True)
 
     def words(self, words: list[str]) -> list[tuple[bytes, str]]:
-        """Ids in bytes and decoded text of pre-tokens."""
         found, text = self.bpe.encode_words(words), self.bpe.text
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         whole = np.fromiter((i for ids in found for i in ids), "<u4", int(lengths.sum())).tobytes()
         ends = (4 * np.cumsum(lengths)).tolist()
         return [(whole[start:end], " ".join([text[i] for i in ids])) for start, end, ids in zip([0, *ends], ends, found, strict=False)]
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.ids) + len(chunks) > MEMO_CHUNKS:
-            self.ids, self.texts = {}, {}
-        if len(self.pieces) > MEMO_CHUNKS:
-            self.pieces = {}
-        ids, texts, pieces, split = self.ids, self.texts, self.pieces, self.bpe.words.parts
-        new = [c for c in chunks if c not in ids]
-        parts = [split(c) for c in new]
-        words = list({p for ps in parts for p in ps if p not in pieces and isinstance(p, str)})
-        pieces.update(zip(words, self.words(words), strict=True))
-        for i in {p for ps in parts for p in ps if isinstance(p, int)}:
-            pieces[i] = (int(i).to_bytes(4, "little"), self.bpe.text[i])
-        for c, ps in zip(new, parts, strict=True):
-            if len(ps) == 1:
-                ids[c], texts[c] = pieces[ps[0]]
-            else:
-                found = [pieces[p] for p in ps]
-                ids[c], texts[c] = b"".join([a for a, _ in found]), " ".join([b for _, b in found])
-
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text; a null text is empty."""
         out: list[tuple[bytes, str]] = []
@@ -269,10 +332,9 @@ class Encoder:
         size = 0
 
         def flush() -> None:
-            self.learn(set().union(*group))
-            for chunks in group:
+            for chunks, ids in zip(group, self.rows(group), strict=True):
                 # A chunk without tokens adds nothing to the decoded text.
-                out.append((b"".join(map(self.ids.__getitem__, chunks)), " ".join(filter(None, map(self.texts.__getitem__, chunks)))))
+                out.append((b"".join(ids), " ".join(filter(None, map(self.texts.__getitem__, chunks)))))
 
         for text in texts:
             group.append(chunks := chunks_of(text or ""))

@@ -34,7 +34,7 @@ ENCODED_ROWS = 256  # texts a task encodes at once
 FILE_SCHEMA = "doc_id long, n_tokens long, shard int, shard_start long, tokens array<int>"
 
 
-class LibraryEncoder:
+class LibraryEncoder(bpe.Memory):
     """Whole texts by the tokenizers library; pre-tokens already seen are not encoded again (bounded memory).
 
     The model encodes each pre-token alone, so that the ids of a text are those of its parts in order.
@@ -43,43 +43,24 @@ class LibraryEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.split = bpe.WordPieces(path)
-        self.model = Tokenizer(self.split.tokenizer.model)
-        size = self.split.tokenizer.get_vocab_size()
-        self.ends = np.array([(self.split.tokenizer.id_to_token(i) or "").endswith(bpe.END_OF_WORD) for i in range(size)])
-        self.ids: dict[str, bytes] = {}
-        self.pieces: dict[str | int, bytes] = {}
+        super().__init__(bpe.WordPieces(path), texts=False)
+        whole = self.split.tokenizer
+        self.model = Tokenizer(whole.model)
+        self.ends = np.array([(whole.id_to_token(i) or "").endswith(bpe.END_OF_WORD) for i in range(whole.get_vocab_size())])
 
-    def words(self, words: list[str]) -> list[bytes]:
+    def words(self, words: list[str]) -> list[tuple[bytes, str]]:
         """Ids of many pre-tokens; a block goes to the library at once and is cut where a token ends a word."""
-        out: list[bytes] = []
+        out: list[tuple[bytes, str]] = []
         for found in self.model.encode_batch_fast([words[i : i + 1000] for i in range(0, len(words), 1000)], is_pretokenized=True, add_special_tokens=False):
             ids = np.array(found.ids, "<u4")
             cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            out += [(raw[a:b], "") for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.ids) + len(chunks) > bpe.MEMO_CHUNKS:
-            self.ids = {}
-        if len(self.pieces) > bpe.MEMO_CHUNKS:
-            self.pieces = {}
-        ids, pieces, split = self.ids, self.pieces, self.split.parts
-        new = [c for c in chunks if c not in ids]
-        parts = [split(c) for c in new]
-        words = list({p for ps in parts for p in ps if p not in pieces and isinstance(p, str)})
-        pieces.update(zip(words, self.words(words), strict=True))
-        for i in {p for ps in parts for p in ps if isinstance(p, int)}:
-            pieces[i] = int(i).to_bytes(4, "little")
-        for c, ps in zip(new, parts, strict=True):
-            ids[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        group = [bpe.chunks_of(t or "") for t in texts]
-        self.learn(set().union(*group))
-        return [b"".join(map(self.ids.__getitem__, chunks)) for chunks in group]
+        return list(map(b"".join, self.rows([bpe.chunks_of(t or "") for t in texts])))
 
 
 @lru_cache(maxsize=1)
