@@ -25,7 +25,7 @@ from marketflow.llm.common import tokenizer_file
 WORD_BPE = "word_bpe_49k.json"
 END_OF_WORD = "</w>"
 # Distinct chunks, and distinct pre-tokens, whose encodings a worker keeps; beyond it the memory is cleared and filled anew.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 200_000
 _LAST = 0x8000  # offset that marks the last symbol of a word, which carries the end-of-word suffix
 _NEVER = np.int64(1 << 40)
 # White space of the tokenizer's normaliser: the Unicode property, without the four separators str.split() also takes.
