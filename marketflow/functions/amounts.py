@@ -75,9 +75,11 @@ def canonical_sql(text: str) -> str:
         f"'power', if({part(3)} = '', 0, coalesce(try_cast({part(3)} as int), 0)) - length({part(2)}), "
         "'sign', if(startswith(t, '-'), '-', '')), null)"
     )
-    # 38 digits are ample for rounding to 16; the dropped ones only move the exponent.
+    # Of longer texts 37 digits and one sticky digit are kept: it is 1 when any digit behind is not zero, so that a number just
+    # above the half still rounds up. The dropped digits move the exponent.
+    sticky = "if(length(p.digits) > 38, concat(substring(p.digits, 1, 37), if(rtrim('0', substring(p.digits, 38)) = '', '0', '1')), p.digits)"
     scaled = sixteen_digits_sql(
-        f"try_cast(concat(p.sign, substring(p.digits, 1, 38)) as {UNITS})", "p.power + greatest(length(p.digits) - 38, 0)"
+        f"try_cast(concat(p.sign, {sticky}) as {UNITS})", "p.power + greatest(length(p.digits) - 38, 0)"
     )
     bounded = (
         f"case when p is null then null when q.exponent < {EXPONENT_MIN} then {ZERO_SQL} "

@@ -65,10 +65,12 @@ def funded_caps(book: DataFrame, account_offers: DataFrame, *, key: list[str]) -
 
     ``book`` has ``key`` (which names one account snapshot, e.g. ledger, account and asset) plus
     (offer_id, sequence, size, funds); ``account_offers`` has ``key`` plus (sequence, size) and holds
-    all the account's offers of that asset. Sizes and funds are integer units. An account's offer
+    all the account's offers of that asset. The funds are those of the first offer in book order (``position``, where the book has
+    it, else ``sequence``) that publishes any. Sizes and funds are integer units. An account's offer
     list is one snapshot record, so the gathered list is no larger than its input record.
     """
-    owner = book.filter("funds is not null").groupBy(*key).agg(F.min_by("funds", "sequence").alias("funds"))
+    first = "position" if "position" in book.columns else "sequence"
+    owner = book.filter("funds is not null").groupBy(*key).agg(F.min_by("funds", first).alias("funds"))
     listed = book.select(*key, "sequence", F.col("size").alias("book_size"))
     offers = account_offers.join(listed, [*key, "sequence"], "left")
     row = F.struct(

@@ -15,17 +15,22 @@ class IncompleteJoin(RuntimeError):
 
 
 def check_keys(left: DataFrame, right: DataFrame, on: Sequence[str], *, sample: int = 5) -> DataFrame:
-    """One row per problem: keys of ``left`` missing in ``right``, and keys repeated on either side."""
+    """One row per problem: keys of ``left`` missing in ``right``, and keys repeated on either side.
+
+    ``sample_keys`` holds the first ``sample`` keys in text order.
+    """
     on = list(on)
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in on])
 
     def summary(df: DataFrame, problem: str) -> DataFrame:
         keyed = df.select(text.alias("key"))
-        return keyed.groupBy().agg(
+        first = keyed.orderBy("key").limit(sample).groupBy().agg(F.sort_array(F.collect_list("key")).alias("sample_keys"))
+        counts = keyed.groupBy().agg(
             F.lit(problem).alias("problem"),
             F.count(F.lit(1)).alias("n"),
             F.min("key").alias("first_key"),
         )
+        return counts.join(first)
 
     def repeated(df: DataFrame) -> DataFrame:
         return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
@@ -38,7 +43,7 @@ def check_keys(left: DataFrame, right: DataFrame, on: Sequence[str], *, sample:
 
 def require_clean(report: DataFrame) -> None:
     """Raise when a :func:`check_keys` report names a problem. Collects its three rows only."""
-    bad = [f"{r['problem']}: {r['n']} (first {r['first_key']})" for r in report.filter("n > 0").collect()]
+    bad = [f"{r['problem']}: {r['n']} (first {', '.join(r['sample_keys'])})" for r in report.filter("n > 0").collect()]
     if bad:
         raise IncompleteJoin("; ".join(bad))
 
@@ -59,11 +64,17 @@ def join_required(left: DataFrame, right: DataFrame, on: Sequence[str], *, stric
 
 
 def attach_metadata(targets: DataFrame, meta: DataFrame) -> DataFrame:
-    """Targets with their metadata record. Hash decides; the ledger must agree when both name one."""
+    """Targets with their metadata record. Hash decides; a job fails where both name a ledger and disagree."""
     right = meta.withColumnsRenamed(
         {"ledger_index": "metadata_ledger_index", "transaction_index": "metadata_transaction_index"}
     )
-    return targets.join(right, "tx_hash")
+    joined = targets.join(right, "tx_hash")
+    if "ledger_index" not in targets.columns or "metadata_ledger_index" not in joined.columns:
+        return joined
+    differs = F.col("ledger_index") != F.col("metadata_ledger_index")
+    error = F.raise_error(F.concat(F.lit("metadata of another ledger for "), F.col("tx_hash")))
+    proof = F.when(differs, error.cast(joined.schema["metadata_ledger_index"].dataType)).otherwise(F.col("metadata_ledger_index"))
+    return joined.withColumn("metadata_ledger_index", proof)
 
 
 def keep_targets(df: DataFrame, targets: DataFrame, on: str = "tx_hash") -> DataFrame:

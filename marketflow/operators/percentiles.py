@@ -8,6 +8,8 @@ coexist; each names the rank (1-based) it reads from ``n`` sorted values.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +43,10 @@ def ranked_values(
     counts = kept.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
     running = prefix_sum(counts, by, [value], "_c", "_upto", inclusive=True, gate=kept)
-    joined = running.join(totals, by)
+    # A NULL group is a group: keys are compared null-safe.
+    right = totals.select(*[F.col(c).alias(f"_t_{c}") for c in by], "_n")
+    match = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by]
+    joined = running.join(right, reduce(and_, match)).drop(*[f"_t_{c}" for c in by])
     picks = [F.min(F.when(F.col("_upto") >= rank, F.col(value))).alias(name) for name, rank in ranks.items()]
     out = joined.groupBy(*by).agg(F.max("_n").alias("n_values"), *picks)
     return out.drop("_all")

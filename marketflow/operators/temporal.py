@@ -32,13 +32,15 @@ def asof_join(
     by = list(by)
     names = left.columns
     left_tag, right_tag = (1, 0) if allow_equal else (0, 1)
+    # The tie keeps its type, so that numbers compare as numbers; left rows have none.
+    tie_type = right.schema[tie].dataType if tie else "string"
     packed_left = left.select(
-        *by, F.col(left_on).alias("_at"), F.lit(left_tag).alias("_tag"), F.lit(None).cast("string").alias("_tie"),
+        *by, F.col(left_on).alias("_at"), F.lit(left_tag).alias("_tag"), F.lit(None).cast(tie_type).alias("_tie"),
         F.struct(*names).alias("_left"),
     )
-    tie_text = F.col(tie).cast("string") if tie else F.lit(None).cast("string")
+    tie_value = F.col(tie) if tie else F.lit(None).cast("string")
     packed_right = right.select(
-        *by, F.col(right_on).alias("_at"), F.lit(right_tag).alias("_tag"), tie_text.alias("_tie"),
+        *by, F.col(right_on).alias("_at"), F.lit(right_tag).alias("_tag"), tie_value.alias("_tie"),
         F.struct(*values).alias("_right"),
     )
     stream = packed_left.unionByName(packed_right, allowMissingColumns=True)

@@ -224,11 +224,10 @@ def attach_book_side(spark, root):
 
 def pair_parameters(spark, root):
     """Nations broadcast to customers as per-pair parameters."""
-    from marketflow.session import broadcast_if_small
 
     nation = D.table(spark, root, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
     c = D.table(spark, root, "customer").select("c_custkey", "c_nationkey")
-    return plain(c.join(broadcast_if_small(nation), "c_nationkey").select("c_custkey", "n_name", "n_regionkey"))
+    return plain(c.join(nation, "c_nationkey").select("c_custkey", "n_name", "n_regionkey"))
 
 
 def attach_fee(spark, root):

@@ -31,10 +31,13 @@ def _events(spark, root):
 
 
 def stream_ingest(spark, root):
-    """Every event twice; each lands once, small values are kept apart."""
-    twice = _events(spark, root).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    """Good events twice, some without a key and some years old; each lands once and every failure is kept."""
+    copies = F.when(F.col("value") >= 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    events = _events(spark, root).withColumn("ts", F.when(F.col("event_id") % 5 == 0, F.col("ts") - F.expr("interval 9 years")).otherwise(F.col("ts")))
+    twice = events.withColumn("copy", F.explode(copies)).drop("copy")
+    twice = twice.withColumn("event_id", F.when((F.col("value") < 1) & (F.col("event_id") % 2 == 0), F.lit(None)).otherwise(F.col("event_id")))
     landed, rejected = scratch(spark), scratch(spark)
-    J.stream_ingest(_stream(spark, twice), landed, rejected, scratch(spark), event_time="ts", key="event_id", delay="60 days", valid="value >= 1").awaitTermination()
+    J.stream_ingest(_stream(spark, twice), landed, rejected, scratch(spark), key="event_id", valid="value >= 1").awaitTermination()
     good = spark.read.parquet(landed).withColumn("status", F.lit("ok"))
     bad = spark.read.parquet(rejected).withColumn("status", F.lit("rejected"))
     return good.unionByName(bad).groupBy("event_type", "status").agg(F.count(F.lit(1)).alias("n"))

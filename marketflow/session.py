@@ -1,11 +1,10 @@
-"""Session settings, checkpoint folder and size checks shared by the operators."""
+"""Session settings and checkpoint folder shared by the operators."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Largest group one task may sort. Beyond it the ordered operators split the group over blocks.
 MAX_GROUP_ROWS = 2_000_000
@@ -60,12 +59,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back with a cut lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast only when it is measured to hold at most ``max_rows`` rows.
-
-    The probe stops after ``max_rows + 1`` rows. A larger side keeps its shuffle join, which
-    adaptive execution may still turn into a broadcast from the real shuffle sizes.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

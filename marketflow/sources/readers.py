@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketflow.session import broadcast_if_small
 from marketflow.sources.schemas import (
     BOOK_SNAPSHOT,
     METADATA,
@@ -53,9 +52,9 @@ def read_legs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_for_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` is in ``keys``; a small key set is broadcast to the scan."""
+    """Rows whose ``column`` is in ``keys``; the planner broadcasts a key set of small measured size."""
     wanted = keys.select(keys[keys.columns[0]].alias("_key")).distinct()
-    return df.join(broadcast_if_small(wanted), df[column] == F.col("_key"), "left_semi")
+    return df.join(wanted, df[column] == F.col("_key"), "left_semi")
 
 
 def key_set(df: DataFrame, *columns: str) -> DataFrame:
@@ -141,12 +140,16 @@ def read_ledger_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tick_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON map per ledger file as (ledger_index, account, tick_size); a NULL size is a value."""
+    """One JSON map per ledger file as (ledger_index, account, tick_size); a NULL size is a value.
+
+    A file that is no JSON map fails the job: without its ledger an as-of lookup would fall back to older sizes.
+    """
     raw = spark.read.option("wholetext", True).text(path)
     nested = F.from_json("value", "tick_sizes map<string,int>")["tick_sizes"]
     flat = F.from_json("value", "map<string,int>")
     ledger = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.json$", 1).cast("bigint")
-    return raw.select(ledger.alias("ledger_index"), F.explode(F.coalesce(nested, flat)).alias("account", "tick_size"))
+    broken = F.raise_error(F.concat(F.lit("unreadable tick sizes: "), F.col("_metadata.file_path"))).cast("map<string,int>")
+    return raw.select(ledger.alias("ledger_index"), F.explode(F.coalesce(nested, flat, broken)).alias("account", "tick_size"))
 
 
 def read_book(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:

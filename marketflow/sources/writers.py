@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from marketflow.sources.readers import LEDGERS_PER_BUCKET
 
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def write_table(df: DataFrame, path: str, *, sort: Sequence[str] | None = None) -> None:
     """Overwrite parquet, optionally in one global order with NULLs last."""
@@ -26,10 +24,8 @@ def write_book(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
-    """CSV with a header. One file only for reports measured to be small."""
+    """CSV with a header. ``single_file`` writes through one task and is meant for reports; it holds for any size."""
     if single_file:
-        if df.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
-            raise ValueError(f"more than {SINGLE_FILE_ROWS} rows do not belong in one CSV file")
         df = df.coalesce(1)
     df.write.mode("overwrite").option("header", True).csv(path)
 

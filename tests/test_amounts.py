@@ -84,3 +84,14 @@ def test_p_values(spark):
     df = spark.createDataFrame([(0.0,), (1.959963985,), (-1.959963985,), (float("inf"),), (None,)], "t double")
     got = [r[0] for r in df.select(ST.two_tailed_p(F.col("t"))).collect()]
     assert got[0] == 1.0 and got[1] == pytest.approx(0.05, abs=1e-8) and got[2] == got[1] and got[3] == 0.0 and got[4] is None
+
+
+def test_digits_behind_the_half_round_up(spark):
+    from pyspark.sql import functions as F
+
+    from marketflow.functions.amounts import canonical_sql
+
+    text = "1000000000000000" + "5" + "0" * 21 + "1"
+    exact = "1000000000000000" + "5" + "0" * 22
+    rows = spark.createDataFrame([(text,), (exact,)], "t string").select(F.expr(canonical_sql("t")).alias("n")).collect()
+    assert [int(r["n"]["units"]) for r in rows] == [1000000000000001, 1000000000000000]

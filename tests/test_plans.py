@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from marketflow.operators.scan import top_rows
 from marketflow.operators.select import window_filter
-from marketflow.session import broadcast_if_small
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -29,12 +28,6 @@ def test_window_filter_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderkey,10)" in text and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in text
 
 
-def test_broadcast_is_size_checked(spark):
-    small, large = spark.range(5), spark.range(50)
-    assert "broadcast" in broadcast_if_small(small, 10)._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in broadcast_if_small(large, 10)._jdf.queryExecution().analyzed().toString().lower()
-
-
 @pytest.mark.parametrize("name", ["tx_sequence", "rate_join", "asof_value", "state_before", "depth_fill", "rate_interval", "pool_quote_asof", "clean_book", "materiality", "breakdown", "rate_ranges"])
 def test_no_pairwise_joins(spark, name):
     text = plan(entry.queries()[name](spark, ROOT))

@@ -189,3 +189,16 @@ def test_ladder_and_amount_only_range(spark, skewed, split, request):
         assert out.loc[key, "complete"] == (len(group) >= 5)
         assert (out.loc[key, "min_err"], out.loc[key, "max_err"]) == (chosen[0], chosen[-1])
         assert out.loc[key, "median_err"] == pd.Series(chosen).median()
+
+
+def test_asof_ties_keep_their_type(spark):
+    right = spark.createDataFrame([("a", 1, 9), ("a", 1, 10)], "key string, at int, id int")
+    out = asof_join(spark.createDataFrame([("a", 5)], "key string, pos int"), right, ["key"], "pos", "at", ["id"], tie="id")
+    assert out.first()["asof"]["id"] == 10
+
+
+def test_percentiles_of_a_null_group(spark):
+    from marketflow.operators.percentiles import percentile_nearest
+
+    rows = spark.createDataFrame([(None, 1), (None, 3), ("a", 5)], "g string, v int")
+    assert {r["g"]: r["p50"] for r in percentile_nearest(rows, ["g"], "v", [50]).collect()} == {None: 1, "a": 5}

@@ -49,6 +49,9 @@ def test_tick_sizes_keep_null_values(spark, tmp_path):
     (tmp_path / "ticks_at_12.json").write_text(json.dumps({"A": None, "C": 6}))
     got = {(r["ledger_index"], r["account"]): r["tick_size"] for r in R.read_tick_sizes(spark, str(tmp_path)).collect()}
     assert got == {(10, "A"): 5, (10, "B"): None, (12, "A"): None, (12, "C"): 6}
+    (tmp_path / "ticks_at_13.json").write_text("{broken")
+    with pytest.raises(Exception, match="unreadable tick sizes"):
+        R.read_tick_sizes(spark, str(tmp_path)).collect()
 
 
 def test_pair_configuration(spark, tmp_path):
@@ -79,12 +82,9 @@ def test_results_folders_name_the_pair(spark, tmp_path):
     assert sorted((r[0], r[1]) for r in got) == [("A_XRP", "1.5"), ("B_XRP", "1.5")]
 
 
-def test_single_csv_file_is_for_small_reports(spark, tmp_path, monkeypatch):
+def test_single_csv_file(spark, tmp_path):
     W.write_csv(spark.range(5), str(tmp_path / "c"), single_file=True)
     assert len(list((tmp_path / "c").glob("part-*"))) == 1
-    monkeypatch.setattr(W, "SINGLE_FILE_ROWS", 3)
-    with pytest.raises(ValueError):
-        W.write_csv(spark.range(5), str(tmp_path / "d"), single_file=True)
 
 
 def test_sorted_table_puts_nulls_last(spark, tmp_path):
