@@ -182,6 +182,25 @@ def carry_funding(log: DataFrame, boundary: DataFrame, key: list[str]) -> DataFr
     )
 
 
+def keep_place(start: DataFrame, moved: DataFrame, key: list[str]) -> DataFrame:
+    """``moved`` with the position its offer took when its present stay on the side began.
+
+    A change of a live offer keeps the place; an offer that was deleted, or comes from the other side, queues anew.
+    """
+    order = ["transaction_index", "step"]
+    opening = start.select(
+        *key, F.lit(BEFORE_ALL).cast("bigint").alias("transaction_index"), F.lit(-1).alias("step"),
+        F.col("state").alias("_live"), F.lit(True).alias("_start"),
+    )
+    rows = moved.withColumns({"_live": F.col("state"), "_start": F.lit(False)}).unionByName(opening, allowMissingColumns=True)
+    seen = previous_row(rows, key, order, ["_live"], "_prev", gate=rows)
+    begins = F.col("_live").isNotNull() & F.col("_prev._live").isNull()
+    marked = seen.withColumn("_mark", F.when(begins, F.struct(F.col("_live.position").alias("position"))))
+    placed = prefix_last(marked, key, order, "_mark", "_held", gate=rows).filter(~F.col("_start"))
+    state = F.when(F.col("state").isNotNull(), F.col("state").withField("position", F.col("_held.position")))
+    return placed.withColumn("state", state).drop("_live", "_start", "_prev", "_mark", "_held")
+
+
 def book_before(targets: DataFrame, boundary: DataFrame, changes: DataFrame) -> DataFrame:
     """Order book each target met, one row per (transaction, side, offer).
 
@@ -189,7 +208,7 @@ def book_before(targets: DataFrame, boundary: DataFrame, changes: DataFrame) ->
     before, in long form with (ledger_index, side, offer_id, position, account, sequence,
     book_directory, taker_gets, taker_pays, owner_funds, taker_gets_funded, taker_pays_funded).
     ``changes``: :func:`offer_changes` of all transactions of those ledgers. The target's own
-    pre-images replace or add the offers it touches.
+    pre-images replace the offers it touches in their place, or add them behind all others in the order of the record.
     """
     at_open = boundary.withColumn("ledger_index", F.col("ledger_index") + 1)
     ledgers = targets.select("ledger_index").distinct()
@@ -215,7 +234,7 @@ def book_before(targets: DataFrame, boundary: DataFrame, changes: DataFrame) ->
     moved = log.withColumn("side", F.explode(sides)).withColumn(
         "state", F.when(F.col("side") == F.col("side_post"), state)
     )
-    versions = version_intervals(start, moved, key, entity)
+    versions = version_intervals(start, keep_place(start, moved, [*key, *entity]), key, entity)
     lived = state_before(targets, versions, key).select("tx_hash", *key, "transaction_index", *entity, "state.*")
     own = changes.filter("before is not null and side_pre is not null").select(
         "tx_hash", "ledger_index", "transaction_index", F.col("side_pre").alias("side"), "offer_id", "step",
@@ -224,7 +243,7 @@ def book_before(targets: DataFrame, boundary: DataFrame, changes: DataFrame) ->
     own = own.join(targets.select("tx_hash").distinct(), "tx_hash", "left_semi")
     packed = F.struct(*[c for c in own.columns if c.startswith("_o_")])
     own = own.groupBy("tx_hash", "ledger_index", "transaction_index", "side", "offer_id").agg(
-        F.max_by(packed, F.col("step")).alias("_own")
+        F.max_by(packed, F.col("step")).alias("_own"), F.min("step").alias("_own_step")
     )
     joined = lived.join(own, ["tx_hash", "ledger_index", "transaction_index", "side", "offer_id"], "full")
     touched = F.col("_own").isNotNull()
@@ -234,7 +253,7 @@ def book_before(targets: DataFrame, boundary: DataFrame, changes: DataFrame) ->
         "tx_hash", "ledger_index", "transaction_index", "side", "offer_id",
         *[F.coalesce(F.col(f"_own._o_{c}"), F.col(c)).alias(c) for c in OFFER_STATE],
         *[F.when(keep_funding, F.col(c)).alias(c) for c in ("owner_funds", "taker_gets_funded", "taker_pays_funded")],
-        F.coalesce("position", F.lit(2_000_000_000)).alias("position"),
+        F.coalesce("position", (F.lit(2_000_000_000) + F.col("_own_step")).cast("bigint")).alias("position"),
         touched.alias("own_pre_image"),
         A.book_quality(F.coalesce(F.col("_own._o_book_directory"), F.col("book_directory"))).alias("quality"),
     )
@@ -256,25 +275,34 @@ def funds_changes(meta: DataFrame) -> DataFrame:
     """Balance each transaction leaves behind: (account, currency, issuer, funds) per touched balance.
 
     Native funds are the balance less the reserve, floored at zero; a removed account leaves zero. A
-    trust line sets the holder's side and zeroes the other.
+    trust line sets the holder's side and zeroes the other. ``units`` and ``exponent`` are exact;
+    ``funds`` is their DECIMAL(38,18) form, NULL (never zero) where the balance is too large for it.
     """
     nodes = affected_nodes(meta)
     ids = ["tx_hash", "ledger_index", "transaction_index", "step"]
     roots = nodes.filter(F.col("body.LedgerEntryType") == "AccountRoot")
     gone = F.col("kind") == "deleted"
     left = F.greatest(A.spendable_drops(A.drops_of(post("Balance")), post("OwnerCount")), F.lit(0))
+    drops = F.when(gone, F.lit(0)).otherwise(left)
     native = roots.select(
         *ids, F.coalesce(post("Account"), pre("Account")).alias("account"), F.lit(NATIVE).alias("currency"),
-        F.lit("").alias("issuer"), F.when(gone, F.lit(0)).otherwise(left).cast(VALUE).alias("funds"),
+        F.lit("").alias("issuer"), drops.cast(VALUE).alias("funds"), drops.cast(A.UNITS).alias("units"), F.lit(0).alias("exponent"),
     ).filter("account is not null and funds is not null")
     lines = trust_lines(nodes)
     gone_line = F.col("kind") == "deleted"
-    value = F.when(gone_line, F.lit(0).cast(VALUE)).otherwise(F.col("after.value"))
+    units = F.when(gone_line, F.lit(0)).otherwise(F.col("after.units")).cast(A.UNITS)
     zero = F.lit(0).cast(VALUE)
-    ends = F.array(
-        F.struct(F.col("low").alias("account"), F.col("high").alias("issuer"), F.greatest(value, zero).alias("funds")),
-        F.struct(F.col("high").alias("account"), F.col("low").alias("issuer"), F.greatest(-value, zero).alias("funds")),
-    )
+
+    def end(account: str, issuer: str, sign: int) -> Column:
+        held = (units * sign).cast(A.UNITS)
+        funds = F.when(held <= 0, zero).otherwise((F.col("after.value") * sign).cast(VALUE))
+        return F.struct(
+            F.col(account).alias("account"), F.col(issuer).alias("issuer"), funds.alias("funds"),
+            F.greatest(held, F.lit(0).cast(A.UNITS)).alias("units"), F.coalesce(F.col("after.exponent"), F.lit(0)).alias("exponent"),
+        )
+
+    lines = lines.filter(gone_line | F.col("after.units").isNotNull())
+    ends = F.array(end("low", "high", 1), end("high", "low", -1))
     issued = lines.select(*ids, "currency", F.inline(ends)).select(*native.columns)
     return native.unionByName(issued)
 
@@ -296,16 +324,17 @@ def funds_before(requests: DataFrame, seeds: DataFrame, changes: DataFrame) -> D
     """Funds of (account, asset) before each requesting transaction; NULL when never seen.
 
     ``requests`` has (tx_hash, ledger_index, transaction_index, account, currency, issuer). Opening
-    funds and earlier changes of the same ledger form one ordered stream per balance.
+    funds and earlier changes of the same ledger form one ordered stream per balance. ``units`` and
+    ``exponent`` are the exact form of a balance a change left behind; an opening balance has ``funds`` alone.
     """
     key = ["ledger_index", "account", "currency", "issuer"]
     opening = seeds.select(
         *key, F.lit(BEFORE_ALL).cast("bigint").alias("_at"), F.lit(1).alias("_tag"), F.lit(-1).alias("_step"),
-        F.struct("funds").alias("_state"),
+        F.struct("funds", F.lit(None).cast(A.UNITS).alias("units"), F.lit(None).cast("int").alias("exponent")).alias("_state"),
     )
     later = changes.select(
         *key, F.col("transaction_index").alias("_at"), F.lit(1).alias("_tag"), F.col("step").alias("_step"),
-        F.struct("funds").alias("_state"),
+        F.struct("funds", "units", "exponent").alias("_state"),
     )
     asked = requests.select(
         *key, F.col("transaction_index").alias("_at"), F.lit(0).alias("_tag"), F.lit(0).alias("_step"),
@@ -313,7 +342,7 @@ def funds_before(requests: DataFrame, seeds: DataFrame, changes: DataFrame) -> D
     )
     stream = opening.unionByName(later).unionByName(asked, allowMissingColumns=True)
     found = prefix_last(stream, key, ["_at", "_tag", "_step"], "_state", "_hit", gate=stream)
-    return found.filter("_ask is not null").select("_ask.*", F.col("_hit.funds").alias("funds"))
+    return found.filter("_ask is not null").select("_ask.*", "_hit.funds", "_hit.units", "_hit.exponent")
 
 
 def tx_pre_funds(meta: DataFrame) -> DataFrame:

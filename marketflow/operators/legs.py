@@ -244,8 +244,11 @@ def pair_legs(model: DataFrame, real: DataFrame) -> DataFrame:
     """Real legs with the model legs they face.
 
     A single real leg takes all model legs of its identity; equal numbers pair by rank; other sizes
-    stay unpaired. ``model_out``/``model_in`` hold the faced amounts in model order.
+    stay unpaired. ``model_legs`` holds the faced legs in model order. A model leg may have ``owner_out``,
+    what the owner pays with the transfer fee on top of ``out``; it equals ``out`` where absent.
     """
+    owner_out = F.coalesce("owner_out", "out") if "owner_out" in model.columns else F.col("out")
+    model = model.withColumn("owner_out", owner_out)
     group = Window.partitionBy(*LEG)
     amount = lambda c: [F.col(f"{c}.units"), F.col(f"{c}.exponent")]
     state = lambda c: [F.col(f"{c}.state_change"), *amount(f"{c}.pre"), *amount(f"{c}.post")]
@@ -263,15 +266,19 @@ def pair_legs(model: DataFrame, real: DataFrame) -> DataFrame:
         }
     )
     place = F.when(F.col("n_real") == 1, F.lit(1)).when(F.col("n_real") == F.col("n_model"), F.col("_rank"))
-    faced = F.sort_array(F.collect_list(F.struct("leg_no", "out", "in")))
+    faced = F.sort_array(F.collect_list(F.struct("leg_no", "out", "in", "owner_out")))
     grouped = left.withColumn("leg_rank", place).filter("leg_rank is not null").groupBy(*LEG, "leg_rank").agg(faced.alias("model_legs"))
     return right.join(grouped, [*LEG, "leg_rank"], "left")
 
 
 def _project(side: str) -> str:
-    """SQL of the balance after the faced model amounts, applied one by one with ledger rounding."""
+    """SQL of the balance after the faced model amounts, applied one by one with ledger rounding.
+
+    An account balance falls by what its owner paid, an offer's amount by what it gave.
+    """
+    taken = "if(`out`.state_source = 'account_delta', v.owner_out, v.`out`)" if side == "out" else "v.`in`"
     start = f"named_struct('units', cast(`{side}`.pre.units as {UNITS}), 'exponent', cast(`{side}`.pre.exponent as int))"
-    turn = f"named_struct('units', cast(v.`{side}`.units * if(`{side}`.state_change = 'increase', 1, -1) as {UNITS}), 'exponent', v.`{side}`.exponent)"
+    turn = f"named_struct('units', cast({taken}.units * if(`{side}`.state_change = 'increase', 1, -1) as {UNITS}), 'exponent', {taken}.exponent)"
     native = f"{side}_currency = '{NATIVE}'"
     step = A._let(turn, "f", A.signed_sum_sql("u", "f", 1, native))
     return f"aggregate(model_legs, {start}, (u, v) -> {step})"
@@ -315,7 +322,7 @@ def compare_legs(targets: DataFrame, model: DataFrame, real: DataFrame) -> DataF
     """Model against reality per target: matches, differences, endpoint residuals, first failing leg.
 
     ``targets`` has (tx_hash, in_currency, out_currency) and any columns to keep. ``model`` rows are
-    (tx_hash, src, source_id, leg_no, out, in) with structs of (units, exponent); ``real`` comes from
+    (tx_hash, src, source_id, leg_no, out, in, optionally owner_out) with structs of (units, exponent); ``real`` comes from
     :func:`real_legs`.
     """
     directions = targets.select("tx_hash", "in_currency", "out_currency")

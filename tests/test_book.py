@@ -2,6 +2,7 @@
 
 import json
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from marketflow.functions import amounts as A
 from marketflow.operators import book as B
 from marketflow.operators import funds as FU
 from marketflow.operators import ladder as LD
+from marketflow.operators import legs as LG
 from marketflow.operators.select import build_intents, normalise_metadata, resolve_ids
 from marketflow.sources.readers import parse_metadata
 
@@ -117,6 +119,51 @@ def test_offer_log_and_own_pre_image(spark):
     assert all(got[(t, "O9")] == ("7", "7", False) for t in ("T0", "T1", "T2"))
 
 
+def test_partial_fill_keeps_the_place(spark):
+    """A filled offer stays ahead of its equals; one that is deleted and made again queues behind them."""
+    fields = {"Account": "A", "Sequence": 1, "BookDirectory": DIRECTORY}
+    fill = lambda a, b: offer("ModifiedNode", "O1", {**fields, "TakerGets": issued(b), "TakerPays": b}, {"TakerGets": issued(a), "TakerPays": a})
+    gone = offer("DeletedNode", "O1", {**fields, "TakerGets": issued("8"), "TakerPays": "8"}, {})
+    made = offer("CreatedNode", "O1", new={**fields, "TakerGets": issued("3"), "TakerPays": "3"})
+    unseen = [offer("DeletedNode", f"N{i}", {**fields, "TakerGets": issued("1"), "TakerPays": "1"}, {}) for i in (2, 1)]
+    records = [record("t0", 0, [fill("10", "9")]), record("t1", 1, [fill("9", "8")]), record("t2", 2, [gone]), record("t3", 3, [made]), record("t4", 4, [fill("3", "2")]), record("t5", 5, unseen)]
+    boundary = spark.createDataFrame(
+        [(9, "gets_issued", "O1", 0, "A", 1, DIRECTORY, json.dumps(issued("10")), "10", None, None, None), (9, "gets_issued", "O9", 1, "B", 9, DIRECTORY, json.dumps(issued("7")), "7", None, None, None)],
+        "ledger_index bigint, side string, offer_id string, position bigint, account string, sequence bigint, book_directory string, taker_gets string, taker_pays string, owner_funds string, taker_gets_funded string, taker_pays_funded string",
+    )
+    targets = spark.createDataFrame([(f"T{i}", 10, i) for i in range(6)], "tx_hash string, ledger_index bigint, transaction_index bigint")
+    rows = B.book_before(targets, boundary, B.offer_changes(metadata(spark, records))).collect()
+    queue = {f"T{i}": [r["offer_id"] for r in sorted(rows, key=lambda r: (r["quality"], r["position"])) if r["tx_hash"] == f"T{i}"] for i in range(6)}
+    assert queue == {"T0": ["O1", "O9"], "T1": ["O1", "O9"], "T2": ["O1", "O9"], "T3": ["O9"], "T4": ["O9", "O1"], "T5": ["O9", "O1", "N2", "N1"]}
+
+
+def test_large_balance_is_not_zero(spark):
+    meta = metadata(spark, [record("t0", 0, [line("H", "ISS", "5", "3e21")]), record("t1", 1, [line("H", "ISS", "3e21", "1")])])
+    got = {(r["tx_hash"], r["account"]): (r["funds"], int(r["units"]) * 10 ** (r["exponent"] + 20)) for r in B.funds_changes(meta).collect()}
+    assert got[("T0", "H")] == (None, 3 * 10**41) and got[("T0", "ISS")] == (0, 0)
+    assert got[("T1", "H")] == (1, 10**20)
+
+
+def test_account_movement_includes_the_owners_fee(spark):
+    """The balance fell by what the owner paid (10.5), of which the taker got 10."""
+    def amount(value):
+        exponent = Decimal(str(value)).adjusted() - 15  # sixteen digits
+        return Decimal(str(value)).scaleb(-exponent), exponent
+
+    kind = "struct<units:decimal(38,0),exponent:int>"
+    side = f"struct<units:decimal(38,0),exponent:int,pre:{kind},post:{kind},state_change:string,state_source:string>"
+    leg = lambda source, pre, post, value: (*amount(value), amount(pre), amount(post), "decrease", source)
+    real = spark.createDataFrame(
+        [(t, "CLOB", "O1", "M", leg(source, 100, 100 - value, value), leg("offer_node", 50, 30, 20)) for t, source, value in (("A", "account_delta", 10.5), ("B", "offer_node", 10))],
+        f"tx_hash string, src string, source_id string, owner string, out {side}, `in` {side}",
+    )
+    model = spark.createDataFrame([(t, "CLOB", "O1", 1, amount(10), amount(20), amount(10.5)) for t in "AB"], f"tx_hash string, src string, source_id string, leg_no int, out {kind}, `in` {kind}, owner_out {kind}")
+    targets = spark.createDataFrame([("A", "XRP", "TOK"), ("B", "XRP", "TOK")], "tx_hash string, in_currency string, out_currency string")
+    paid = {r["tx_hash"]: r["out_side_exact_match"] for r in LG.compare_legs(targets, model, real).collect()}
+    given = {r["tx_hash"]: r["out_side_exact_match"] for r in LG.compare_legs(targets, model.drop("owner_out"), real).collect()}
+    assert paid == {"A": True, "B": True} and given == {"A": False, "B": True}
+
+
 def line(low, high, before, after, kind="ModifiedNode"):
     limit = lambda who: issued("0", "TOK", who)
     body = {"LedgerEntryType": "RippleState", "LedgerIndex": "L", "FinalFields": {"Balance": issued(after, "TOK", "ONE"), "LowLimit": limit(low), "HighLimit": limit(high)}, "PreviousFields": {"Balance": issued(before, "TOK", "ONE")}}
