@@ -75,6 +75,42 @@ SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM documents d LEFT JOIN sizes z ON d.doc_id = z.doc_id JOIN lowest l ON d.doc_id = l.node
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+  SELECT * FROM vectors WHERE label IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+counts AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a),
+reach AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON r.seen = l.a),
+lowest AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN lowest ON vec_id = node LEFT JOIN counts ON vec_id = a
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def op5_sql(rules: list[url_rules.Rule]) -> str:
+    """Every rule against every URL: the longest listed rule decides, else any pattern of the method blocks."""
+    listed = ", ".join(f"({', '.join(map(_quoted, (r.name, r.verdict, *r.name.partition('/')[::2])))})" for r in rules if r.listed)
+    reads = {"url": "lower(url)", "host_path": "'//' || host || path"}
+    patterns = " OR ".join(f"regexp_matches({reads[r.on]}, {_quoted(r.pattern)})" for r in rules if not r.listed)
+    return f"""
+WITH rules(rule, verdict, rule_host, rule_path) AS (VALUES {listed}),
+cut AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM split JOIN rules
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, '/' || rule_path) GROUP BY page_id)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict WHEN {patterns} THEN 'block' ELSE 'allow' END AS verdict
+FROM split LEFT JOIN fits USING (page_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_secrets": op2_secrets,
@@ -88,5 +124,7 @@ QUERIES: dict[str, Query] = {
     "op10_pivots": op10_pivots,
 }
 ORACLES: dict[str, str] = {
+    "op4_forest": OP4_SQL,
+    "op5_url_rules": op5_sql(url_rules.RULES),
     "op6_minhash": OP6_SQL,
 }
