@@ -14,9 +14,11 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ from marketflow.llm.common import tokenizer_file
 
 WORD_BPE = "word_bpe_49k.json"
 END_OF_WORD = "</w>"
-# Distinct chunks, and distinct pre-tokens, whose encodings a worker keeps; beyond it the memory is cleared and filled anew.
-MEMO_CHUNKS = 200_000
+BLOCK_BYTES = 8 << 20  # text encoded at once; its distinct words are encoded once
+CHUNKED_TEXTS = 128  # texts whose words are Python strings at a time
 _LAST = 0x8000  # offset that marks the last symbol of a word, which carries the end-of-word suffix
 _NEVER = np.int64(1 << 40)
 # White space of the tokenizer's normaliser: the Unicode property, without the four separators str.split() also takes.
@@ -248,102 +250,87 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-class Memory:
-    """Encodings of chunks, learned once and remembered up to a bound: ``ids`` (bytes) and, if asked for, decoded ``texts``."""
+def gather(offsets: np.ndarray, data: pa.Buffer, index: np.ndarray | pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
+    """Rows ``index`` of a binary column (64-bit offsets and bytes), runs of ``sizes`` rows joined into one each."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    if not ends[-1]:
+        return np.zeros(len(ends), np.int64), pa.py_buffer(b"")
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), data])
+    _, starts, found = column.take(pa.array(index) if isinstance(index, np.ndarray) else index).buffers()
+    return np.frombuffer(starts, np.int64)[ends], found or pa.py_buffer(b"")
 
-    def __init__(self, split: WordPieces, texts: bool):
-        self.split, self.special = split, {i: (int(i).to_bytes(4, "little"), t) for t, i in split.special.items()}
-        self.ids: dict[str, bytes] = {}
-        self.texts: dict[str, str] | None = {} if texts else None
-        self.pieces: dict[str | int, tuple[bytes, str]] = dict(self.special)
 
-    def words(self, words: list[str]) -> list[tuple[bytes, str]]:
-        """Ids in bytes and decoded text of pre-tokens."""
+class Blocks:
+    """Encodes texts block by block: a block's distinct chunks are cut into pre-tokens, and its distinct pre-tokens encoded, once.
+
+    Nothing is kept from block to block, so that memory is bounded by the block. Words are found again in Arrow, not in Python.
+    """
+
+    def __init__(self, split: WordPieces):
+        self.split = split
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of byte-level pre-tokens in order, and how many each has."""
         raise NotImplementedError
 
-    def rows(self, group: list[list[str]]) -> list[list[bytes]]:
-        """Ids of every chunk of every list; afterwards all of the group's chunks are remembered."""
-        found = [list(map(self.ids.get, chunks)) for chunks in group]
-        open_rows = [i for i, row in enumerate(found) if None in row]
-        if open_rows:
-            missing = {c for i in open_rows for c, v in zip(group[i], found[i], strict=True) if v is None}
-            if len(self.ids) + len(missing) > MEMO_CHUNKS:
-                self.ids = {}
-                if self.texts is not None:
-                    self.texts = {}
-                missing = set().union(*group)
-            self.learn(missing)
-            for i in open_rows:
-                found[i] = list(map(self.ids.__getitem__, group[i]))
-        return found
-
-    def learn(self, chunks: set[str]) -> None:
-        # Many small containers are made and kept here; none is part of a cycle.
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of a block of texts: text ``i`` has ``ids[offsets[i] : offsets[i + 1]]``, none if null or empty."""
+        # Many small strings are made here, none of them part of a cycle.
         collecting = gc.isenabled()
         gc.disable()
         try:
-            self._learn(chunks)
+            sizes, parts = [], []
+            for at in range(0, len(texts), CHUNKED_TEXTS):
+                rows = [chunks_of(t or "") for t in texts.slice(at, CHUNKED_TEXTS).to_pylist()]
+                sizes += map(len, rows)
+                parts.append(pa.array(list(chain.from_iterable(rows)), pa.large_string()))
+                del rows
+            every = (pa.concat_arrays(parts) if parts else pa.array([], pa.large_string())).dictionary_encode()
+            del parts
+            offsets, data = gather(*self._distinct(every.dictionary.to_pylist()), every.indices, np.array(sizes, np.int64))
         finally:
             if collecting:
                 gc.enable()
+        return offsets // 4, np.frombuffer(data, "<u4")[: offsets[-1] // 4]
+
+    def _distinct(self, chunks: list[str]) -> tuple[np.ndarray, pa.Buffer]:
+        """Ids of distinct chunks as a binary column."""
+        parts = [[low] if (low := c.lower()).isalpha() and low.isascii() else self.split.parts(c) for c in chunks]
+        found = dict.fromkeys(chain.from_iterable(parts))
+        special = [p for p in found if isinstance(p, int)]
+        words = [p for p in found if not isinstance(p, int)] if special else list(found)
+        number = dict(zip([*words, *special], range(len(found)), strict=True))
+        ids, lengths = self.words(words)
+        ids = np.concatenate([ids, special]).astype("<u4")
+        ends = 4 * np.concatenate([[0], np.cumsum(lengths), ids.size - len(special) + 1 + np.arange(len(special))]).astype(np.int64)
+        index = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64)
+        return gather(ends, pa.py_buffer(ids), index, np.fromiter(map(len, parts), np.int64, len(parts)))
+
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.pieces) > MEMO_CHUNKS:
-            self.pieces = dict(self.special)
-        single, words, others = [], [], []
-        for c in chunks:
-            low = c.lower()
-            if low.isalpha() and low.isascii():
-                single.append(c)
-                words.append(low)
-            else:
-                others.append(c)
-        parts = [self.split.parts(c) for c in others]
-        pieces = self.pieces
-        new = list(set(words).union(*parts) - pieces.keys())
-        pieces.update(zip(new, self.words(new), strict=True))
-        found = [pieces[w] for w in words]
-        self.ids.update(zip(single, [a for a, _ in found], strict=True))
-        many = [[pieces[p] for p in ps] for ps in parts]
-        self.ids.update(zip(others, [b"".join([a for a, _ in ps]) for ps in many], strict=True))
-        if self.texts is not None:
-            self.texts.update(zip(single, [b for _, b in found], strict=True))
-            self.texts.update(zip(others, [" ".join([b for _, b in ps]) for ps in many], strict=True))
-
-
-class Encoder(Memory):
-    """Encodes texts batch by batch; distinct chunks are encoded once and remembered up to a bound, also from task to task."""
+class Encoder(Blocks):
+    """The speculative encoder, and the decoder: tokens joined by a space, as a tokenizer without a decoder does."""
 
     def __init__(self, path: str):
         self.bpe = load(path)
-        super().__init__(self.bpe.words, texts=True)
+        super().__init__(self.bpe.words)
+        spelled = [f"{t} ".encode() for t in self.bpe.text]
+        self.token_ends, self.tokens = np.cumsum([0, *map(len, spelled)]), pa.py_buffer(b"".join(spelled))
 
-    def words(self, words: list[str]) -> list[tuple[bytes, str]]:
-        found, text = self.bpe.encode_words(words), self.bpe.text
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.bpe.encode_words(words)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        whole = np.fromiter((i for ids in found for i in ids), "<u4", int(lengths.sum())).tobytes()
-        ends = (4 * np.cumsum(lengths)).tolist()
-        return [(whole[start:end], " ".join([text[i] for i in ids])) for start, end, ids in zip([0, *ends], ends, found, strict=False)]
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text; a null text is empty."""
-        out: list[tuple[bytes, str]] = []
-        group: list[list[str]] = []
-        size = 0
-
-        def flush() -> None:
-            for chunks, ids in zip(group, self.rows(group), strict=True):
-                # A chunk without tokens adds nothing to the decoded text.
-                out.append((b"".join(ids), " ".join(filter(None, map(self.texts.__getitem__, chunks)))))
-
-        for text in texts:
-            group.append(chunks := chunks_of(text or ""))
-            size += len(chunks)
-            if size > MEMO_CHUNKS // 4:
-                flush()
-                group, size = [], 0
-        flush()
-        return out
+        return np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum())), lengths
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[memoryview]:
+        """Decoded texts of a block in UTF-8."""
+        ends, data = gather(self.token_ends, self.tokens, ids, np.diff(offsets))
+        whole = memoryview(data)
+        return [whole[a : max(a, b - 1)] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[tuple[bytes, str]]:
+        """(ids as little-endian unsigned 32-bit integers, decoded text) of each text of one block; a null text is empty."""
+        ends, ids = self.encode_block(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        return [(ids[a:b].tobytes(), str(t, "utf-8")) for a, b, t in zip(ends, ends[1:], self.decode(ends, ids), strict=False)]
 
 
 @lru_cache(maxsize=1)
@@ -352,6 +339,16 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def blocks(batch: pa.RecordBatch, text: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch cut into runs of rows with at most ``most`` bytes of text; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def decode(ids: bytes, path: str) -> str:
     """Text of little-endian ids: tokens joined by a space, as a tokenizer without a decoder does."""
     text = load(path).text
@@ -370,8 +367,8 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in batches:
-            found = encoder.encode(batch.column(text).to_pylist())
+        for batch in chain.from_iterable(blocks(b, text) for b in batches):
+            found = encoder.encode(batch.column(text))
             ids, decoded = [a for a, _ in found], [b for _, b in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [*batch.schema.names, "ids", "decoded"])
 
@@ -384,14 +381,14 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in batches:
-            found = encoder.encode(batch.column("text").to_pylist())
+        for batch in chain.from_iterable(blocks(b, "text") for b in batches):
+            ends, ids = encoder.encode_block(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([len(a) // 4 for a, _ in found], pa.int64()),
-                    pa.array([hashlib.sha256(a).hexdigest() for a, _ in found], pa.string()),
-                    pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in found], pa.string()),
+                    pa.array(np.diff(ends)),
+                    pa.array([hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)], pa.string()),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in encoder.decode(ends, ids)], pa.string()),
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )

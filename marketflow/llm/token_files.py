@@ -12,9 +12,11 @@ One row per document: ``doc_id``, ``n_tokens``, ``shard`` (range partition), ``s
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,42 +32,37 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1_000
 DICTIONARY_BYTES = 1 << 20
 TEXT_ROWS_PER_SHARD = 20_000
-ENCODED_ROWS = 256  # texts a task encodes at once
+BLOCK_BYTES = 16 << 20  # text a task encodes at once
+WORDS_AT_ONCE = 1_000  # pre-tokens in one call of the library
 FILE_SCHEMA = "doc_id long, n_tokens long, shard int, shard_start long, tokens array<int>"
 
 
-class LibraryEncoder(bpe.Memory):
-    """Whole texts by the tokenizers library; pre-tokens already seen are not encoded again (bounded memory).
+class LibraryEncoder(bpe.Blocks):
+    """Whole texts by the tokenizers library; each distinct pre-token of a block is encoded once.
 
     The model encodes each pre-token alone, so that the ids of a text are those of its parts in order.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__(bpe.WordPieces(path), texts=False)
+        super().__init__(bpe.WordPieces(path))
         whole = self.split.tokenizer
         self.model = Tokenizer(whole.model)
         self.ends = np.array([(whole.id_to_token(i) or "").endswith(bpe.END_OF_WORD) for i in range(whole.get_vocab_size())])
 
-    def words(self, words: list[str]) -> list[tuple[bytes, str]]:
-        """Ids of many pre-tokens; a block goes to the library at once and is cut where a token ends a word."""
-        out: list[tuple[bytes, str]] = []
-        for found in self.model.encode_batch_fast([words[i : i + 1000] for i in range(0, len(words), 1000)], is_pretokenized=True, add_special_tokens=False):
-            ids = np.array(found.ids, "<u4")
-            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
-            raw = ids.tobytes()
-            out += [(raw[a:b], "") for a, b in zip(cuts, cuts[1:], strict=False)]
-        return out
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        return list(map(b"".join, self.rows([bpe.chunks_of(t or "") for t in texts])))
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many pre-tokens go to the library at once; a word ends where a token with the end-of-word suffix stands."""
+        parts = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        found = [np.array(e.ids, np.int64) for e in self.model.encode_batch_fast(parts, is_pretokenized=True, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.int64), *found])
+        return ids, np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
 
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> LibraryEncoder:
-    """The encoder of this worker process; what it remembers serves all its tasks."""
+    """The encoder of this worker process."""
     return LibraryEncoder(path)
 
 
@@ -80,19 +77,17 @@ def encode(docs: DataFrame, shards: int, path: str | None = None, end_id: int =
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     ordered = keyed.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().alias("shard"))
-    end = int(end_id).to_bytes(4, "little")
     names = ["doc_id", "n_tokens", "shard", "shard_start", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = encoder_of(path), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, ENCODED_ROWS):
-                batch = whole.slice(at, ENCODED_ROWS)
-                found = [ids + end for ids in encoder.encode(batch.column("text").to_pylist())]
-                offsets = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in found])])
-                tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), batch.column("shard"), pa.array(before + offsets[:-1]), tokens], names)
-                before += int(offsets[-1])
+        for batch in chain.from_iterable(bpe.blocks(b, "text", BLOCK_BYTES) for b in batches):
+            ends, ids = encoder.encode_block(batch.column("text"))
+            ids = np.insert(ids.view("<i4"), ends[1:], end_id)
+            offsets = ends + np.arange(len(ends))
+            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), batch.column("shard"), pa.array(before + offsets[:-1]), tokens], names)
+            before += int(offsets[-1])
 
     return ordered.mapInArrow(run, FILE_SCHEMA)
 
