@@ -46,6 +46,22 @@ def test_bpe_equals_library(library):
         assert bpe.decode(ids, common.tokenizer_file(bpe.WORD_BPE)) == decoded
 
 
+def test_blocks_keep_every_text_whole(library):
+    import pyarrow as pa
+
+    texts = [*TEXTS, None, "", *random_texts(200, 5), "word " * 300]
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    for kind in (bpe.Encoder, token_files.LibraryEncoder):
+        encoder = kind(common.tokenizer_file(bpe.WORD_BPE))
+        for most in (1, 100, 1 << 20):
+            got = []
+            for block in bpe.blocks(batch, "text", most):
+                ends, ids = encoder.encode_block(block.column("text"))
+                got += [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
+            assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not list(bpe.blocks(batch.slice(0, 0), "text"))
+
+
 def test_speculation_is_checked_and_mostly_right_or_merged():
     model = bpe.load(common.tokenizer_file(bpe.WORD_BPE))
     words = ["the", "anotherword", "thonening", "xqzjk"]
