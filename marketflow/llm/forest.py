@@ -4,7 +4,8 @@ Each tree splits space again and again at the median projection on a random dire
 to both sides, so a close pair is rarely separated by one tree and practically never by all. The trees' directions and borders
 come from a bounded sample; every vector is placed. Within a leaf all pairs of a label are compared by cosine in double
 precision, in blocks of a bounded size. No pair is emitted: a block gives each vector's number of links, counted only in the
-first leaf a pair shares, and edges to the smallest linked vector of the block, which suffice for the components.
+first leaf a pair shares, and one edge per vector to the smallest vector of its component within the block, so that no link of
+a block is lost to the components.
 """
 
 from __future__ import annotations
@@ -105,8 +106,23 @@ def _earlier(leaves: list[np.ndarray], leaf: int) -> np.ndarray:
     return out
 
 
+def _heads(close: np.ndarray) -> np.ndarray:
+    """Per row of a symmetric matrix of links the first row of its component; each row's links are read once."""
+    heads = np.full(len(close), -1)
+    for first in range(len(close)):
+        if heads[first] >= 0:
+            continue
+        heads[first] = first
+        reached = np.array([first])
+        while len(reached):
+            reached = np.flatnonzero(close[reached].any(axis=0) & (heads < 0))
+            heads[reached] = first
+    return heads
+
+
 def compare_block(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links among a block's vectors: per vector ``n`` (weighted links whose first shared leaf this is) and ``low`` (a linked one).
+    """Links among a block's vectors: per vector ``n`` (weighted links whose first shared leaf this is) and ``low``, the smallest
+    vector it reaches by links of the block.
 
     ``side`` 0 and 1 mark the two blocks of a pair of blocks, only crossing pairs of which count; one block alone has side 0.
     """
@@ -130,7 +146,7 @@ def compare_block(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
     fresh = close & ~(before @ before.T > 0) if before.shape[1] else close
     weights = frame["copies"].to_numpy()[some]
     ids = frame["vec_id"].to_numpy()[some]
-    return pd.DataFrame({"vec_id": ids, "n": fresh @ weights, "low": ids[close.argmax(axis=1)]})
+    return pd.DataFrame({"vec_id": ids, "n": fresh @ weights, "low": ids[_heads(close)]})
 
 
 def link(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", trees: int = TREES) -> DataFrame:

@@ -1,12 +1,14 @@
 """The corpus operators against brute force, libraries and SQL, with nulls, empty tables, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -335,6 +337,36 @@ def test_forest_equals_brute_force(spark, monkeypatch, leaf):
     assert forest.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_forest_unites_chains_and_stars_in_any_order(blocks):
+    # Neighbours on a chain, and a star's centre and its arms, have a cosine of at least 0.98, others less.
+    step = np.arccos(0.98) * 0.99
+    chain = np.array([[np.cos(i * step), np.sin(i * step), 0, 0, 0] for i in range(5)])
+    star = np.array([[1, 0, 0, 0, 0]] + [np.cos(step) * np.eye(5)[0] + np.sin(step) * np.eye(5)[i] for i in range(1, 5)])
+    for table, chained in ((chain, True), (star, False)):
+        for ids in itertools.permutations(range(5)):
+            # Chains and stars have two colours, so that with two blocks all links cross.
+            side = [i % 2 if chained else int(i > 0) for i in range(5)] if blocks == 2 else [0] * 5
+            frame = pd.DataFrame({"vec_id": ids, "v": list(table), "leaf": 0, "side": side, "copies": 1, "leaves": [[0]] * 5})
+            found = forest.compare_block(frame, 0.98)
+            assert len(found) == 5 and (found["low"] == 0).all()
+            expected = [1, 2, 2, 2, 1] if chained else [4, 1, 1, 1, 1]
+            assert dict(zip(found["vec_id"], found["n"], strict=True)) == dict(zip(ids, expected, strict=True))
+
+
+def test_forest_components_of_chains(spark):
+    step = np.arccos(0.98) * 0.99
+    rng = np.random.default_rng(11)
+    rows = []
+    for group in range(24):
+        # Each chain lies in a plane of its own label.
+        axes = np.linalg.qr(rng.standard_normal((64, 2)))[0]
+        rows += [(int(i), [float(x) for x in axes @ [np.cos(at * step), np.sin(at * step)]], group) for at, i in enumerate(10 * group + rng.permutation(6))]
+    found = forest.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.component_id) for r in found} == {(i, 10 * g) for i, _, g in rows}
+    assert sum(r.kept for r in found) == 24 and sum(r.n_links for r in found) == 24 * 10
+
+
 def test_search_recall_and_edges(spark):
     table = [t[:2] for t in vectors(6, 800) if t[0] != 905]
     rows = spark.createDataFrame(table, "vec_id long, embedding array<float>")
