@@ -209,6 +209,34 @@ def test_mixing_hits_targets_and_repeats_decisions(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
+def test_scarce_values_do_not_shrink_the_mix(spark):
+    rng = random.Random(5)
+    marks = rng.choices(["", "licensed ", "a@b.c "], [0.85, 0.1, 0.05], k=4000)
+    langs = rng.choices(["en", "de", "fr", "es"], [0.5, 0.2, 0.2, 0.1], k=4000)
+    rows = [(i, mark + "word " * (20 + i % 11), lang, f"src{rng.randrange(5)}", 0) for i, (mark, lang) in enumerate(zip(marks, langs, strict=True))]
+    rows += [(9001, "https://a.b " + "word " * 99, "en", "src3", 0), (9002, "word " * 50, None, "src4", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.weigh(docs).toPandas()
+    total, kept = out.n_words.sum(), out[out.sampled]
+    assert abs(kept.n_words.sum() / total - mixing.BUDGET) < 0.03
+    assert {9001, 9002} <= set(kept.doc_id)
+    report = mixing.report(docs).set_index(["marginal", "value"])
+    assert np.allclose(report.groupby("marginal")["expected"].sum(), mixing.BUDGET * total)
+    for value, words in ((("topic", "web"), 100), (("lang_group", "other"), 50)):
+        assert np.isclose(report.loc[value, "expected"], words) and np.isclose(report.loc[value, "shortfall"], report.loc[value, "wanted"] - words)
+    # The shortfall goes to the others in proportion to their targets.
+    assert np.isclose(report.loc[("lang_group", "en"), "expected"], (mixing.BUDGET * total - 50) * 0.55 / 0.99, rtol=1e-6)
+
+
+def test_contradicting_marginals_fill_the_budget():
+    # Place 0 of the first marginal is all of place 0 of the second, which wants little.
+    p, room = mixing.rake(np.array([50.0, 50.0]), [np.array([0, 1])] * 2, [np.array([0.9, 0.1]), np.array([0.1, 0.9])], 0.5)
+    assert room == 50 and np.isclose(np.array([50.0, 50.0]) @ p, 50) and (p <= 1).all()
+    # A place without a share gives nothing.
+    p, room = mixing.rake(np.array([60.0, 40.0]), [np.array([0, 1])], [np.array([1.0, 0.0])], 0.8)
+    assert room == 60 and p.tolist() == [1, 0]
+
+
 def test_segmentations_are_summed():
     vocab = language.vocabulary(common.tokenizer_file(language.PIECES))
     rng = np.random.default_rng(2)
