@@ -193,13 +193,8 @@ def bucket_links(members: DataFrame, texts: DataFrame, n: int, percent: int) ->
     return edges.union(within)
 
 
-def link(docs: DataFrame, n: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest linked doc_id) and ``kept``.
-
-    Only ``doc_id`` and ``text`` are read. Null and empty texts have no shingles and link with nothing. Documents with equal
-    sets are one node however many they are. Rows that repeat a doc_id each give a row; a null doc_id links and is never
-    smallest. An empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, n: int, percent: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
+    """(signatures of all rows, one row per node with its first ``doc_id`` and ``text_hash`` and its ``component``)."""
     found = land(signatures(docs, n, percent / 100, coordinates), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
     classes = found.filter("node is not null").groupBy("node").agg(first.alias("rep"), F.first("bands").alias("bands"))
@@ -212,8 +207,18 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, coordinates: int = COOR
     match = keyed["doc_id"].eqNullSafe(needed["doc_id"]) & (keyed["text_hash"] == needed["text_hash"])
     texts = land(keyed.join(needed, match).select("node", "text").dropDuplicates(["node"]), "texts")
     labels = components(bucket_links(members, texts, n, percent))
+    named = classes.select("node", "doc_id", "text_hash").join(labels, "node", "left")
+    return found, named.select("node", "doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
+
 
-    named = classes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+def link(docs: DataFrame, n: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
+    """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest linked doc_id) and ``kept``.
+
+    Only ``doc_id`` and ``text`` are read. Null and empty texts have no shingles and link with nothing. Documents with equal
+    sets are one node however many they are. Rows that repeat a doc_id each give a row; a null doc_id links and is never
+    smallest. An empty table gives an empty result.
+    """
+    found, named = _classes(docs, n, percent, coordinates)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id")
     out = found.select("doc_id", "n_shingles", "node").join(named, "node", "left")
@@ -221,9 +226,18 @@ def link(docs: DataFrame, n: int = 5, percent: int = 80, coordinates: int = COOR
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` without near-duplicates: of each group the document with the smallest doc_id stays.
+    """Rows of ``docs`` without near-duplicates: of each group of linked texts one row stays, whatever ids its rows have.
 
-    Rows that repeat the kept doc_id are copies of one another and are reduced to one. Documents without text all stay.
+    It is one with the smallest doc_id, null last, and of these the one with the smallest text hash. Texts that are not linked
+    all stay, also under one doc_id or under null. Documents without text are no copies of one another: rows that repeat both
+    doc_id and text are reduced to one, those with a null doc_id all stay.
     """
-    kept = link(docs.select("doc_id", "text"), n, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    _, named = _classes(docs.select("doc_id", "text"), n, percent, COORDINATES)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("rep"))
+    kept = first.select(F.col("rep.doc_id").alias("_kept"), F.col("rep.text_hash").alias("_hash"))
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    # The white space that separates words; a text of nothing else has no shingle.
+    worded = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    same = keyed["doc_id"].eqNullSafe(kept["_kept"]) & (keyed["_text_hash"] == kept["_hash"])
+    copies = keyed.filter(worded).join(kept, same, "left_semi").unionByName(keyed.filter(~worded & F.col("doc_id").isNotNull()))
+    return copies.dropDuplicates(["doc_id", "_text_hash"]).unionByName(keyed.filter(~worded & F.col("doc_id").isNull())).drop("_text_hash")

@@ -331,6 +331,19 @@ def test_minhash_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(part))
 
 
+def test_deduplicate_drops_copies_only(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f, g = (" ".join(f"{k}{rng.randrange(900)}" for _ in range(40)) for k in "abcdefg")
+    near = " ".join([*d.split(), "more"])
+    rows = [(None, a), (None, b), (None, a), (None, None), (None, None), (None, " \x0b")]  # null ids: two texts, one twice
+    rows += [(5, c), (5, d), (6, near), (4, near), (5, e)]  # one id with three texts, one of them a near copy of document 4
+    rows += [(7, f), (7, f), (None, f), (8, f), (8, g), (9, ""), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], DOCS)
+    kept = [(r.doc_id, r.text) for r in minhash.deduplicate(docs).collect()]
+    want = [(None, a), (None, b), (None, None), (None, None), (None, " \x0b"), (5, c), (4, near), (5, e), (7, f), (8, g), (9, ""), (9, None)]
+    assert sorted(map(repr, kept)) == sorted(map(repr, want))
+
+
 def vectors(seed=3, count=300):
     rng = np.random.default_rng(seed)
     rows = rng.standard_normal((count, 16))
