@@ -14,14 +14,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketflow.llm.common import mix64, tokenizer_file
+from marketflow.llm.common import land, mix64, tokenizer_file
 
 PIECES = "piece_bpe_32k.model"
 LONGEST = 8  # characters of a piece; longer pieces of the vocabulary are left out
 SAMPLE = 12_000  # labelled texts the model is fitted on
+LEAST = 300  # texts of a language that take part, however many languages there are
 ROUNDS = 2
 SMOOTHING = 0.1
 MEMO_WORDS = 400_000
@@ -147,18 +148,35 @@ def expected(words: list[str], counts: np.ndarray, vocab: Vocabulary, logs: np.n
     return out
 
 
+def _sampled(rows: DataFrame, held: dict[str, int], most: int) -> DataFrame:
+    """``text`` and ``lang`` of the ``most`` distinct texts of each language that are first by their hash.
+
+    ``held`` has about the number of distinct texts of each language: the hashes are cut at a bound that leaves half as many
+    again before copies are dropped and the texts ordered, so that no more than that is ordered.
+    """
+    bounds = [(name, int(min(1.0, 1.5 * most / max(1, n)) * (1 << 40))) for name, n in held.items()]
+    bounds = rows.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    first = F.pmod("hash", F.lit(1 << 40))
+    near = rows.join(F.broadcast(bounds), "lang").filter(first < F.col("bound")).dropDuplicates(["lang", "hash"])
+    order = Window.partitionBy("lang").orderBy(first, "hash")
+    return near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("text", "lang")
+
+
 def fit(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE, path: str | None = None) -> dict:
     """Languages and log-probabilities [piece, language] from ``text`` and non-null ``lang`` of the rows ``training`` selects.
 
-    At most about ``sample`` texts take part, chosen by a hash of the text; their words are counted and their expectations
-    formed in the tasks, and only piece counts (vocabulary times languages) reach the driver.
+    All languages of the training rows are learned. Of each, the same number of distinct texts takes part, ``sample`` in all but
+    at least LEAST of a language, or all it has, chosen by a hash of the text; copies count once. Their words are counted and
+    their expectations formed in the tasks; only a count per language and piece counts (vocabulary times languages) reach the
+    driver.
     """
     path = path or tokenizer_file(PIECES)
-    rows = docs.filter(training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
-    total = rows.count()
-    share = min(1.0, sample / max(1, total))
-    rows = rows.filter(F.pmod(F.xxhash64(text, F.lit(9)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    languages = [r[0] for r in rows.select(lang).distinct().orderBy(lang).toLocalIterator()]
+    rows = docs.filter(training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = rows.withColumn("hash", F.xxhash64("text", F.lit(9)))
+    held = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash")).collect()}
+    languages = sorted(held)
+    if languages:
+        rows = land(_sampled(rows, held, max(LEAST, -(-sample // len(languages)))), "sample")
     logs = None
     size = len(vocabulary(path).pieces)
     for _ in range(ROUNDS if languages else 0):

@@ -273,6 +273,19 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert [r.lang_pred for r in language.predict(docs, empty).collect()] == ["und"] * 4
 
 
+def test_every_language_is_learned_and_copies_count_once(spark):
+    rows = [(i, f"the house and the garden number {'abcdefghij'[i % 10]} {'klmnopqrst'[i // 10 % 10]} {'uvwxyz'[i // 100]}", "en") for i in range(600)]
+    rows += [(1000 + i, "the same text again and again", "en") for i in range(400)] + [(2000, "das haus und der garten", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True), sample=20)
+    assert model["languages"] == ["de", "en"]
+    tests = spark.createDataFrame([(1, "der garten und das haus"), (2, "and the garden")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(tests, model).collect()} == {1: "de", 2: "en"}
+    hashed = docs.withColumn("hash", F.xxhash64("text", F.lit(9)))
+    texts = [(r.lang, r.text) for r in language._sampled(hashed, {"de": 1, "en": 601}, 50).collect()]
+    assert len(texts) == len(set(texts)) == 51 and ("de", "das haus und der garten") in texts
+
+
 # Near-duplicates and search
 
 
