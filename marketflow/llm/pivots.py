@@ -90,9 +90,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
 
     ``queries`` is a condition on ``vec_id`` (the key, as long) and ``v`` (the vector).
     Unusable vectors (null, zero, null or non-finite components) take no part, as queries and as candidates. A query is no
-    candidate of itself. Rows that repeat a key count once (the first by its vector). A query with fewer than ``k`` candidates
-    in its files is compared with all vectors, in blocks, so it gets all there are. Inverted files are cut into parts of a
-    bounded number of rows, so a pivot to which a third of all vectors are close is dealt to many tasks.
+    candidate of itself. Rows that repeat a key count once (the first by its vector). Equal vectors are indexed and asked once,
+    under their smallest id, and give their smallest ids at the end. A query with fewer than ``k`` candidates in its files is
+    compared with all vectors, in blocks, so it gets all there are. Inverted files are cut into parts of a bounded number of
+    rows, so a pivot to which a third of all vectors are close is dealt to many tasks.
     """
     rows = vectors.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -100,13 +101,22 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not total:
         return empty
-    count = min(total, MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(PIVOTS_PER_ROOT * math.sqrt(total))))
-    pivots = choose_pivots(rows, "v", count)
-    placed = land(permutations(rows, "v", pivots).withColumn("is_query", F.coalesce(queries, F.lit(False))), "permutations")
+    # k others of a class besides the query itself are enough, and so are k + 1 classes, one of which may be the query alone.
+    same = Window.partitionBy("v")
+    members = rows.withColumn("n", F.row_number().over(same.orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    members = land(members.select(F.min("vec_id").over(same).alias("class_id"), "vec_id", "v"), "members")
+    classes = members.filter("class_id = vec_id").select("vec_id", "v")
+    asked = rows.filter(F.coalesce(queries, F.lit(False))).withColumnRenamed("vec_id", "query_id")
+    asked = land(asked.join(classes.withColumnRenamed("vec_id", "class_id"), "v").select("query_id", "class_id"), "asked")
+    count = min(classes.count(), MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(PIVOTS_PER_ROOT * math.sqrt(total))))
+    pivots = choose_pivots(classes, "v", count)
+    asking = asked.select(F.col("class_id").alias("vec_id"), F.lit(True).alias("is_query")).distinct()
+    placed = classes.join(asking, "vec_id", "left").withColumn("is_query", F.coalesce("is_query", F.lit(False)))
+    placed = land(permutations(placed, "v", pivots), "permutations")
     posted = placed.select("vec_id", "v", "pivots", "is_query", F.explode(F.slice("pivots", 1, POSTED)).alias("file"))
     # Two counts per pivot: at most MAX_PIVOTS rows.
-    asked = F.greatest(F.lit(1), F.ceil(F.count_if("is_query") / FILE_ROWS)).cast("int")
-    parts = posted.groupBy("file").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("parts"), asked.alias("query_parts"))
+    query_parts = F.greatest(F.lit(1), F.ceil(F.count_if("is_query") / FILE_ROWS)).cast("int")
+    parts = posted.groupBy("file").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("parts"), query_parts.alias("query_parts"))
     sized = posted.join(parts, "file")
     part, query_part = (F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int") for c in ("parts", "query_parts"))
     every_part, every_query_part = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("parts", "query_parts"))
@@ -126,22 +136,31 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
         out = []
         for q in np.flatnonzero(asks):
             far = footrule(orders[q], own_orders, n_pivots)
-            far[own == ids[q]] = np.iinfo(np.int32).max
-            take = np.argpartition(far, reranked)[:reranked] if len(far) > reranked else np.arange(len(far))
-            take = take[own[take] != ids[q]]
+            # All that tie with the last one reranked are reranked too.
+            take = np.flatnonzero(far <= np.partition(far, reranked - 1)[reranked - 1]) if len(far) > reranked else np.arange(len(far))
             score = (own_values[take] * values[q]).sum(axis=1) / (own_lengths[take] * lengths[q])
-            best = np.lexsort((own[take], -score))[:k]
+            best = np.lexsort((own[take], -score))[: k + 1]
             out.append((np.full(len(best), ids[q]), own[take][best], score[best]))
         return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
     found = candidates.unionByName(asking).groupBy("file", "part", "query_part").applyInPandas(compare, "query_id long, vec_id long, score double").distinct()
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    found = land(_first(found, k), "found")
-    full = found.filter(F.col("rank") == min(k, total - 1)).select(F.col("query_id").alias("vec_id"))
-    short = placed.filter("is_query").join(full, "vec_id", "left_anti")
-    if total > 1 and not short.isEmpty():
-        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_in_blocks(short, placed, k))
-    return found
+    found = land(_expand(_first(found, k + 1), members, k), "found")
+    others = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
+    sized = asked.join(found, "class_id", "left").select("class_id", F.coalesce(F.size(others), F.lit(0)).alias("others"))
+    short = land(sized.filter(F.col("others") < min(k, total - 1)).select(F.col("class_id").alias("vec_id")).distinct(), "short")
+    if not short.isEmpty():
+        full = _expand(_in_blocks(placed.join(short, "vec_id", "left_semi"), placed, k + 1), members, k)
+        found = found.join(short.select(F.col("vec_id").alias("class_id")), "class_id", "left_anti").unionByName(full)
+    listed = asked.join(found, "class_id").select("query_id", F.posexplode(F.slice(others, 1, k)).alias("rank", "x"))
+    return listed.select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.score")
+
+
+def _expand(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Per class that asked, ``class_id`` and ``near``: the first k + 1 (vec_id, score) of the members of the classes it found."""
+    asked = found.select("query_id", F.col("vec_id").alias("class_id"), "score").join(members.select("class_id", "vec_id"), "class_id")
+    near = F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score")))
+    return _first(asked, k + 1).groupBy(F.col("query_id").alias("class_id")).agg(near.alias("near"))
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -163,10 +182,9 @@ def _in_blocks(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         own = np.flatnonzero(~asks)
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
         for q in np.flatnonzero(asks):
-            others = own[ids[own] != ids[q]]
-            score = (values[others] * values[q]).sum(axis=1) / (lengths[others] * lengths[q])
-            best = np.lexsort((ids[others], -score))[:k]
-            out.append(pd.DataFrame({"query_id": ids[q], "vec_id": ids[others][best], "score": score[best]}))
+            score = (values[own] * values[q]).sum(axis=1) / (lengths[own] * lengths[q])
+            best = np.lexsort((ids[own], -score))[:k]
+            out.append(pd.DataFrame({"query_id": ids[q], "vec_id": ids[own][best], "score": score[best]}))
         return pd.concat(out).astype({"query_id": "int64", "vec_id": "int64"})
 
     pairs = left.withColumn("q", F.col("q").cast("int")).unionByName(right).groupBy("q", "b").applyInPandas(compare, "query_id long, vec_id long, score double")

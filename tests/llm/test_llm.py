@@ -443,6 +443,26 @@ def test_search_recall_and_edges(spark):
     assert pivots.search(rows.limit(0), F.lit(True)).count() == 0
 
 
+def test_search_inside_a_large_group_of_copies(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((400, 16))
+    table = [(i, base[0] if i % 3 else base[i % 400]) for i in range(3000)]
+    table += [(5000 + i, base[1] * 2.0 ** (i % 7)) for i in range(700)]  # equal directions of different lengths
+    rows = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in table], "vec_id long, embedding array<double>")
+    found = pivots.search(rows, F.col("vec_id").isin(1, 2, 1501, 2999, 5006, 5600)).toPandas()
+    ids, values = np.array([i for i, _ in table]), np.stack([v for _, v in table])
+    units = values / np.sqrt((values**2).sum(axis=1))[:, None]
+    # 1501 is a copy of vector 0, as all ids that 3 does not divide, and 0 and 1200 and 2400, which 400 divides.
+    group = [i for i, v in table if np.array_equal(v, base[0])]
+    assert len(group) > 2000
+    for q in (1, 2, 1501, 2999):
+        assert found[found.query_id == q].sort_values("rank")["vec_id"].tolist() == [i for i in group if i != q][:5]
+    for q in (5006, 5600):
+        own = found[found.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(own["score"], 1) and q not in set(own["vec_id"])
+        assert np.allclose(units[np.isin(ids, own["vec_id"])] @ units[ids == q][0], 1)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     rows = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
