@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketflow.llm import bpe, forest, language, minhash, mixing, pivots, quality, secret_scan, token_files, url_rules
+from marketflow.llm import bpe, collocations, elimination, forest, language, minhash, mixing, pivots, quality, secret_scan, token_files, url_rules, whitening
 from marketflow.llm.common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,18 @@ def op10_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elimination.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP6_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -90,6 +102,37 @@ FROM embeddings JOIN lowest ON vec_id = node LEFT JOIN counts ON vec_id = a
 """
 
 
+OP11_SQL = """
+WITH rows AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS piece FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (SELECT lang, k, unnest([w[i : i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS g FROM words, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k),
+counts AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (SELECT c.lang, c.k, c.g, c.f AS a, h.k AS cut, h.f AS l, t.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.f // (CAST(h.f AS HUGEINT) + t.f) AS BIGINT) AS score
+  FROM counts c JOIN counts h ON h.lang = c.lang AND h.k < c.k AND h.g = c.g[1 : h.k] JOIN counts t ON t.lang = c.lang AND t.k = c.k - h.k AND t.g = c.g[h.k + 1 : c.k]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner_parts AS (SELECT lang, a, unnest(flatten([[g[i : i + m - 1] FOR i IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS g FROM best WHERE k > 2),
+absorbing AS (SELECT lang, g, max(a) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.l, b.r, b.score FROM best b LEFT JOIN absorbing s ON s.lang = b.lang AND s.g = b.g
+  WHERE s.longer IS NULL OR CAST(100 AS HUGEINT) * s.longer < CAST(80 AS HUGEINT) * b.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept k JOIN totals t ON k.lang = t.lang QUALIFY rank <= 2000
+"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -122,9 +165,14 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_language": op9_language,
     "op10_pivots": op10_pivots,
+    "op11_elimination": op11_elimination,
+    "op12_collocations": op12_collocations,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op4_forest": OP4_SQL,
     "op5_url_rules": op5_sql(url_rules.RULES),
     "op6_minhash": OP6_SQL,
+    "op11_elimination": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
