@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketflow.llm.common import land
-from marketflow.llm.vectors import finite, products, scaled
+from marketflow.llm.vectors import EXACT, finite, products, scaled
 
 SCALE = 256
 PIVOTS = 64
@@ -29,7 +29,8 @@ BLOCK_ROWS = 4096
 PAGE_BLOCKS = 1024  # block summaries compared with a part of the queries at once
 PART_QUERIES = 1024
 SLAB = 16  # pivots looked at between two eliminations
-FIRST_LOOK = 32
+FIRST_LOOK = 128
+SINGLE = 2.0**24  # integers up to here are exact in single precision
 LOOSE = 1e-6  # distances are stored in single precision; bounds are loosened by far more than its error
 SCORES = "query_row long, query_id long, vec_id long, high decimal(38,0), low decimal(38,0)"
 SCORE_SCHEMA = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("high", pa.decimal128(38, 0)), ("low", pa.decimal128(38, 0))])
@@ -72,35 +73,64 @@ def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(n).to_numpy() for n in names]
 
 
-def eliminate(q: np.ndarray, q_far: np.ndarray, x: np.ndarray, far: np.ndarray, ids: np.ndarray, skip: int, k: int, least: float = -math.inf) -> tuple[list[tuple[int, int]], int]:
-    """The k best (score, id) of the rows of ``x`` for one query, ties to the smaller id, and how many rows were evaluated.
-
-    Rows of id ``skip`` are no candidates. ``least`` is a score the k-th answer is known to reach; rows below it may be left out.
-    """
-    alive = np.flatnonzero(ids != skip)
-    if not len(alive):
-        return [], 0
-    top = float(far.max()) + float(q_far.max())
-    norms = far[:, 0].astype(np.float64) ** 2 + float(q_far[0]) ** 2
-    spare = LOOSE * top * top
-    low, bound = np.zeros(len(alive), np.float32), np.zeros(0)
-    for at in range(0, len(q_far), SLAB):
-        low = np.maximum(low, np.abs(far[alive, at : at + SLAB] - q_far[at : at + SLAB]).max(axis=1))
-        bound = (norms[alive] - np.maximum(low.astype(np.float64) - LOOSE * top, 0) ** 2) / 2 + spare
-        keep = bound >= least
-        if not keep.all():
-            alive, low, bound = alive[keep], low[keep], bound[keep]
-    order = np.argsort(-bound, kind="stable")
-    best: list[tuple[int, int]] = []
-    done, look = 0, FIRST_LOOK
-    while done < len(order):
-        if len(best) == k and bound[order[done]] < best[-1][0]:
-            break
-        take = alive[order[done : done + look]]
-        scores = products(q[None, :], x[take])[0].tolist()
-        best = sorted([*best, *zip(scores, ids[take].tolist(), strict=True)], key=lambda s: (-s[0], s[1]))[:k]
-        done, look = done + len(take), look * 2
-    return best, done
+class Block:
+    """Rows of one block with their part of the table, laid out pivot by pivot; integers in the narrowest type that keeps sums exact."""
+
+    def __init__(self, x: np.ndarray, far: np.ndarray, ids: np.ndarray):
+        self.x, self.far, self.ids = x, np.ascontiguousarray(far.T), ids
+        self.norms = self.far[0].astype(np.float64) ** 2
+        self.largest, self.farthest = float(np.abs(x).max(initial=0)), float(far.max(initial=0))
+        self.single = x.astype(np.float32) if self.largest < SINGLE else x
+
+    def scores(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        bound = self.largest * float(np.abs(q).max()) * len(q)
+        if bound >= EXACT:
+            return products(q[None, :], self.x[rows])[0]
+        x, q = (self.single, q.astype(np.float32)) if bound < SINGLE else (self.x, q)
+        # One pass over the block in place costs less than gathering a good part of its rows.
+        found = (x @ q)[rows] if len(rows) * 4 > len(x) else x[rows] @ q
+        return found.astype(np.int64)
+
+    def answer(self, q: np.ndarray, q_far: np.ndarray, skip: int, k: int, least: float = -math.inf) -> tuple[list[tuple[int, int]], int]:
+        """The k best (score, id) for one query, ties to the smaller id, and how many rows were evaluated.
+
+        Rows of id ``skip`` are no candidates. ``least`` is a score the k-th answer is known to reach; rows below it may be left out.
+        """
+        top = self.farthest + float(q_far.max())
+        spare = LOOSE * top * top
+        norms, far = self.norms + float(q_far[0]) ** 2, self.far
+        alive, low = None, np.zeros(far.shape[1], np.float32)
+        for at in range(0, len(q_far), SLAB):
+            gap = np.empty_like(low)
+            for p in range(at, min(at + SLAB, len(q_far))):
+                np.subtract(far[p] if alive is None else far[p][alive], q_far[p], out=gap)
+                np.maximum(low, np.abs(gap, out=gap), out=low)
+            bound = (norms - np.maximum(low - np.float32(LOOSE * top), 0).astype(np.float64) ** 2) / 2 + spare
+            keep = bound >= least
+            # Compacting costs a gather per pivot: worth it once a good part is out.
+            if keep.sum() * 4 < len(keep) * 3:
+                alive = np.flatnonzero(keep) if alive is None else alive[keep]
+                low, norms, bound = low[keep], norms[keep], bound[keep]
+                if not len(alive):
+                    return [], 0
+        order = np.argsort(-bound)
+        rows = order if alive is None else alive[order]
+        bound = bound[order]
+        fit = (bound >= least) & (self.ids[rows] != skip)
+        rows, bound = rows[fit], bound[fit]
+        best: list[tuple[int, int]] = []
+        done, look = 0, FIRST_LOOK
+        while done < len(rows):
+            if len(best) == k and bound[done] < best[-1][0]:
+                break
+            if len(best) == k:
+                look = min(look, int(np.searchsorted(-bound[done:], -best[-1][0], "right")))
+            take = rows[done : done + look]
+            scores = self.scores(q, take)
+            near = scores >= best[-1][0] if len(best) == k else np.ones(len(take), bool)
+            best = sorted([*best, *zip(scores[near].tolist(), self.ids[take[near]].tolist(), strict=True)], key=lambda s: (-s[0], s[1]))[:k]
+            done, look = done + len(take), look * 4
+        return best, done
 
 
 def _answers(found: list[tuple[int, int, list[tuple[int, int]]]]) -> pa.Table:
@@ -191,7 +221,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     def own_block(block: pa.Table) -> pa.Table:
         ids, lines, asking = _columns(block, "vec_id", "row", "asks")
         x, far = scaled(block.column("v"), scale, width), _matrix(block.column("far"), np.float32)
-        return _answers([(int(lines[q]), int(ids[q]), eliminate(x[q], far[q], x, far, ids, ids[q], k)[0]) for q in np.flatnonzero(asking)])
+        held = Block(x, far, ids)
+        return _answers([(int(lines[q]), int(ids[q]), held.answer(x[q], far[q], ids[q], k)[0]) for q in np.flatnonzero(asking)])
 
     first = land(table.groupBy("block").applyInArrow(own_block, SCORES), "first")
     # The k-th score found so far, in double precision, a little below where it is rounded.
@@ -208,9 +239,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
         if not asking.num_rows or not block.num_rows:
             return SCORE_SCHEMA.empty_table()
         (ids,), (lines, names) = _columns(block, "vec_id"), _columns(asking, "row", "vec_id")
-        x, far = scaled(block.column("v"), scale, width), _matrix(block.column("far"), np.float32)
+        held = Block(scaled(block.column("v"), scale, width), _matrix(block.column("far"), np.float32), ids)
         q, q_far, least = scaled(asking.column("v"), scale, width), _matrix(asking.column("far"), np.float32), pc.fill_null(asking.column("least"), -math.inf).to_numpy()
-        return _answers([(int(lines[i]), int(names[i]), eliminate(q[i], q_far[i], x, far, ids, names[i], k, least[i])[0]) for i in range(len(q))])
+        return _answers([(int(lines[i]), int(names[i]), held.answer(q[i], q_far[i], names[i], k, least[i])[0]) for i in range(len(q))])
 
     more = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(visit, SCORES)
     best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")

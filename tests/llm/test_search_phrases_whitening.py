@@ -86,12 +86,13 @@ def test_elimination_spares_rows_and_blocks():
     x = np.floor(centres[np.arange(4000) % 20] + rng.normal(0, 4, (4000, 16)))
     pivots = np.vstack([np.zeros(16), centres])
     far, ids = elimination.distances(x, pivots), np.arange(4000)
+    block = elimination.Block(x, far, ids)
     for q in (0, 7, 1999):
-        got, evaluated = elimination.eliminate(x[q], far[q], x, far, ids, q, 5)
+        got, evaluated = block.answer(x[q], far[q], q, 5)
         scores = (x @ x[q]).astype(np.int64)
         want = sorted(((int(s), i) for i, s in enumerate(scores) if i != q), key=lambda p: (-p[0], p[1]))[:5]
         assert got == want and evaluated < 2000  # bounds, not the whole table
-        assert elimination.eliminate(x[q], far[q], x, far, ids, q, 5, least=want[-1][0])[0] == want
+        assert block.answer(x[q], far[q], q, 5, least=want[-1][0])[0] == want
 
 
 def test_integer_products_are_exact_at_every_size():
