@@ -11,7 +11,9 @@ three and four words between the pairs that passed; a bit filter of bounded size
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import Counter as Counted
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,15 +33,15 @@ KEPT = 2000
 ABSORBED = 80  # percent of a phrase's count that a longer one holding it must have
 SCALE = 2_000_000  # 1,000,000 times the Dice coefficient
 NO_LANGUAGE = "und"
+WORD_BYTES = 4
 BURST = 16_384  # entries of a container
 SHARE = 64  # a word with more than 1 / SHARE of a bursting container gets a child
 DEEPEST = 3  # levels of nodes: language, first and second word
-HELD_ENTRIES = 750_000  # entries of a task's trie before subtrees leave
-HELD_WORDS = 1_500_000  # words of a task's dictionary
+HELD_ENTRIES = 600_000  # entries of a task's trie before subtrees leave
+HELD_WORDS = 500_000  # words of a task's dictionary
 BLOCK_BYTES = 4 << 20
 MIN_BITS, MAX_BITS, BITS_PER_PAIR, PROBES = 1 << 16, 1 << 28, 16, 3
 RUN_ROWS = 65_536
-RANGE_ROWS = 1_000_000
 
 PIECE, WORD, LETTER = 2, 1, 0
 KIND = np.zeros(256, np.uint8)
@@ -47,8 +49,9 @@ KIND[[ord(c) for c in " \t"]] = WORD
 KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = PIECE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-RUN_SCHEMA = "lang string, words tinyint, phrase string, f long"
-RUN_TYPES = pa.schema([("lang", pa.string()), ("words", pa.int8()), ("phrase", pa.string()), ("f", pa.int64())])
+RUN_SCHEMA = "key string, f long"
+RUN_TYPES = pa.schema([("key", pa.string()), ("f", pa.int64())])
+AFTER_LANGUAGE = "\n"  # between language and phrase in a key; it cuts pieces, so no phrase holds it
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -77,14 +80,17 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """Counts of paths (language id, word ids): nodes while paths are shared by many, hash containers below."""
+    """Counts of paths (language id, word ids): nodes while paths are shared by many, hash containers of the remaining ids below.
+
+    A container's keys are the bytes of its 32-bit ids.
+    """
 
     class Node:
         __slots__ = ("children", "rest")
 
         def __init__(self, rest: dict | None = None):
             self.children: dict[int, Trie.Node | dict] = {}
-            self.rest: dict[tuple, int] = rest or {}
+            self.rest: dict[bytes, int] = rest or {}
 
     def __init__(self):
         self.root = Trie.Node()
@@ -93,21 +99,21 @@ class Trie:
     def add(self, paths: np.ndarray, counts: np.ndarray) -> None:
         """Add counts of different paths, sorted; -1 fills the place after a path's end."""
         if len(paths):
-            self._add(self.root, paths, counts, 0)
+            self._add(self.root, paths.astype(np.int32), counts, 0)
 
     def _add(self, node: Trie.Node, paths: np.ndarray, counts: np.ndarray, level: int) -> None:
-        lead = paths[:, level]
-        edges = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1], True])
         rest = np.ones(len(paths), bool)
         if node.children:
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                child = node.children.get(int(lead[a]))
+            lead = paths[:, level]
+            edges = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1], True])
+            for at, (a, b) in zip(lead[edges[:-1]].tolist(), itertools.pairwise(edges.tolist()), strict=True):
+                child = node.children.get(at)
                 if child is not None:
                     rest[a:b] = False
                     if isinstance(child, Trie.Node):
                         self._add(child, paths[a:b], counts[a:b], level + 1)
                     else:
-                        node.children[int(lead[a])] = self._fill(child, paths[a:b, level + 1 :], counts[a:b], level + 1)
+                        node.children[at] = self._fill(child, paths[a:b, level + 1 :], counts[a:b], level + 1)
         if rest.any():
             grown = self._fill(node.rest, paths[rest, level:], counts[rest], level)
             if isinstance(grown, Trie.Node):
@@ -116,33 +122,33 @@ class Trie:
 
     def _fill(self, table: dict, keys: np.ndarray, counts: np.ndarray, level: int) -> Trie.Node | dict:
         """Count into a container; the container, or the node it bursts into."""
-        size = len(table)
-        get = table.get
-        for key, n in zip(map(tuple, keys.tolist()), counts.tolist(), strict=True):
-            table[key] = get(key, 0) + n
+        size, get = len(table), table.get
+        packed = np.ascontiguousarray(keys).view(f"V{keys.shape[1] * WORD_BYTES}").ravel().tolist()
+        if size:
+            table.update({key: get(key, 0) + n for key, n in zip(packed, counts.tolist(), strict=True)})
+        else:
+            table.update(zip(packed, counts.tolist(), strict=True))
         self.entries += len(table) - size
-        return self._burst(table) if len(table) > BURST and level < DEEPEST else table
+        # A container that found nothing to hand down is tried again only at twice the size.
+        grown = (len(table) // BURST).bit_length() > (size // BURST).bit_length()
+        return self._burst(table) if grown and level < DEEPEST else table
 
     @staticmethod
     def _burst(table: dict) -> Trie.Node | dict:
-        shares: dict[int, int] = {}
-        for key in table:
-            shares[key[0]] = shares.get(key[0], 0) + 1
-        heavy = {lead for lead, n in shares.items() if n * SHARE > len(table)}
+        shares = Counted(key[:WORD_BYTES] for key in table)
+        heavy = {lead: {} for lead, n in shares.items() if n * SHARE > len(table)}
         if not heavy:
             return table
-        node = Trie.Node({key: n for key, n in table.items() if key[0] not in heavy})
-        for lead in heavy:
-            node.children[lead] = {}
+        node = Trie.Node()
         for key, n in table.items():
-            if key[0] in heavy:
-                node.children[key[0]][key[1:]] = n
+            child = heavy.get(key[:WORD_BYTES])
+            if child is None:
+                node.rest[key] = n
+            else:
+                child[key[WORD_BYTES:]] = n
+        node.children = {int(np.frombuffer(lead, np.int32)[0]): child for lead, child in heavy.items()}
         return node
 
-    @staticmethod
-    def size(part: Trie.Node | dict) -> int:
-        return len(part) if isinstance(part, dict) else len(part.rest) + sum(map(Trie.size, part.children.values()))
-
     def cut(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Take out whole subtrees, largest first, until at most ``keep`` entries stay: (paths, counts) of each."""
         parts = []
@@ -167,7 +173,7 @@ class Trie:
             else:
                 node.children[lead] = {}
             self.entries -= size
-            keys = np.array(list(table), dtype=np.int64)
+            keys = np.frombuffer(b"".join(table), np.int32).reshape(size, -1)
             paths = np.empty((size, len(prefix) + keys.shape[1]), np.int64)
             paths[:, : len(prefix)] = prefix
             paths[:, len(prefix) :] = keys
@@ -219,14 +225,16 @@ def pair_filter(pairs: DataFrame, count: int) -> np.ndarray:
 
 
 def _unique(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted different rows and their counts; columns are joined pairwise through dense numbers, so a key is one long."""
+    """Sorted different rows and their counts. Three ids go into one long; longer rows number their heads first."""
     if not len(paths):
         return paths, np.zeros(0, np.int64)
-    number = paths[:, 0] + 1
+    width = max(1, int(paths.max() + 2).bit_length())
+    number, used = paths[:, 0] + 1, width
     for c in range(1, paths.shape[1]):
-        if number.max(initial=0) >> 31:
+        if used + width > 63:
             number = np.unique(number, return_inverse=True)[1]
-        number = (number << 32) | (paths[:, c] + 1)
+            used = max(1, len(number).bit_length())
+        number, used = (number << width) | (paths[:, c] + 1), used + width
     _, at, counts = np.unique(number, return_index=True, return_counts=True)
     return paths[at], counts
 
@@ -237,6 +245,7 @@ class Counter:
     def __init__(self, shortest: int, longest: int, passed: np.ndarray | None):
         self.shortest, self.longest, self.passed = shortest, longest, passed
         self.trie, self.ids, self.names, self.hashes = Trie(), {}, [], np.zeros(0, np.uint64)
+        self.totals: Counted = Counted()
 
     def number(self, names: list[str]) -> np.ndarray:
         ids = self.ids
@@ -255,6 +264,8 @@ class Counter:
         word = self.number(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         coded = pc.fill_null(batch.column("lang"), NO_LANGUAGE).dictionary_encode()
         lang = self.number(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)][text] if len(words) else word
+        for at, n in zip(*np.unique(lang, return_counts=True), strict=True):
+            self.totals[self.names[at]] += int(n)
         if self.passed is not None and len(word):
             pairs = pair_hash(self.hashes[lang[:-1]], self.hashes[word[:-1]], self.hashes[word[1:]])
             linked[:-1] &= in_filter(self.passed, pairs)
@@ -275,16 +286,20 @@ class Counter:
                 self.ids, self.names, self.hashes = {}, [], np.zeros(0, np.uint64)
 
     def spill(self, keep: int = 0) -> Iterator[pa.RecordBatch]:
-        names = None
+        if self.trie.entries <= keep:
+            return
+        names = pa.array(self.names, pa.large_string())
+        order = pc.sort_indices(names).to_numpy()
+        ranks = np.full(len(order) + 1, -1, np.int64)  # the last place is that of -1
+        ranks[order] = np.arange(len(order))
+        names = names.take(pa.array(order))
         for paths, counts in self.trie.cut(keep):
-            names = names if names is not None else pa.array(self.names, pa.large_string())
-            yield from self._runs(paths, counts, names)
+            yield from self._runs(ranks[paths], counts, names)
 
     def _runs(self, paths: np.ndarray, counts: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
-        """Every prefix of the paths with the sum of the subtree below it, sorted."""
+        """For each length, the prefixes of the paths with the sums of the subtrees below them, sorted by language and words."""
         order = np.lexsort(paths.T[::-1])
         paths, counts = paths[order], counts[order]
-        tables = []
         for k in range(self.shortest, self.longest + 1):
             has = paths[:, k] >= 0
             own, sums = paths[has, : k + 1], counts[has]
@@ -292,15 +307,20 @@ class Counter:
                 continue
             edges = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]).any(axis=1)])
             own, sums = own[edges], np.add.reduceat(sums, edges)
-            phrase = pc.binary_join_element_wise(*(names.take(pa.array(own[:, c])) for c in range(1, k + 1)), pa.scalar(" ", pa.large_string()))
-            lang = names.take(pa.array(own[:, 0]))
-            tables.append(pa.Table.from_arrays([lang.cast(pa.string()), pa.array(np.full(len(own), k, np.int8)), phrase.cast(pa.string()), pa.array(sums)], schema=RUN_TYPES))
-        if tables:
-            yield from pa.concat_tables(tables).sort_by([("lang", "ascending"), ("phrase", "ascending")]).to_batches(RUN_ROWS)
+            for at in range(0, len(own), RUN_ROWS):
+                words = [names.take(pa.array(column)) for column in own[at : at + RUN_ROWS].T]
+                phrase = pc.binary_join_element_wise(*words[1:], pa.scalar(" ", pa.large_string()))
+                key = pc.binary_join_element_wise(words[0], phrase, pa.scalar(AFTER_LANGUAGE, pa.large_string()))
+                yield pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(sums[at : at + RUN_ROWS])], schema=RUN_TYPES)
+
+    def word_totals(self) -> pa.RecordBatch:
+        """All words of each language, under the empty phrase."""
+        keys = [lang + AFTER_LANGUAGE for lang in self.totals]
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(self.totals.values(), pa.int64())], schema=RUN_TYPES)
 
 
 def count_runs(docs: DataFrame, shortest: int, longest: int, passed: np.ndarray | None = None) -> DataFrame:
-    """Sorted runs ``(lang, words, phrase, f)`` of the phrases of ``shortest`` to ``longest`` words; a phrase may occur in many runs."""
+    """Sorted runs ``(key, f)`` of the phrases of ``shortest`` to ``longest`` words; a phrase may occur in many runs."""
     shared = docs.sparkSession.sparkContext.broadcast(passed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,28 +328,35 @@ def count_runs(docs: DataFrame, shortest: int, longest: int, passed: np.ndarray
         for block in chain.from_iterable(blocks(b, "text", BLOCK_BYTES) for b in batches):
             yield from counter.read(block)
         yield from counter.spill()
+        yield counter.word_totals()
 
     return docs.mapInArrow(run, RUN_SCHEMA)
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """Total counts: runs meet in ranges of (lang, phrase), which need no further shuffle to be summed."""
-    ranges = max(1, math.ceil(runs.count() / RANGE_ROWS))
-    return runs.repartitionByRange(ranges, "lang", "phrase").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+def merge_runs(runs: DataFrame, least: int) -> DataFrame:
+    """``lang, words, phrase, f`` of at least ``least`` occurrences, and the words of each language under the empty phrase.
+
+    Runs were counted before they meet, so a phrase has at most one row a run and no partition grows with the number of its occurrences.
+    """
+    merged = runs.repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("key", AFTER_LANGUAGE, -1)
+    words = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ", -1)))
+    lang = F.expr("left(key, length(key) - length(phrase) - 1)")
+    kept = merged.withColumn("phrase", phrase).withColumn("words", words).filter((F.col("f") >= least) | (F.col("words") == 0))
+    return kept.select(lang.alias("lang"), "words", "phrase", "f")
 
 
 def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(phrases of one to four words with at least ``least`` occurrences: ``lang, words, phrase, f``; words per language: ``lang, n``)."""
     rows = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
-    short = land(count_runs(rows, 1, 2), "short-runs")
-    totals = short.filter("words = 1").groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = land(merge_runs(short).filter(F.col("f") >= least), "short-phrases")
-    pairs = frequent.filter("words = 2")
+    short = land(merge_runs(count_runs(rows, 1, 2), least), "short-phrases")
+    totals = short.filter("words = 0").select("lang", F.col("f").alias("n"))
+    frequent, pairs = short.filter("words > 0"), short.filter("words = 2")
     count = pairs.count()
     if not count:
         return frequent, totals
-    long = land(count_runs(rows, 3, LONGEST, pair_filter(pairs, count)), "long-runs")
-    return frequent.unionByName(merge_runs(long).filter(F.col("f") >= least)), totals
+    long = merge_runs(count_runs(rows, 3, LONGEST, pair_filter(pairs, count)), least).filter("words > 0")
+    return frequent.unionByName(land(long, "long-phrases")), totals
 
 
 def score(counts: DataFrame) -> DataFrame:
