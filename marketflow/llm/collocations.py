@@ -135,18 +135,16 @@ class Trie:
 
     @staticmethod
     def _burst(table: dict) -> Trie.Node | dict:
-        shares = Counted(key[:WORD_BYTES] for key in table)
-        heavy = {lead: {} for lead, n in shares.items() if n * SHARE > len(table)}
-        if not heavy:
+        keys = list(table)
+        lead = np.frombuffer(b"".join(keys), np.int32).reshape(len(keys), -1)[:, 0]
+        words, where, sizes = np.unique(lead, return_inverse=True, return_counts=True)
+        heavy = sizes * SHARE > len(table)
+        if not heavy.any():
             return table
-        node = Trie.Node()
-        for key, n in table.items():
-            child = heavy.get(key[:WORD_BYTES])
-            if child is None:
-                node.rest[key] = n
-            else:
-                child[key[WORD_BYTES:]] = n
-        node.children = {int(np.frombuffer(lead, np.int32)[0]): child for lead, child in heavy.items()}
+        node = Trie.Node(table)
+        node.children = {word: {} for word in words[heavy].tolist()}
+        for at in np.flatnonzero(heavy[where]).tolist():
+            node.children[int(lead[at])][keys[at][WORD_BYTES:]] = table.pop(keys[at])
         return node
 
     def cut(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -281,7 +279,7 @@ class Counter:
         self.trie.add(*_unique(paths))
         if self.trie.entries > HELD_ENTRIES or len(self.names) > HELD_WORDS:
             full = len(self.names) > HELD_WORDS
-            yield from self.spill(0 if full else HELD_ENTRIES // 2)
+            yield from self.spill(0 if full else HELD_ENTRIES // 4)
             if full:
                 self.ids, self.names, self.hashes = {}, [], np.zeros(0, np.uint64)
 
