@@ -37,9 +37,9 @@ WORD_BYTES = 4
 BURST = 16_384  # entries of a container
 SHARE = 64  # a word with more than 1 / SHARE of a bursting container gets a child
 DEEPEST = 3  # levels of nodes: language, first and second word
-HELD_ENTRIES = 600_000  # entries of a task's trie before subtrees leave
+HELD_ENTRIES = 1_200_000  # entries of a task's trie before subtrees leave
 HELD_WORDS = 500_000  # words of a task's dictionary
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 MIN_BITS, MAX_BITS, BITS_PER_PAIR, PROBES = 1 << 16, 1 << 28, 16, 3
 RUN_ROWS = 65_536
 
@@ -99,7 +99,7 @@ class Trie:
     def add(self, paths: np.ndarray, counts: np.ndarray) -> None:
         """Add counts of different paths, sorted; -1 fills the place after a path's end."""
         if len(paths):
-            self._add(self.root, paths.astype(np.int32), counts, 0)
+            self._add(self.root, paths, counts, 0)
 
     def _add(self, node: Trie.Node, paths: np.ndarray, counts: np.ndarray, level: int) -> None:
         rest = np.ones(len(paths), bool)
@@ -123,7 +123,7 @@ class Trie:
     def _fill(self, table: dict, keys: np.ndarray, counts: np.ndarray, level: int) -> Trie.Node | dict:
         """Count into a container; the container, or the node it bursts into."""
         size, get = len(table), table.get
-        packed = np.ascontiguousarray(keys).view(f"V{keys.shape[1] * WORD_BYTES}").ravel().tolist()
+        packed = self._packed(keys)
         if size:
             table.update({key: get(key, 0) + n for key, n in zip(packed, counts.tolist(), strict=True)})
         else:
@@ -135,18 +135,26 @@ class Trie:
 
     @staticmethod
     def _burst(table: dict) -> Trie.Node | dict:
-        keys = list(table)
-        lead = np.frombuffer(b"".join(keys), np.int32).reshape(len(keys), -1)[:, 0]
-        words, where, sizes = np.unique(lead, return_inverse=True, return_counts=True)
+        keys = np.frombuffer(b"".join(table), np.int32).reshape(len(table), -1)
+        words, where, sizes = np.unique(keys[:, 0], return_inverse=True, return_counts=True)
         heavy = sizes * SHARE > len(table)
         if not heavy.any():
             return table
-        node = Trie.Node(table)
-        node.children = {word: {} for word in words[heavy].tolist()}
-        for at in np.flatnonzero(heavy[where]).tolist():
-            node.children[int(lead[at])][keys[at][WORD_BYTES:]] = table.pop(keys[at])
+        counts = np.fromiter(table.values(), np.int64, len(table))
+        node = Trie.Node(Trie._container(keys[~heavy[where]], counts[~heavy[where]]))
+        for word in np.flatnonzero(heavy):
+            own = where == word
+            node.children[int(words[word])] = Trie._container(keys[own, 1:], counts[own])
         return node
 
+    @staticmethod
+    def _container(keys: np.ndarray, counts: np.ndarray) -> dict[bytes, int]:
+        return dict(zip(Trie._packed(keys), counts.tolist(), strict=True))
+
+    @staticmethod
+    def _packed(keys: np.ndarray) -> list[bytes]:
+        return np.ascontiguousarray(keys).view(f"V{keys.shape[1] * WORD_BYTES}").ravel().tolist() if len(keys) else []
+
     def cut(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Take out whole subtrees, largest first, until at most ``keep`` entries stay: (paths, counts) of each."""
         parts = []
@@ -222,19 +230,21 @@ def pair_filter(pairs: DataFrame, count: int) -> np.ndarray:
     return words
 
 
-def _unique(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unique(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different rows and their counts. Three ids go into one long; longer rows number their heads first."""
-    if not len(paths):
-        return paths, np.zeros(0, np.int64)
-    width = max(1, int(paths.max() + 2).bit_length())
-    number, used = paths[:, 0] + 1, width
-    for c in range(1, paths.shape[1]):
+    width = max(1, int(max(c.max(initial=0) for c in columns) + 2).bit_length())
+    number, used = columns[0] + 1, width
+    for c in columns[1:]:
         if used + width > 63:
             number = np.unique(number, return_inverse=True)[1]
             used = max(1, len(number).bit_length())
-        number, used = (number << width) | (paths[:, c] + 1), used + width
+        number, used = (number << width) | (c + 1), used + width
+    if used <= 3 * width:  # nothing was numbered anew: the ids are in the key
+        number, counts = np.unique(number, return_counts=True)
+        shifts = np.arange(len(columns) - 1, -1, -1) * width
+        return (((number[:, None] >> shifts) & ((1 << width) - 1)) - 1).astype(np.int32), counts
     _, at, counts = np.unique(number, return_index=True, return_counts=True)
-    return paths[at], counts
+    return np.stack([c[at] for c in columns], axis=1).astype(np.int32), counts
 
 
 class Counter:
@@ -267,16 +277,17 @@ class Counter:
         if self.passed is not None and len(word):
             pairs = pair_hash(self.hashes[lang[:-1]], self.hashes[word[:-1]], self.hashes[word[1:]])
             linked[:-1] &= in_filter(self.passed, pairs)
-        paths = np.full((len(word), self.longest + 1), -1, np.int64)
-        if len(word):
-            paths[:, 0], paths[:, 1] = lang, word
-            reach = np.ones(len(word), bool)
-            for k in range(1, self.longest):
-                reach[: len(word) - k] &= linked[k - 1 : len(word) - 1]
-                reach[max(0, len(word) - k) :] = False
-                paths[np.flatnonzero(reach), k + 1] = word[np.flatnonzero(reach) + k]
-        paths = paths[paths[:, self.shortest] >= 0]
-        self.trie.add(*_unique(paths))
+        columns, reach = [lang, word], np.ones(len(word), bool)
+        for k in range(1, self.longest):
+            reach[: len(word) - k] &= linked[k - 1 : len(word) - 1]
+            reach[max(0, len(word) - k) :] = False
+            later = np.full(len(word), -1, np.int64)
+            later[: len(word) - k] = np.where(reach[: len(word) - k], word[k:], -1)
+            columns.append(later)
+        if self.shortest > 1:
+            long = columns[self.shortest] >= 0
+            columns = [c[long] for c in columns]
+        self.trie.add(*_unique(columns))
         if self.trie.entries > HELD_ENTRIES or len(self.names) > HELD_WORDS:
             full = len(self.names) > HELD_WORDS
             yield from self.spill(0 if full else HELD_ENTRIES // 4)
