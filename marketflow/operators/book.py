@@ -311,13 +311,22 @@ def funds_seeds(boundary: DataFrame, lines: DataFrame) -> DataFrame:
     """Opening funds per (ledger, account, asset): the smaller of what offers and lines publish.
 
     ``boundary`` has (ledger_index, account, currency, issuer, funds) from its offers, ``lines`` the
-    same from account lines; both describe the ledger before.
+    same from account lines; both describe the ledger before. Where both also have ``units`` and ``exponent``, those
+    decide, and stay.
     """
     names = ["ledger_index", "account", "currency", "issuer", "funds"]
-    rows = boundary.select(*names).unionByName(lines.select(*names)).filter("funds is not null")
-    return rows.groupBy("ledger_index", "account", "currency", "issuer").agg(F.min("funds").alias("funds")).withColumn(
-        "ledger_index", F.col("ledger_index") + 1
-    )
+    exact = all({"units", "exponent"} <= set(df.columns) for df in (boundary, lines))
+    if not exact:
+        rows = boundary.select(*names).unionByName(lines.select(*names)).filter("funds is not null")
+        smallest = rows.groupBy(*names[:-1]).agg(F.min("funds").alias("funds"))
+        return smallest.withColumn("ledger_index", F.col("ledger_index") + 1)
+    names += ["units", "exponent"]
+    rows = boundary.select(*names).unionByName(lines.select(*names)).filter("units is not null")
+    # 16-digit units: by sign, then (exponent, units), which a negative sign turns round.
+    sign = F.signum(F.col("units")).cast("int")
+    order = F.struct(sign.alias("s"), F.when(sign == 0, 0).otherwise(F.col("exponent") * sign).alias("e"), F.col("units").alias("u"))
+    smallest = rows.groupBy(*names[:4]).agg(F.min_by(F.struct("funds", "units", "exponent"), order).alias("_least"))
+    return smallest.select((F.col("ledger_index") + 1).alias("ledger_index"), *names[1:4], "_least.*")
 
 
 def funds_before(requests: DataFrame, seeds: DataFrame, changes: DataFrame) -> DataFrame:
@@ -325,12 +334,14 @@ def funds_before(requests: DataFrame, seeds: DataFrame, changes: DataFrame) -> D
 
     ``requests`` has (tx_hash, ledger_index, transaction_index, account, currency, issuer). Opening
     funds and earlier changes of the same ledger form one ordered stream per balance. ``units`` and
-    ``exponent`` are the exact form of a balance a change left behind; an opening balance has ``funds`` alone.
+    ``exponent`` are the exact form, of an opening balance where the seeds have it.
     """
     key = ["ledger_index", "account", "currency", "issuer"]
+    exact = {"units", "exponent"} <= set(seeds.columns)
+    opened = (F.col("units"), F.col("exponent")) if exact else (F.lit(None), F.lit(None))
     opening = seeds.select(
         *key, F.lit(BEFORE_ALL).cast("bigint").alias("_at"), F.lit(1).alias("_tag"), F.lit(-1).alias("_step"),
-        F.struct("funds", F.lit(None).cast(A.UNITS).alias("units"), F.lit(None).cast("int").alias("exponent")).alias("_state"),
+        F.struct("funds", opened[0].cast(A.UNITS).alias("units"), opened[1].cast("int").alias("exponent")).alias("_state"),
     )
     later = changes.select(
         *key, F.col("transaction_index").alias("_at"), F.lit(1).alias("_tag"), F.col("step").alias("_step"),
@@ -346,23 +357,29 @@ def funds_before(requests: DataFrame, seeds: DataFrame, changes: DataFrame) -> D
 
 
 def tx_pre_funds(meta: DataFrame) -> DataFrame:
-    """Owner funds per touched offer from the transaction's own pre-balances: (tx_hash, offer_id, funds)."""
+    """Owner funds per touched offer from the transaction's own pre-balances: (tx_hash, offer_id, funds, units, exponent).
+
+    ``funds`` is NULL where the balance is too large for DECIMAL(38,18); ``units`` and ``exponent`` are exact.
+    """
     nodes = affected_nodes(meta)
     offers = nodes.filter((F.col("body.LedgerEntryType") == "Offer") & F.col("kind").isin("modified", "deleted"))
     offers = offers.select(
         "tx_hash", F.col("body.LedgerIndex").alias("offer_id"), pre("Account").alias("account"),
         A.currency_of(pre("TakerGets")).alias("currency"), F.coalesce(A.issuer_of(pre("TakerGets")), F.lit("")).alias("issuer"),
     ).filter("offer_id is not null and account is not null and currency is not null")
+    drops = A.spendable_drops(A.drops_of(pre("Balance")), pre("OwnerCount"))
     roots = nodes.filter(F.col("body.LedgerEntryType") == "AccountRoot").select(
         "tx_hash", "step", pre("Account").alias("account"), F.lit(NATIVE).alias("currency"), F.lit("").alias("issuer"),
-        A.spendable_drops(A.drops_of(pre("Balance")), pre("OwnerCount")).cast(VALUE).alias("funds"),
-    ).filter("account is not null and funds > 0")
-    lines = trust_lines(nodes)
-    value = F.col("before.value")
-    holder, other = F.when(value > 0, F.col("low")).otherwise(F.col("high")), F.when(value > 0, F.col("high")).otherwise(F.col("low"))
-    issued = lines.filter(value != 0).select(
-        "tx_hash", "step", holder.alias("account"), "currency", other.alias("issuer"), F.abs(value).alias("funds")
+        drops.cast(VALUE).alias("funds"), drops.cast(A.UNITS).alias("units"), F.lit(0).alias("exponent"),
+    ).filter("account is not null and units > 0")
+    # The sign of the exact units decides: an amount too large for ``funds`` keeps its row.
+    lines, units = trust_lines(nodes), F.col("before.units")
+    holder, other = F.when(units > 0, F.col("low")).otherwise(F.col("high")), F.when(units > 0, F.col("high")).otherwise(F.col("low"))
+    issued = lines.filter(units != 0).select(
+        "tx_hash", "step", holder.alias("account"), "currency", other.alias("issuer"), F.abs(F.col("before.value")).cast(VALUE).alias("funds"),
+        F.abs(units).cast(A.UNITS).alias("units"), F.col("before.exponent").alias("exponent"),
     )
     key = ["tx_hash", "account", "currency", "issuer"]
-    balances = roots.unionByName(issued).groupBy(*key).agg(F.max_by("funds", "step").alias("funds"))
-    return offers.join(balances, key).select("tx_hash", "offer_id", "funds")
+    last = F.max_by(F.struct("funds", "units", "exponent"), "step").alias("_last")
+    balances = roots.unionByName(issued).groupBy(*key).agg(last)
+    return offers.join(balances, key).select("tx_hash", "offer_id", "_last.*")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from marketflow.plans.twins import activity, base, fits, ledger, market, results, streams
+from marketflow.plans.twins import activity, base, fits, ledger, market, prebook, results, streams
 
 ALL = {
-    **base.TWINS, **activity.TWINS, **market.TWINS, **ledger.TWINS, **fits.TWINS, **results.TWINS, **streams.TWINS
+    **base.TWINS, **activity.TWINS, **market.TWINS, **ledger.TWINS, **fits.TWINS, **results.TWINS, **streams.TWINS, **prebook.TWINS
 }

@@ -50,7 +50,7 @@ def source_funds(spark, root):
 
 
 def tx_pre_funds(spark, root):
-    return plain(B.tx_pre_funds(D.metadata(spark, root)))
+    return plain(B.tx_pre_funds(D.metadata(spark, root)).select("tx_hash", "offer_id", "funds"))
 
 
 def funds_changes(spark, root):
