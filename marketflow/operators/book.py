@@ -6,12 +6,12 @@ by ledger and the work splits over ledgers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketflow.functions import amounts as A
 from marketflow.functions.constants import NATIVE
-from marketflow.operators.scan import next_row, prefix_last, previous_row
+from marketflow.operators.scan import next_row, prefix_last
 
 BEFORE_ALL = -1
 VALUE = "decimal(38,18)"
@@ -149,56 +149,44 @@ def state_before(
 OFFER_STATE = ("account", "sequence", "book_directory", "taker_gets", "taker_pays")
 
 
-def carry_funding(log: DataFrame, boundary: DataFrame, key: list[str]) -> DataFrame:
-    """Change log whose new states keep the boundary's funding while the amounts stay the same.
+FUNDING = ("owner_funds", "taker_gets_funded", "taker_pays_funded")
+OFFER_VERSION = ("side", *OFFER_STATE, *FUNDING, "position")
 
-    Funding published with a boundary offer survives a change that leaves both amounts as they were;
-    the first change of an amount, or a delete, ends it.
-    """
-    keyed = [*key, "offer_id"]
-    start = boundary.select(
-        *keyed, F.lit(BEFORE_ALL).cast("bigint").alias("transaction_index"), F.lit(-1).alias("step"),
-        F.struct("taker_gets", "taker_pays").alias("_amounts"), F.lit(True).alias("_start"),
-        F.struct("owner_funds", "taker_gets_funded", "taker_pays_funded").alias("_funding"),
-    )
-    moves = log.withColumns(
-        {
-            "_amounts": F.when(F.col("after").isNotNull(), F.struct("after.taker_gets", "after.taker_pays")),
-            "_start": F.lit(False),
-        }
-    )
-    rows = moves.unionByName(start, allowMissingColumns=True)
-    # An amount change is where a row's amounts differ from the row before it; funding is read from
-    # the latest such row, which carries a struct of NULLs unless it is the boundary.
-    seen = previous_row(rows, keyed, ["transaction_index", "step"], ["_amounts"], "_prev", gate=rows)
-    changed = ~F.col("_amounts").eqNullSafe(F.col("_prev._amounts")) | F.col("_prev").isNull()
-    none = F.lit(None).cast("struct<owner_funds:string,taker_gets_funded:string,taker_pays_funded:string>")
-    mark = F.when(F.col("_start"), F.struct(F.col("_funding").alias("f"))).when(changed, F.struct(none.alias("f")))
-    marked = seen.withColumn("_mark", mark)
-    kept = prefix_last(marked, keyed, ["transaction_index", "step"], "_mark", "_held", gate=rows)
-    return (
-        kept.filter(~F.col("_start")).withColumn("funding", F.col("_held.f"))
-        .drop("_amounts", "_start", "_funding", "_prev", "_mark", "_held")
-    )
 
+def offer_versions(at_open: DataFrame, changes: DataFrame) -> DataFrame:
+    """Versions of each offer of a ledger with the index range they are in force, funding and place in the queue included.
 
-def keep_place(start: DataFrame, moved: DataFrame, key: list[str]) -> DataFrame:
-    """``moved`` with the position its offer took when its present stay on the side began.
-
-    A change of a live offer keeps the place; an offer that was deleted, or comes from the other side, queues anew.
+    One pass over (ledger, offer) in order of change; the changes of one offer in one ledger are few, so groups are bounded.
+    Funding published with a boundary offer holds until an amount changes or the offer goes. An offer keeps its place through
+    changes; one that was deleted, or comes from the other side, queues anew. An offer stands on one side at a time; a change
+    that takes it to an asset outside the book ends its version as a delete does.
     """
-    order = ["transaction_index", "step"]
-    opening = start.select(
-        *key, F.lit(BEFORE_ALL).cast("bigint").alias("transaction_index"), F.lit(-1).alias("step"),
-        F.col("state").alias("_live"), F.lit(True).alias("_start"),
+    key, order = ["ledger_index", "offer_id"], ["at", "step"]
+    none = F.lit(None).cast("string")
+    opening = at_open.select(
+        *key, F.lit(BEFORE_ALL).cast("bigint").alias("at"), F.lit(-1).alias("step"), "side", F.struct(*OFFER_STATE).alias("image"),
+        F.struct(*FUNDING).alias("funding"), F.col("position").cast("bigint").alias("place"),
+    )
+    # Offers placed inside the ledger queue behind the directory's earlier ones.
+    late = F.lit(1_000_000_000) + F.col("transaction_index") * 10_000 + F.col("step")
+    moves = changes.select(
+        *key, F.col("transaction_index").cast("bigint").alias("at"), F.col("step").cast("int").alias("step"), F.col("side_post").alias("side"),
+        F.col("after").alias("image"), F.struct(*[none.alias(c) for c in FUNDING]).alias("funding"), late.cast("bigint").alias("place"),
+    )
+    ordered = Window.partitionBy(*key).orderBy(*order)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    amounts = F.when(F.col("image").isNotNull(), F.struct("image.taker_gets", "image.taker_pays"))
+    rows = opening.unionByName(moves).withColumn("_amounts", amounts)
+    before = F.lag(F.struct("side", "_amounts")).over(ordered)
+    rows = rows.withColumns({"_before": before, "until": F.lead("at").over(ordered)})
+    fresh = (F.col("at") == BEFORE_ALL) | ~F.col("_amounts").eqNullSafe(F.col("_before._amounts"))
+    begins = F.col("side").isNotNull() & ~F.col("side").eqNullSafe(F.col("_before.side"))
+    held = lambda test, column: F.last(F.when(test, F.struct(F.col(column).alias("x"))), ignorenulls=True).over(so_far)["x"]
+    rows = rows.withColumns({"funding": held(fresh, "funding"), "position": held(begins, "place")})
+    live = F.col("side").isNotNull() & (F.col("until").isNull() | (F.col("until") > F.col("at")))
+    return rows.filter(live).select(
+        *key, F.col("at").alias("from_index"), F.col("until").alias("to_index"), "side", "image.*", "funding.*", "position"
     )
-    rows = moved.withColumns({"_live": F.col("state"), "_start": F.lit(False)}).unionByName(opening, allowMissingColumns=True)
-    seen = previous_row(rows, key, order, ["_live"], "_prev", gate=rows)
-    begins = F.col("_live").isNotNull() & F.col("_prev._live").isNull()
-    marked = seen.withColumn("_mark", F.when(begins, F.struct(F.col("_live.position").alias("position"))))
-    placed = prefix_last(marked, key, order, "_mark", "_held", gate=rows).filter(~F.col("_start"))
-    state = F.when(F.col("state").isNotNull(), F.col("state").withField("position", F.col("_held.position")))
-    return placed.withColumn("state", state).drop("_live", "_start", "_prev", "_mark", "_held")
 
 
 def book_before(targets: DataFrame, boundary: DataFrame, changes: DataFrame) -> DataFrame:
@@ -213,29 +201,10 @@ def book_before(targets: DataFrame, boundary: DataFrame, changes: DataFrame) ->
     at_open = boundary.withColumn("ledger_index", F.col("ledger_index") + 1)
     ledgers = targets.select("ledger_index").distinct()
     at_open = at_open.join(ledgers, "ledger_index", "left_semi")
-    log = carry_funding(changes.join(ledgers, "ledger_index", "left_semi"), at_open, ["ledger_index"])
-    key, entity = ["ledger_index"], ["side", "offer_id"]
-    start = at_open.select(
-        *key, *entity,
-        F.struct(
-            *OFFER_STATE, "owner_funds", "taker_gets_funded", "taker_pays_funded",
-            F.col("position").cast("bigint").alias("position"),
-        ).alias("state"),
+    versions = offer_versions(at_open, changes.join(ledgers, "ledger_index", "left_semi"))
+    lived = state_before(targets, versions, ["ledger_index"]).select(
+        "tx_hash", "ledger_index", "transaction_index", "offer_id", *OFFER_VERSION
     )
-    # An offer that changes side leaves its old side and enters the new one.
-    sides = F.filter(F.array_distinct(F.array("side_pre", "side_post")), lambda s: s.isNotNull())
-    # Offers placed inside the ledger queue behind the directory's earlier ones.
-    late = F.lit(1_000_000_000) + F.col("transaction_index") * 10_000 + F.col("step")
-    state = F.struct(
-        *[F.col(f"after.{c}").alias(c) for c in OFFER_STATE],
-        "funding.owner_funds", "funding.taker_gets_funded", "funding.taker_pays_funded",
-        late.cast("bigint").alias("position"),
-    )
-    moved = log.withColumn("side", F.explode(sides)).withColumn(
-        "state", F.when(F.col("side") == F.col("side_post"), state)
-    )
-    versions = version_intervals(start, keep_place(start, moved, [*key, *entity]), key, entity)
-    lived = state_before(targets, versions, key).select("tx_hash", *key, "transaction_index", *entity, "state.*")
     own = changes.filter("before is not null and side_pre is not null").select(
         "tx_hash", "ledger_index", "transaction_index", F.col("side_pre").alias("side"), "offer_id", "step",
         *[F.col(f"before.{c}").alias(f"_o_{c}") for c in OFFER_STATE],
@@ -252,15 +221,18 @@ def book_before(targets: DataFrame, boundary: DataFrame, changes: DataFrame) ->
     return joined.select(
         "tx_hash", "ledger_index", "transaction_index", "side", "offer_id",
         *[F.coalesce(F.col(f"_own._o_{c}"), F.col(c)).alias(c) for c in OFFER_STATE],
-        *[F.when(keep_funding, F.col(c)).alias(c) for c in ("owner_funds", "taker_gets_funded", "taker_pays_funded")],
+        *[F.when(keep_funding, F.col(c)).alias(c) for c in FUNDING],
         F.coalesce("position", (F.lit(2_000_000_000) + F.col("_own_step")).cast("bigint")).alias("position"),
         touched.alias("own_pre_image"),
         A.book_quality(F.coalesce(F.col("_own._o_book_directory"), F.col("book_directory"))).alias("quality"),
     )
 
 
-def trust_lines(nodes: DataFrame) -> DataFrame:
-    """Trust-line nodes with both accounts, the currency and the signed balances of the low account."""
+def trust_lines(nodes: DataFrame, images: tuple[str, ...] = ("before", "after")) -> DataFrame:
+    """Trust-line nodes with both accounts, the currency and the signed balances of the low account.
+
+    Reading an amount is costly: ``images`` names the balances wanted.
+    """
     low, high = pre("LowLimit"), pre("HighLimit")
     before, after = pre("Balance"), F.coalesce(post("Balance"), pre("Balance"))
     currency = F.coalesce(A.currency_of(before), A.currency_of(low), A.currency_of(high))
@@ -268,7 +240,8 @@ def trust_lines(nodes: DataFrame) -> DataFrame:
         "tx_hash", "ledger_index", "transaction_index", "step", "kind", currency.alias("currency"),
         A.issuer_of(low).alias("low"), A.issuer_of(high).alias("high"), before.alias("_pre"), after.alias("_post"),
     ).filter("currency is not null and low is not null and high is not null")
-    return A.computed(found, {"before": A.parse_sql("_pre"), "after": A.parse_sql("_post")}).drop("_pre", "_post")
+    texts = {"before": "_pre", "after": "_post"}
+    return A.computed(found, {name: A.parse_sql(texts[name]) for name in images}).drop("_pre", "_post")
 
 
 def funds_changes(meta: DataFrame) -> DataFrame:
@@ -288,7 +261,7 @@ def funds_changes(meta: DataFrame) -> DataFrame:
         *ids, F.coalesce(post("Account"), pre("Account")).alias("account"), F.lit(NATIVE).alias("currency"),
         F.lit("").alias("issuer"), drops.cast(VALUE).alias("funds"), drops.cast(A.UNITS).alias("units"), F.lit(0).alias("exponent"),
     ).filter("account is not null and funds is not null")
-    lines = trust_lines(nodes)
+    lines = trust_lines(nodes, ("after",))
     gone_line = F.col("kind") == "deleted"
     units = F.when(gone_line, F.lit(0)).otherwise(F.col("after.units")).cast(A.UNITS)
     zero = F.lit(0).cast(VALUE)
@@ -352,7 +325,8 @@ def funds_before(requests: DataFrame, seeds: DataFrame, changes: DataFrame) -> D
         F.struct(*requests.columns).alias("_ask"),
     )
     stream = opening.unionByName(later).unionByName(asked, allowMissingColumns=True)
-    found = prefix_last(stream, key, ["_at", "_tag", "_step"], "_state", "_hit", gate=stream)
+    # A balance of one account in one ledger: its changes and the targets that ask are bounded by the ledger.
+    found = prefix_last(stream, key, ["_at", "_tag", "_step"], "_state", "_hit", bounded=True)
     return found.filter("_ask is not null").select("_ask.*", "_hit.funds", "_hit.units", "_hit.exponent")
 
 
@@ -373,7 +347,7 @@ def tx_pre_funds(meta: DataFrame) -> DataFrame:
         drops.cast(VALUE).alias("funds"), drops.cast(A.UNITS).alias("units"), F.lit(0).alias("exponent"),
     ).filter("account is not null and units > 0")
     # The sign of the exact units decides: an amount too large for ``funds`` keeps its row.
-    lines, units = trust_lines(nodes), F.col("before.units")
+    lines, units = trust_lines(nodes, ("before",)), F.col("before.units")
     holder, other = F.when(units > 0, F.col("low")).otherwise(F.col("high")), F.when(units > 0, F.col("high")).otherwise(F.col("low"))
     issued = lines.filter(units != 0).select(
         "tx_hash", "step", holder.alias("account"), "currency", other.alias("issuer"), F.abs(F.col("before.value")).cast(VALUE).alias("funds"),
