@@ -29,80 +29,123 @@ def _transition(before: str, after: str, change: str, source: str, native: str)
     ))
 
 
+NODES = "result.meta.AffectedNodes"
+
+
+def _body(node: Column) -> Column:
+    return F.coalesce(node["CreatedNode"], node["ModifiedNode"], node["DeletedNode"])
+
+
+def _read(body: Column, field: str, images: tuple[str, ...]) -> Column:
+    return F.coalesce(*[body[image][field] for image in images])
+
+
+BEFORE, AFTER = ("PreviousFields", "FinalFields", "NewFields"), ("FinalFields", "NewFields")
+
+
+def _line_texts(nodes: Column) -> Column:
+    """Trust lines of one record, in its order: currency, both accounts, the balances' raw texts. A record lists a line once."""
+
+    def line(node: Column) -> Column:
+        body = _body(node)
+        low, high = (_read(body, limit, BEFORE) for limit in ("LowLimit", "HighLimit"))
+        before = _read(body, "Balance", BEFORE)
+        return F.struct(
+            F.coalesce(A.currency_of(before), A.currency_of(low), A.currency_of(high)).alias("currency"),
+            A.issuer_of(low).alias("low"), A.issuer_of(high).alias("high"),
+            before.alias("before"), F.coalesce(_read(body, "Balance", AFTER), before).alias("after"),
+        )
+
+    return F.transform(F.filter(nodes, lambda n: _body(n)["LedgerEntryType"] == "RippleState"), line)
+
+
+def _held_with(line: Column, account: Column, currency: Column, other: Column) -> Column:
+    ends = ((line["low"] == account) & (line["high"] == other)) | ((line["high"] == account) & (line["low"] == other))
+    return (line["currency"] == currency) & ends
+
+
+def _touched_offers(nodes: Column) -> Column:
+    """Modified and deleted offers of one record with both images: owner, assets and the amounts' raw texts."""
+
+    def touched(node: Column) -> Column:
+        body = F.coalesce(node["ModifiedNode"], node["DeletedNode"])
+        return (body["LedgerEntryType"] == "Offer") & node["CreatedNode"].isNull() & body["FinalFields"].isNotNull() & body["PreviousFields"].isNotNull()
+
+    def offer(node: Column) -> Column:
+        body = F.coalesce(node["ModifiedNode"], node["DeletedNode"])
+        gets, pays = _read(body, "TakerGets", BEFORE), _read(body, "TakerPays", BEFORE)
+        return F.struct(
+            F.when(node["ModifiedNode"].isNull(), "deleted").otherwise("modified").alias("kind"),
+            body["LedgerIndex"].alias("source_id"), body["FinalFields"]["Account"].alias("owner"),
+            A.currency_of(gets).alias("out_currency"), A.issuer_of(gets).alias("out_issuer"),
+            A.currency_of(pays).alias("in_currency"), A.issuer_of(pays).alias("in_issuer"),
+            gets.alias("gp"), pays.alias("pp"), body["FinalFields"]["TakerGets"].alias("gf"), body["FinalFields"]["TakerPays"].alias("pf"),
+        )
+
+    return F.transform(F.filter(nodes, touched), offer)
+
+
 def real_offer_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
     """Book legs: what each touched offer in the intent's direction gave and took.
 
     A deleted offer with one side at zero counts the other side as zero. When the owner has exactly
     one such offer on an issued asset and their trust line moved the right way, the trust line's
     movement is the leg, because it includes effects the offer fields do not show.
+
+    Offers, their owners' lines and the number of an owner's claims come from one record and are found inside its row; only
+    the lines of an owner are read. The one exchange is the join with the intents, on texts taken from the record.
     """
-    direction = intents.select("tx_hash", "in_currency", "out_currency")
-    nodes = affected_nodes(meta)
-    touched = nodes.filter(
-        (F.col("body.LedgerEntryType") == "Offer")
-        & F.col("kind").isin("modified", "deleted")
-        & F.col("body.FinalFields").isNotNull()
-        & F.col("body.PreviousFields").isNotNull()
+    found = meta.select("tx_hash", _touched_offers(F.col(NODES)).alias("offers"), _line_texts(F.col(NODES)).alias("lines"))
+    rows = found.filter("size(offers) > 0").join(intents.select("tx_hash", F.col("in_currency").alias("_in"), F.col("out_currency").alias("_out")), "tx_hash")
+    mine = F.filter("offers", lambda o: (o["out_currency"] == F.col("_out")) & (o["in_currency"] == F.col("_in")))
+    rows = rows.withColumn("offers", mine).filter("size(offers) > 0")
+
+    def claims(offer: Column, side: str) -> Column:
+        """Counted before the amounts are read: every offer of the owner claims the same trust line."""
+        names = ("owner", f"{side}_currency", f"{side}_issuer")
+        same = lambda other: other[names[0]].eqNullSafe(offer[names[0]]) & other[names[1]].eqNullSafe(offer[names[1]]) & other[names[2]].eqNullSafe(offer[names[2]])
+        return F.size(F.filter("offers", same))
+
+    def line(offer: Column, side: str) -> Column:
+        held = F.filter("lines", lambda x: F.coalesce(_held_with(x, offer["owner"], offer[f"{side}_currency"], offer[f"{side}_issuer"]), F.lit(False)))
+        return F.try_element_at(held, F.lit(-1))
+
+    # The innermost lambdas come first: claims and lines are bound to each offer beside it.
+    paired = F.transform("offers", lambda o: F.struct(
+        o.alias("o"), *[claims(o, s).alias(f"n_{s}") for s in ("out", "in")], *[line(o, s).alias(f"l_{s}") for s in ("out", "in")]))
+    each = rows.select("tx_hash", F.inline(paired))
+    raw = each.select(
+        "tx_hash", "o.kind", "o.source_id", "o.owner", "n_out", "n_in", *[F.col(f"o.{c}").alias(f"_{c}") for c in ("gp", "pp", "gf", "pf")],
+        *[F.col(f"l_{s}.{image}").alias(f"_{s}_{image}") for s in ("out", "in") for image in ("before", "after")],
+        *[F.when(F.col(f"l_{s}.low") == F.col("o.owner"), 1).otherwise(-1).alias(f"_{s}_sign") for s in ("out", "in")],
     )
-    raw = touched.select(
-        "tx_hash", "kind", F.col("body.LedgerIndex").alias("source_id"), F.col("body.FinalFields.Account").alias("owner"),
-        pre("TakerGets").alias("_gp"), pre("TakerPays").alias("_pp"),
-        F.col("body.FinalFields.TakerGets").alias("_gf"), F.col("body.FinalFields.TakerPays").alias("_pf"),
-    )
-    sides = raw.withColumns(
-        {
-            "_out_currency": A.currency_of(F.col("_gp")), "_out_issuer": A.issuer_of(F.col("_gp")),
-            "_in_currency": A.currency_of(F.col("_pp")), "_in_issuer": A.issuer_of(F.col("_pp")),
-        }
-    ).join(direction, "tx_hash")
-    sides = sides.filter("_out_currency = out_currency and _in_currency = in_currency")
-    # Counted before the delta filter: every parsed offer of the owner claims the same trust line.
-    claim = lambda side: Window.partitionBy("tx_hash", "owner", f"_{side}_currency", f"_{side}_issuer")
-    counted = sides.withColumns({f"_n_{s}": F.count(F.lit(1)).over(claim(s)) for s in ("out", "in")})
-    parsed = A.computed(counted, {f"{name}a": A.parse_sql(name) for name in ("_gp", "_pp", "_gf", "_pf")})
+    amounts = ("_gp", "_pp", "_gf", "_pf")
+    parsed = A.computed(raw, {f"{name}a": A.parse_sql(name) for name in amounts})
     zeroed = lambda own, other: (
         f"named_struct('units', if(kind = 'deleted' and {own}.units > 0 and {other}.units <= 0, "
         f"cast(0 as {UNITS}), {own}.units), 'exponent', {own}.exponent)"
     )
     closed = A.computed(parsed, {"_go": zeroed("_gfa", "_pfa"), "_po": zeroed("_pfa", "_gfa")})
-    natives = {s: f"{s}_currency = '{NATIVE}'" for s in ("out", "in")}
+    native = {"out": f"_gpa.currency = '{NATIVE}'", "in": f"_ppa.currency = '{NATIVE}'"}
     taken = {
-        "_offer_out": _transition("_gpa", "_go", "decrease", "offer_node", natives["out"]),
-        "_offer_in": _transition("_ppa", "_po", "decrease", "offer_node", natives["in"]),
+        "_offer_out": _transition("_gpa", "_go", "decrease", "offer_node", native["out"]),
+        "_offer_in": _transition("_ppa", "_po", "decrease", "offer_node", native["in"]),
     }
-    by_offer = A.computed(closed, taken).filter("_offer_out.units > 0 and _offer_in.units > 0").select(
-        "tx_hash", "source_id", "owner", *[f"_{s}_{c}" for s in ("out", "in") for c in ("currency", "issuer")],
-        "_n_out", "_n_in", "_offer_out", "_offer_in",
-    )
-    lines = _line_states(nodes)
+    by_offer = A.computed(closed, taken).filter("_offer_out.units > 0 and _offer_in.units > 0")
+    # A line is read only where it may be the leg.
     for side, change in (("out", "decrease"), ("in", "increase")):
-        moved = lines.filter("rising" if change == "increase" else "not rising").select(
-            "tx_hash", F.col("account").alias("owner"), F.col("currency").alias(f"_{side}_currency"),
-            F.col("issuer").alias(f"_{side}_issuer"),
-            F.expr(_transition("before", "after", change, "account_delta", "false")).alias(f"_line_{side}"),
-        )
-        by_offer = by_offer.join(moved, ["tx_hash", "owner", f"_{side}_currency", f"_{side}_issuer"], "left")
-    pick = lambda s: F.expr(f"if(_n_{s} = 1 and _line_{s} is not null, _line_{s}, _offer_{s})").alias(s)
+        wanted = f"n_{side} = 1 and _{side}_before is not null and _{side}_after is not null"
+        sides = {f"_{side}_{i}_a": f"if({wanted}, {A.parse_sql(f'_{side}_{i}')}, null)" for i in ("before", "after")}
+        by_offer = A.computed(by_offer, sides)
+        end = lambda x, s=side: f"named_struct('units', cast({x}.units * _{s}_sign as {UNITS}), 'exponent', {x}.exponent)"
+        ends = {f"_{side}_{i}_e": f"if(_{side}_{i}_a is null, null, {end(f'_{side}_{i}_a')})" for i in ("before", "after")}
+        by_offer = A.computed(by_offer, ends)
+        both = f"_{side}_before_e is not null and _{side}_after_e is not null"
+        by_offer = A.computed(by_offer, {f"_line_{side}": f"if({both}, {_transition(f'_{side}_before_e', f'_{side}_after_e', change, 'account_delta', 'false')}, null)"})
+    pick = lambda s: F.expr(f"if(coalesce(_line_{s}.units > 0, false), _line_{s}, _offer_{s})").alias(s)
     return by_offer.select("tx_hash", F.lit("CLOB").alias("src"), "source_id", "owner", pick("out"), pick("in"))
 
 
-def _line_states(nodes: DataFrame) -> DataFrame:
-    """Changed trust-line balances seen from both ends, with whether the end's balance rose."""
-    changed = trust_lines(nodes).filter("before is not null and after is not null").filter(~A.same_amount("before", "after"))
-    end = lambda x, sign: f"named_struct('units', cast({x}.units * {sign} as {UNITS}), 'exponent', {x}.exponent)"
-    side = lambda who, other, sign: (
-        f"named_struct('account', {who}, 'issuer', {other}, 'before', {end('before', sign)}, 'after', {end('after', sign)})"
-    )
-    ends = F.expr(f"inline(array({side('low', 'high', 1)}, {side('high', 'low', -1)}))")
-    seen = changed.select("tx_hash", "step", "currency", ends)
-    last = F.max_by(F.struct("before", "after"), "step")
-    latest = seen.groupBy("tx_hash", "account", "currency", "issuer").agg(last.alias("s")).select(
-        "tx_hash", "account", "currency", "issuer", "s.before", "s.after"
-    )
-    gap = A.computed(latest, {"_gap": A.signed_sum_sql("after", "before", -1, "false")})
-    return gap.withColumn("rising", F.col("_gap.units") > 0).drop("_gap")
-
-
 def _pool_lines(nodes: DataFrame, pools: DataFrame) -> DataFrame:
     """Trust lines of the pool account with balances signed from the pool's end."""
     lines = trust_lines(nodes).join(pools, "tx_hash")
@@ -178,35 +221,45 @@ def pool_pre_state(meta: DataFrame, swaps: DataFrame) -> DataFrame:
 
 
 def source_funds(meta: DataFrame, intents: DataFrame) -> DataFrame:
-    """What the sender could spend: (tx_hash, source_funds, source_limited); no row without a balance.
+    """What the sender could spend: (tx_hash, source_funds, source_limited, source_units, source_exponent); no row without a balance.
 
-    Native funds leave out reserve and fee, and a used ticket frees one reserve unit. A line without a
-    positive balance gives NULL funds.
+    Native funds leave out reserve and fee, and a used ticket frees one reserve unit. A line without a positive balance gives
+    NULL funds. ``source_units`` and ``source_exponent`` are exact and decide ``source_limited``; ``source_funds`` is NULL where
+    the balance is too large for DECIMAL(38,18). The sender's balances are found inside the record's row.
     """
-    who = meta.select(
-        "tx_hash", F.col("result.Account").alias("account"), F.coalesce(F.col("result.Fee").try_cast("bigint"), F.lit(0)).alias("fee"),
+    nodes = F.col(NODES)
+    account = F.col("result.Account")
+
+    def root(node: Column) -> Column:
+        body = _body(node)
+        return F.struct(A.drops_of(_read(body, "Balance", BEFORE)).alias("balance"), F.coalesce(_read(body, "OwnerCount", BEFORE), F.lit(0)).alias("owners"))
+
+    own = F.filter(nodes, lambda n: (_body(n)["LedgerEntryType"] == "AccountRoot") & (_read(_body(n), "Account", BEFORE) == account))
+    found = meta.select(
+        "tx_hash", account.alias("account"), F.coalesce(F.col("result.Fee").try_cast("bigint"), F.lit(0)).alias("fee"),
         F.col("result.TicketSequence").isNotNull().alias("ticket"),
+        F.get(F.filter(F.transform(own, root), lambda r: r["balance"].isNotNull()), F.lit(0)).alias("root"),
+        F.filter(_line_texts(nodes), lambda x: (x["low"] == account) | (x["high"] == account)).alias("lines"),
     ).join(intents.select("tx_hash", "in_currency", "in_issuer", "in_amount"), "tx_hash")
-    nodes = affected_nodes(meta)
-    roots = nodes.filter(F.col("body.LedgerEntryType") == "AccountRoot").select(
-        "tx_hash", "step", pre("Account").alias("account"), A.drops_of(pre("Balance")).alias("balance"),
-        F.coalesce(pre("OwnerCount"), F.lit(0)).alias("owners"),
-    ).filter("balance is not null")
-    native = roots.join(who.filter(F.col("in_currency") == NATIVE), ["tx_hash", "account"])
-    owners = F.when(F.col("ticket"), F.greatest(F.col("owners") - 1, F.lit(0))).otherwise(F.col("owners"))
-    left = (A.spendable_drops(F.col("balance"), owners) - F.col("fee")).cast("decimal(38,18)") / F.lit(1_000_000).cast("decimal(7,0)")
-    native = native.groupBy("tx_hash").agg(F.min_by(F.struct(left.cast("decimal(38,18)").alias("v"), "in_amount"), "step").alias("s"))
-    lines = trust_lines(nodes).join(who.filter((F.col("in_currency") != NATIVE) & F.col("in_issuer").isNotNull()), "tx_hash")
-    ends = F.array("low", "high")
-    mine = lines.filter(
-        (F.col("currency") == F.col("in_currency")) & F.array_contains(ends, F.col("account"))
-        & F.array_contains(ends, F.col("in_issuer")) & F.col("before.value").isNotNull()
+    native = F.col("in_currency") == NATIVE
+    # An issuer may send its own asset: then any of its lines in that currency counts.
+    issuer = lambda x: (x["low"] == F.col("in_issuer")) | (x["high"] == F.col("in_issuer"))
+    mine = F.filter("lines", lambda x: F.coalesce((x["currency"] == F.col("in_currency")) & issuer(x) & x["before"].isNotNull(), F.lit(False)))
+    line = F.when(~native & F.col("in_issuer").isNotNull(), F.get(mine, F.lit(0)))
+    picked = found.withColumn("_line", line).withColumns({"_text": F.col("_line.before"), "_sign": F.when(F.col("_line.low") == F.col("account"), 1).otherwise(-1)})
+    read = A.computed(picked, {"_held": A.parse_sql("_text")}).filter(F.when(native, F.col("root").isNotNull()).otherwise(F.col("_held").isNotNull()))
+    owners = F.when(F.col("ticket"), F.greatest(F.col("root.owners") - 1, F.lit(0))).otherwise(F.col("root.owners"))
+    drops = A.spendable_drops(F.col("root.balance"), owners) - F.col("fee")
+    units = F.when(native, drops.cast(UNITS)).otherwise((F.col("_held.units") * F.col("_sign")).cast(UNITS))
+    value = F.when(native, (drops.cast("decimal(38,18)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,18)")).otherwise(
+        (F.col("_held.value") * F.col("_sign")).cast("decimal(38,18)"))
+    exact = read.withColumns({"_units": units, "_exponent": F.when(native, F.lit(-6)).otherwise(F.col("_held.exponent")), "_value": value})
+    exact = exact.withColumn("_funds", F.when(F.col("_units") > 0, F.struct(F.col("_units").alias("units"), F.col("_exponent").alias("exponent"))))
+    gap = A.computed(exact, {"_gap": A.signed_sum_sql("_funds", "in_amount", -1, "false")})
+    return gap.select(
+        "tx_hash", F.when(F.col("_funds").isNotNull(), F.col("_value")).alias("source_funds"), (F.col("_gap.units") < 0).alias("source_limited"),
+        F.col("_funds.units").alias("source_units"), F.col("_funds.exponent").alias("source_exponent"),
     )
-    signed = F.when(F.col("account") == F.col("low"), F.col("before.value")).otherwise(-F.col("before.value"))
-    issued = mine.groupBy("tx_hash").agg(F.min_by(F.struct(signed.alias("v"), "in_amount"), "step").alias("s"))
-    both = native.unionByName(issued)
-    funds = F.when(F.col("s.v") > 0, F.col("s.v"))
-    return both.select("tx_hash", funds.alias("source_funds"), (funds < F.col("s.in_amount.value")).alias("source_limited"))
 
 
 def _identity(df: DataFrame) -> DataFrame:

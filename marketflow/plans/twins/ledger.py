@@ -46,7 +46,7 @@ def pool_pre_state(spark, root):
 
 
 def source_funds(spark, root):
-    return plain(LG.source_funds(D.metadata(spark, root), D.intents(spark, root)))
+    return plain(LG.source_funds(D.metadata(spark, root), D.intents(spark, root)).select("tx_hash", "source_funds", "source_limited"))
 
 
 def tx_pre_funds(spark, root):
