@@ -13,7 +13,6 @@ from marketflow.functions import amounts as A
 from marketflow.functions import labels as L
 from marketflow.functions import stats as S
 from marketflow.functions.constants import NATIVE
-from marketflow.operators.book import affected_nodes, post, pre, trust_lines
 
 UNITS = "decimal(38,0)"
 
@@ -146,38 +145,46 @@ def real_offer_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
     return by_offer.select("tx_hash", F.lit("CLOB").alias("src"), "source_id", "owner", pick("out"), pick("in"))
 
 
-def _pool_lines(nodes: DataFrame, pools: DataFrame) -> DataFrame:
-    """Trust lines of the pool account with balances signed from the pool's end."""
-    lines = trust_lines(nodes).join(pools, "tx_hash")
-    low = F.col("low") == F.col("pool_account")
-    mine = lines.filter(low | (F.col("high") == F.col("pool_account")))
-    turned = lambda x: (
-        f"if({x} is null, null, named_struct('units', cast({x}.units * if(low = pool_account, 1, -1) as {UNITS}), "
-        f"'exponent', {x}.exponent, 'value', {x}.value * if(low = pool_account, 1, -1)))"
-    )
-    signed = A.computed(mine, {"_b": turned("before"), "_a": turned("after")}).drop("before", "after")
-    return signed.withColumnsRenamed({"_b": "before", "_a": "after"})
+def _pool_lines(df: DataFrame, account: str, out: str = "held") -> DataFrame:
+    """Add ``out``: the lines of the pool ``account`` in record order, their balances read and signed from the pool's end."""
+    mine = F.filter("lines", lambda x: F.coalesce((x["low"] == F.col(account)) | (x["high"] == F.col(account)), F.lit(False)))
+    picked = df.withColumn("_mine", mine)
+    low = f"if(li.low = {account}, 1, -1)"
+    turned = lambda parsed: A._let(parsed, "b", (
+        f"if(b is null, null, named_struct('units', cast(b.units * {low} as {UNITS}), 'exponent', b.exponent, 'value', b.value * {low}))"))
+    ends = f"'before', {turned(A.parse_sql('li.before'))}, 'after', {turned(A.parse_sql('li.after'))}"
+    states = f"transform(_mine, li -> named_struct('currency', li.currency, 'low', li.low, 'high', li.high, {ends}))"
+    return A.computed(picked, {out: states}).drop("_mine")
+
+
+def _pool_roots(nodes: Column) -> Column:
+    """Account roots of one record in its order, with their native balances and whether they belong to a pool."""
+
+    def root(node: Column) -> Column:
+        body = _body(node)
+        raw = lambda c: F.struct(A.drops_of(c).cast(UNITS).alias("units"), F.lit(-6).alias("exponent"))
+        account = F.coalesce(_read(body, "Account", AFTER), _read(body, "Account", BEFORE))
+        return F.struct(
+            account.alias("account"), _read(body, "AMMID", BEFORE).isNotNull().alias("pool"),
+            raw(_read(body, "Balance", BEFORE)).alias("native_pre"), raw(_read(body, "Balance", AFTER)).alias("native_post"),
+        )
+
+    roots = F.transform(F.filter(nodes, lambda n: _body(n)["LedgerEntryType"] == "AccountRoot"), root)
+    return F.filter(roots, lambda r: r["account"].isNotNull() & r["native_pre"]["units"].isNotNull())
 
 
 def real_pool_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
-    """Pool leg: balance movements of the first pool account and its first two-sided trust line."""
+    """Pool leg: balance movements of the first pool account and its first two-sided trust line, found inside the record's row."""
     direction = intents.select("tx_hash", "in_currency", "out_currency").filter(
         (F.col("in_currency") == NATIVE) != (F.col("out_currency") == NATIVE)
     )
-    nodes = affected_nodes(meta)
-    pool_id = F.coalesce("body.PreviousFields.AMMID", "body.FinalFields.AMMID", "body.NewFields.AMMID")
-    raw = lambda c: F.struct(A.drops_of(c).cast(UNITS).alias("units"), F.lit(-6).alias("exponent"))
-    roots = nodes.filter((F.col("body.LedgerEntryType") == "AccountRoot") & pool_id.isNotNull()).select(
-        "tx_hash", "step", F.coalesce(post("Account"), pre("Account")).alias("pool_account"),
-        raw(pre("Balance")).alias("native_pre"), raw(post("Balance")).alias("native_post"),
-    ).filter("pool_account is not null and native_pre.units is not null and native_post.units is not null")
-    first = F.min_by(F.struct("pool_account", "native_pre", "native_post"), "step")
-    pools = roots.groupBy("tx_hash").agg(first.alias("p")).select("tx_hash", "p.*")
-    lines = _pool_lines(nodes, pools.select("tx_hash", "pool_account"))
-    held = lines.filter((F.col("before.units") > 0) & (F.col("after.units") > 0))
-    line = held.groupBy("tx_hash").agg(F.min_by(F.struct("before", "after"), "step").alias("l"))
-    joined = pools.join(line, "tx_hash").join(direction, "tx_hash").select("*", "l.before", "l.after")
-    moved = joined.filter("native_pre.units <> native_post.units").filter(~A.same_amount("before", "after"))
+    pools = F.filter(_pool_roots(F.col(NODES)), lambda r: r["pool"] & r["native_post"]["units"].isNotNull())
+    found = meta.select("tx_hash", F.get(pools, F.lit(0)).alias("p"), _line_texts(F.col(NODES)).alias("lines")).filter("p is not null")
+    joined = found.join(direction, "tx_hash").select("*", F.col("p.account").alias("pool_account"), "p.native_pre", "p.native_post")
+    moving = joined.filter("native_pre.units <> native_post.units")
+    held = F.filter("held", lambda x: F.coalesce((x["before"]["units"] > 0) & (x["after"]["units"] > 0), F.lit(False)))
+    line = _pool_lines(moving, "pool_account").withColumn("l", F.get(held, F.lit(0))).filter("l is not null").select("*", "l.before", "l.after")
+    moved = line.filter(~A.same_amount("before", "after"))
     native_side = lambda change: _transition("native_pre", "native_post", change, "pool_account", "true")
     line_side = lambda change: _transition("before", "after", change, "pool_line", "false")
     first = f"in_currency = '{NATIVE}'"
@@ -193,28 +200,21 @@ def real_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
 
 
 def pool_pre_state(meta: DataFrame, swaps: DataFrame) -> DataFrame:
-    """Exact pool reserves before each swap: the named account first, else the first candidate.
+    """Exact pool reserves before each swap: the named account first, else the first candidate, found inside the record's row.
 
     ``swaps`` names (tx_hash, amm_account, token_currency, token_issuer).
     """
-    nodes = affected_nodes(meta).join(swaps.select("tx_hash").distinct(), "tx_hash", "left_semi")
-    pool_id = F.coalesce("body.PreviousFields.AMMID", "body.FinalFields.AMMID", "body.NewFields.AMMID")
     expected = swaps.select("tx_hash", "amm_account", "token_currency", F.coalesce("token_issuer", F.lit("")).alias("token_issuer"))
-    roots = nodes.filter(F.col("body.LedgerEntryType") == "AccountRoot").select(
-        "tx_hash", "step", F.coalesce(post("Account"), pre("Account")).alias("pool_account"),
-        A.drops_of(pre("Balance")).alias("native_reserve"), pool_id.alias("_id"),
-    ).join(expected, "tx_hash")
-    named = F.col("pool_account") == F.col("amm_account")
-    usable = roots.filter((F.col("_id").isNotNull() | named) & F.col("pool_account").isNotNull() & F.col("native_reserve").isNotNull())
-    order = F.struct(F.when(named, 0).otherwise(1).alias("o"), F.col("step"))
-    choice = F.min_by(F.struct("pool_account", "native_reserve", "token_currency", "token_issuer"), order)
-    pools = usable.groupBy("tx_hash").agg(choice.alias("p")).select("tx_hash", "p.*")
-    lines = _pool_lines(nodes, pools.select("tx_hash", "pool_account", "token_currency", "token_issuer"))
-    issuer_ok = (F.col("token_issuer") == "") | (F.col("token_issuer") == F.col("low")) | (F.col("token_issuer") == F.col("high"))
-    kept = lines.filter((F.col("currency") == F.col("token_currency")) & issuer_ok & (F.col("before.units") > 0))
-    reserve = kept.groupBy("tx_hash").agg(F.min_by("before", "step").alias("token_reserve"))
-    return pools.join(reserve, "tx_hash").select(
-        "tx_hash", "pool_account", "native_reserve",
+    found = meta.select("tx_hash", _pool_roots(F.col(NODES)).alias("roots"), _line_texts(F.col(NODES)).alias("lines")).join(expected, "tx_hash")
+    named = F.get(F.filter("roots", lambda r: r["account"] == F.col("amm_account")), F.lit(0))
+    pool = F.coalesce(named, F.get(F.filter("roots", lambda r: r["pool"]), F.lit(0)))
+    rows = found.withColumn("p", pool).filter("p is not null").withColumn("pool_account", F.col("p.account"))
+    issuer_ok = lambda x: (F.col("token_issuer") == "") | (F.col("token_issuer") == x["low"]) | (F.col("token_issuer") == x["high"])
+    rows = rows.withColumn("lines", F.filter("lines", lambda x: F.coalesce((x["currency"] == F.col("token_currency")) & issuer_ok(x), F.lit(False))))
+    held = F.filter("held", lambda x: F.coalesce(x["before"]["units"] > 0, F.lit(False)))
+    reserve = _pool_lines(rows, "pool_account").withColumn("token_reserve", F.get(held, F.lit(0))["before"]).filter("token_reserve is not null")
+    return reserve.select(
+        "tx_hash", "pool_account", F.col("p.native_pre.units").cast("bigint").alias("native_reserve"),
         F.col("token_reserve.units").alias("token_units"), F.col("token_reserve.exponent").alias("token_exponent"),
         F.col("token_reserve.value").alias("token_reserve"),
     )
