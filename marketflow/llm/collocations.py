@@ -233,13 +233,14 @@ def pair_filter(pairs: DataFrame, count: int) -> np.ndarray:
 def _unique(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted different rows and their counts. Three ids go into one long; longer rows number their heads first."""
     width = max(1, int(max(c.max(initial=0) for c in columns) + 2).bit_length())
-    number, used = columns[0] + 1, width
+    number, used, whole = columns[0] + 1, width, True
     for c in columns[1:]:
         if used + width > 63:
+            whole = False
             number = np.unique(number, return_inverse=True)[1]
             used = max(1, len(number).bit_length())
         number, used = (number << width) | (c + 1), used + width
-    if used <= 3 * width:  # nothing was numbered anew: the ids are in the key
+    if whole:  # nothing was numbered anew: the ids are in the key
         number, counts = np.unique(number, return_counts=True)
         shifts = np.arange(len(columns) - 1, -1, -1) * width
         return (((number[:, None] >> shifts) & ((1 << width) - 1)) - 1).astype(np.int32), counts

@@ -175,6 +175,18 @@ def test_bursting_and_spilling_lose_nothing(small_limits):
     assert got == want
 
 
+@pytest.mark.parametrize("top", [1, 30, 5_000, 8_000, 200_000, 2_000_000])
+def test_unique_paths_at_every_size_of_ids(top):
+    rng = np.random.default_rng(top)
+    for count in (2, 3, 5):
+        heads = rng.integers(0, top, (40, count))
+        heads[:, -1][::3] = -1
+        paths = heads[rng.integers(0, 40, 500)]
+        got, counts = collocations._unique(list(paths.T))
+        want, sizes = np.unique(paths, axis=0, return_counts=True)
+        assert got.tolist() == want.tolist() and counts.tolist() == sizes.tolist()
+
+
 def test_pair_filter_misses_no_pair(spark):
     pairs = [("en", f"a{i} b{i % 7}") for i in range(500)]
     words = collocations.pair_filter(spark.createDataFrame(pairs, "lang string, phrase string"), len(pairs))
