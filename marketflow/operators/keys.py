@@ -64,11 +64,13 @@ def join_required(left: DataFrame, right: DataFrame, on: Sequence[str], *, stric
 
 
 def attach_metadata(targets: DataFrame, meta: DataFrame) -> DataFrame:
-    """Targets with their metadata record. Hash decides; a job fails where both name a ledger and disagree."""
+    """Targets with their metadata record. Hash decides; a job fails where a target has none, or where both name a ledger and disagree."""
     right = meta.withColumnsRenamed(
         {"ledger_index": "metadata_ledger_index", "transaction_index": "metadata_transaction_index"}
-    )
-    joined = targets.join(right, "tx_hash")
+    ).withColumn("_found", F.lit(True))
+    absent = F.raise_error(F.concat(F.lit("no metadata for "), F.coalesce("tx_hash", F.lit("a target without hash")))).cast("string")
+    joined = targets.join(right, "tx_hash", "left")
+    joined = joined.withColumn("tx_hash", F.when(F.col("_found"), F.col("tx_hash")).otherwise(absent)).drop("_found")
     if "ledger_index" not in targets.columns or "metadata_ledger_index" not in joined.columns:
         return joined
     differs = F.col("ledger_index") != F.col("metadata_ledger_index")

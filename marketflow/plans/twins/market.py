@@ -124,7 +124,7 @@ def funds_alloc_fee(spark, root):
 
 
 def funded_caps(spark, root):
-    """Caps of two accounts per ledger served in sequence order; the skip rule has no SQL counterpart."""
+    """Caps of two accounts per ledger served in sequence order."""
     o = D.orders(spark, root).select(D.div("k", 10).alias("ledger_index"), (F.col("u") % 2).alias("account"), F.col("k").alias("sequence"), "c", "k")
     listed = o.filter("k % 3 <> 0").select("ledger_index", "account", "sequence", D.tagged("B", F.col("k")).alias("offer_id"), F.when(F.col("k") % 4 == 0, F.floor(F.col("c") / 2)).otherwise(F.col("c")).alias("size"), F.lit(60_000_000).alias("funds"))
     out = FU.funded_caps(listed, o.select("ledger_index", "account", "sequence", F.col("c").alias("size")), key=["ledger_index", "account"])
@@ -323,7 +323,9 @@ TWINS = {
     "order_violations": (order_violations, "WITH q AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) k FROM events), w AS (SELECT *, lag(user_id) OVER (ORDER BY event_id) pu, lag(k) OVER (ORDER BY event_id) pk FROM q) SELECT event_id, user_id, k, pu previous_group, pk previous_index FROM w WHERE user_id < pu OR (user_id = pu AND k < pk)"),
     "funds_alloc": (funds_alloc, sql(ORDERS, f", q AS (SELECT k, u, c, k % 17 = 0 free, CAST(round(c_acctbal * 100) AS BIGINT) * 50 f FROM o JOIN customer ON c_custkey = u), w AS (SELECT *, coalesce(sum(CASE WHEN free THEN 0 ELSE c END) OVER (PARTITION BY u ORDER BY c DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM q) SELECT k, {r('CASE WHEN free THEN c ELSE least(c, greatest(f - b, 0)) END')} allocated FROM w")),
     "funds_alloc_fee": (funds_alloc_fee, sql(ORDERS, f", q AS (SELECT k, u, CAST(c AS DOUBLE) / 100 sz, c_acctbal * 100 f FROM o JOIN customer ON c_custkey = u), w AS (SELECT *, coalesce(sum(sz * 1.25) OVER (PARTITION BY u ORDER BY sz, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM q), x AS (SELECT *, least(sz, greatest(f - b, 0) / 1.25) a FROM w) SELECT k, {r('a', 2)} allocated, {r('CASE WHEN a < sz THEN least(sz * 2, a * 2) ELSE sz * 2 END', 2)} pays FROM x")),
-    "funded_caps": (funded_caps, None),
+    "funded_caps": (funded_caps, f"WITH RECURSIVE {ORDERS}, q AS (SELECT k // 10 li, u % 2 acc, k, c, k % 3 <> 0 inb, CASE WHEN k % 4 = 0 THEN c // 2 ELSE c END bs, row_number() OVER (PARTITION BY k // 10, u % 2 ORDER BY k) rn FROM o), "
+        "f AS (SELECT *, CAST(60000000 AS BIGINT) lft FROM q WHERE rn = 1 UNION ALL SELECT q.*, CASE WHEN NOT f.inb OR f.bs >= least(f.c, f.lft) THEN greatest(f.lft - least(f.c, f.lft), 0) ELSE f.lft END FROM f JOIN q ON q.li = f.li AND q.acc = f.acc AND q.rn = f.rn + 1) "
+        f"SELECT li ledger_index, acc account, 'B' || k offer_id, {r('least(c, lft)')} cap FROM f WHERE inb AND bs >= least(c, lft)"),
     "owner_floor": (owner_floor, f"SELECT {n('c_nationkey')} c_nationkey, {r('min(c_acctbal) FILTER (c_acctbal > 0)')} floor, true has_funds, coalesce(min(c_mktsegment) FILTER (c_acctbal > 0) <> max(c_mktsegment) FILTER (c_acctbal > 0), false) conflict FROM customer GROUP BY 1"),
     "apply_owner_floor": (apply_owner_floor, f"SELECT c_custkey, {r('coalesce(min(CASE WHEN c_acctbal > 0 THEN c_acctbal END) OVER (PARTITION BY c_nationkey), c_acctbal)')} c_acctbal, false conflict FROM customer"),
     "funds_by_account": (funds_by_account, sql(BOOK, "SELECT DISTINCT account FROM bk WHERE k % 7 = 0")),
