@@ -1,7 +1,7 @@
 """Ledger-shaped inputs derived from star-schema tables.
 
 Every derived row is a projection of one source row, so the inputs grow with the tables and a
-derivation never gathers rows. ``plans.oracles`` states the same derivations in SQL.
+derivation never gathers rows. ``plans.twins`` states the same derivations in SQL.
 
 Letters used below: ``k`` order key, ``u`` customer key, ``c`` order total in cents.
 """
