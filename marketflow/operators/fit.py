@@ -160,6 +160,15 @@ def ttest_rows(compared: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "tx_hash", "ttest_group", "side", err.alias("signed"), F.abs(err).alias("unsigned"))
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join aggregates of the same groups; a NULL in a group column is a group like any other."""
+    other = right.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return left.join(other, same, how).drop(*[f"_g_{c}" for c in by])
+
+
 def ttest_groups(compared: DataFrame, by: list[str]) -> DataFrame:
     """Moments per t-test group and side, with the group's transaction count."""
     rows = ttest_rows(compared, by)
@@ -170,7 +179,7 @@ def ttest_groups(compared: DataFrame, by: list[str]) -> DataFrame:
         n.alias("n"), F.avg("signed").alias("signed_mean"), dev("signed").alias("signed_stddev"),
         F.avg("unsigned").alias("unsigned_mean"), dev("unsigned").alias("unsigned_stddev"),
     )
-    return stats.join(sizes, [*by, "ttest_group"])
+    return join_groups(stats, sizes, [*by, "ttest_group"])
 
 
 def breakdown_labels() -> Column:
@@ -249,7 +258,7 @@ def grouped_breakdown(rows: DataFrame, by: list[str]) -> DataFrame:
     bps = rows.withColumn("primary_bps", S.to_bps(F.col("primary_err")))
     ranks = percentile_ceil(bps, by, "primary_bps", {"primary_bps_p50": 0.50, "primary_bps_p95": 0.95, "primary_bps_p99": 0.99})
     top = bps.groupBy(*by).agg(F.max("primary_bps").alias("primary_bps_max"))
-    return counts.join(wide, by).join(top, by).join(ranks.drop("n_values"), by, "left")
+    return join_groups(join_groups(join_groups(counts, wide, by), top, by), ranks.drop("n_values"), by, "left")
 
 
 def top_errors(df: DataFrame, by: list[str], error: str, k: int, tie: str = "tx_hash") -> DataFrame:
@@ -272,15 +281,15 @@ def amount_only_range(errors: DataFrame, by: list[str], error: str, expected: Da
     """
     kept = errors.filter(F.col(error).isNotNull()).withColumn(error, F.abs(F.col(error)))
     counts = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("available"))
-    bounds = expected.join(counts, by, "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    bounds = join_groups(expected, counts, by, "left").withColumn("available", F.coalesce("available", F.lit(0)))
     bounds = bounds.withColumn("_k", F.least("available", "expected_count"))
     ranked = row_rank(kept.select(*by, error, "tx_hash"), by, [error, "tx_hash"], "_r", gate=kept)
     low, high = F.floor((F.col("_k") + 1) / 2), F.floor((F.col("_k") + 2) / 2)
     at = lambda r: F.max(F.when(F.col("_r") == r, F.col(error)))
-    picked = ranked.join(bounds, by).filter(F.col("_r") <= F.col("_k")).groupBy(*by).agg(
+    picked = join_groups(ranked, bounds, by).filter(F.col("_r") <= F.col("_k")).groupBy(*by).agg(
         F.min(error).alias("min_err"), ((at(low) + at(high)) / 2).alias("median_err"), F.max(error).alias("max_err")
     )
-    return bounds.join(picked, by, "left").select(
+    return join_groups(bounds, picked, by, "left").select(
         *by, "expected_count", "available", (F.col("available") >= F.col("expected_count")).alias("complete"),
         "min_err", "median_err", "max_err",
     )

@@ -40,3 +40,14 @@ def test_metadata_columns_are_pruned(spark):
 
     text = plan(derive.metadata(spark, ROOT).select(F.col("result.TransactionType")))
     assert "AffectedNodes" not in text
+
+
+def test_a_null_group_stays(spark):
+    from marketflow.operators import fit
+
+    errors = spark.createDataFrame([(None, "t1", 0.5), (None, "t2", -0.1), ("a", "t3", 0.2)], "pair string, tx_hash string, err double")
+    expected = spark.createDataFrame([(None, 2), ("a", 1)], "pair string, expected_count int")
+    got = {r["pair"]: (r["available"], r["complete"], r["min_err"], r["max_err"]) for r in fit.amount_only_range(errors, ["pair"], "err", expected).collect()}
+    assert got == {None: (2, True, 0.1, 0.5), "a": (1, True, 0.2, 0.2)}
+    joined = fit.join_groups(errors.groupBy("pair").count(), errors.groupBy("pair").agg({"err": "max"}), ["pair"])
+    assert joined.count() == 2 and joined.columns == ["pair", "count", "max(err)"]
