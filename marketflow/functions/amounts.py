@@ -166,9 +166,9 @@ def number_double(units: Column, exponent: Column) -> Column:
     return units.cast("double") * F.pow(F.lit(10.0), exponent.cast("double"))
 
 
-def same_amount(left: str, right: str) -> Column:
+def same_amount_sql(left: str, right: str) -> str:
     """Equality of canonical amounts; zero has no exponent."""
-    return F.expr(f"{left}.units = {right}.units and ({left}.units = 0 or {left}.exponent = {right}.exponent)")
+    return f"{left}.units = {right}.units and ({left}.units = 0 or {left}.exponent = {right}.exponent)"
 
 
 def is_issued(raw: Column) -> Column:

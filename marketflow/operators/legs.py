@@ -6,7 +6,7 @@ groups keyed by transaction are bounded by a record and use plain windows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketflow.functions import amounts as A
@@ -184,7 +184,7 @@ def real_pool_legs(meta: DataFrame, intents: DataFrame) -> DataFrame:
     moving = joined.filter("native_pre.units <> native_post.units")
     held = F.filter("held", lambda x: F.coalesce((x["before"]["units"] > 0) & (x["after"]["units"] > 0), F.lit(False)))
     line = _pool_lines(moving, "pool_account").withColumn("l", F.get(held, F.lit(0))).filter("l is not null").select("*", "l.before", "l.after")
-    moved = line.filter(~A.same_amount("before", "after"))
+    moved = line.filter(f"not ({A.same_amount_sql('before', 'after')})")
     native_side = lambda change: _transition("native_pre", "native_post", change, "pool_account", "true")
     line_side = lambda change: _transition("before", "after", change, "pool_line", "false")
     first = f"in_currency = '{NATIVE}'"
@@ -262,79 +262,129 @@ def source_funds(meta: DataFrame, intents: DataFrame) -> DataFrame:
     )
 
 
-def _identity(df: DataFrame) -> DataFrame:
+def _leg_id() -> Column:
     """Book legs are identified by their offer, pool legs all together."""
-    return df.withColumn("leg_id", F.when(F.col("src") == "CLOB", F.col("source_id")).otherwise(F.lit("AMM")))
+    return F.when(F.col("src") == "CLOB", F.col("source_id")).otherwise(F.lit("AMM"))
 
 
-LEG = ["tx_hash", "src", "leg_id"]
+def _model_arrays(model: DataFrame) -> DataFrame:
+    """One row per transaction with ``_model``, its model legs ordered by identity, amounts and number."""
+    owner_out = F.coalesce("owner_out", "out") if "owner_out" in model.columns else F.col("out")
+    amounts = [F.col(f"{c}.{part}").alias(f"{c}_{part}") for c in ("out", "in") for part in ("units", "exponent")]
+    leg = F.struct(
+        F.struct("src", _leg_id().alias("leg_id")).alias("id"), F.struct(*amounts, "leg_no").alias("place"),
+        F.struct("leg_no", "out", "in", owner_out.alias("owner_out")).alias("leg"),
+    )
+    return model.groupBy("tx_hash").agg(F.sort_array(F.collect_list(leg)).alias("_model"))
 
 
-def structure_match(model: DataFrame, real: DataFrame) -> DataFrame:
-    """Per transaction: leg counts, whether both sides hold the same legs, and whether they pair up."""
-    left = _identity(model).groupBy(*LEG).agg(F.count(F.lit(1)).alias("n_model"))
-    right = _identity(real).groupBy(*LEG).agg(F.count(F.lit(1)).alias("n_real"))
-    zero = F.lit(0)
-    both = left.join(right, LEG, "full").withColumns(
-        {"n_model": F.coalesce("n_model", zero), "n_real": F.coalesce("n_real", zero)}
-    )
-    n_model, n_real = F.col("n_model"), F.col("n_real")
-    pool = F.col("src") == "AMM"
-    return both.groupBy("tx_hash").agg(
-        F.sum("n_model").alias("model_leg_count"),
-        F.sum("n_real").alias("real_leg_count"),
-        F.bool_and(n_model == n_real).alias("structure_match"),
-        F.bool_and((n_model > 0) & (n_real > 0)).alias("identity_match"),
-        F.bool_and((n_real == 1) | (n_model == n_real)).alias("pairable"),
-        F.bool_or(pool & (n_model > 0)).alias("model_pool"),
-        F.bool_or(~pool & (n_model > 0)).alias("model_book"),
-        F.bool_or(pool & (n_real > 0)).alias("real_pool"),
-        F.bool_or(~pool & (n_real > 0)).alias("real_book"),
+def _real_arrays(real: DataFrame) -> DataFrame:
+    """One row per transaction with ``_real``, its real legs ordered by identity and balances (output before input)."""
+    ends = [F.col(f"{c}.{end}.{part}").alias(f"{c}_{end}_{part}") for c in ("out", "in") for end in ("pre", "post") for part in ("units", "exponent")]
+    kinds = {c: F.col(f"{c}.state_change").alias(f"{c}_change") for c in ("out", "in")}
+    leg = F.struct(
+        F.struct("src", _leg_id().alias("leg_id")).alias("id"), F.struct(kinds["out"], *ends[:4], kinds["in"], *ends[4:]).alias("place"),
+        F.struct(*[c for c in real.columns if c not in ("tx_hash", "src")]).alias("leg"),
     )
+    return real.groupBy("tx_hash").agg(F.sort_array(F.collect_list(leg)).alias("_real"))
+
+
+def _groups() -> Column:
+    """Legs of both arrays by identity: (id, model, real), each side in its order. NULL identities equal each other."""
+    of = lambda side: F.transform(side, lambda x: x["id"])
+    same = lambda side, k: F.filter(side, lambda x: x["id"].eqNullSafe(k))
+    ids = F.array_distinct(F.concat(of("_model"), of("_real")))
+    return F.transform(ids, lambda k: F.struct(k.alias("id"), same("_model", k).alias("model"), same("_real", k).alias("real")))
+
+
+def _filled(joined: DataFrame) -> DataFrame:
+    """A side without a row has no legs; ``_groups`` is made once for all that reads it."""
+    sides = {name: F.coalesce(name, F.array()) for name in ("_model", "_real")}
+    return joined.withColumns(sides).withColumn("_groups", _groups())
+
+
+def _structure() -> dict[str, Column]:
+    size = lambda side: F.size(side).cast("bigint")
+    all_of = lambda test: F.forall("_groups", lambda g: test(F.size(g["model"]), F.size(g["real"])))
+    some = lambda side, pool: F.exists(side, lambda x: (x["id"]["src"] == "AMM") == F.lit(pool))
+    return {
+        "model_leg_count": size("_model"),
+        "real_leg_count": size("_real"),
+        "structure_match": all_of(lambda model, real: model == real),
+        "identity_match": all_of(lambda model, real: (model > 0) & (real > 0)),
+        "pairable": all_of(lambda model, real: (real == 1) | (model == real)),
+        "model_pool": some("_model", True),
+        "model_book": some("_model", False),
+        "real_pool": some("_real", True),
+        "real_book": some("_real", False),
+    }
+
+
+def structure_match(model: DataFrame, real: DataFrame) -> DataFrame:
+    """Per transaction: leg counts, whether both sides hold the same legs, and whether they pair up.
+
+    Each side shuffles once into an array per transaction; the multisets are compared inside the row.
+    """
+    both = _filled(_model_arrays(model).join(_real_arrays(real), "tx_hash", "full"))
+    return both.select("tx_hash", *[test.alias(name) for name, test in _structure().items()])
+
+
+def _pairs(real_columns: list[str]) -> Column:
+    """Real legs of ``_groups`` with the model legs they face, as :func:`pair_legs` states."""
+
+    def of(group: Column) -> Column:
+        n_model, n_real = F.size(group["model"]), F.size(group["real"])
+
+        def faced(leg: Column, at: Column) -> Column:
+            whole = F.sort_array(F.transform(group["model"], lambda x: x["leg"]))
+            met = F.when((n_real == 1) & (n_model > 0), whole).when((n_real > 1) & (n_real == n_model), F.array(F.get(group["model"], at)["leg"]))
+            own = [leg["leg"][c].alias(c) for c in real_columns]
+            return F.struct(
+                group["id"]["src"].alias("src"), group["id"]["leg_id"].alias("leg_id"), (at + 1).alias("leg_rank"),
+                *own, n_real.cast("bigint").alias("n_real"), met.alias("model_legs"),
+            )
+
+        return F.transform(group["real"], faced)
+
+    return F.flatten(F.transform("_groups", of))
 
 
 def pair_legs(model: DataFrame, real: DataFrame) -> DataFrame:
     """Real legs with the model legs they face.
 
     A single real leg takes all model legs of its identity; equal numbers pair by rank; other sizes
-    stay unpaired. ``model_legs`` holds the faced legs in model order. A model leg may have ``owner_out``,
-    what the owner pays with the transfer fee on top of ``out``; it equals ``out`` where absent.
+    stay unpaired (NULL). ``model_legs`` holds the faced legs in model order. A model leg may have ``owner_out``,
+    what the owner pays with the transfer fee on top of ``out``; it equals ``out`` where absent. Further columns of
+    ``real`` are kept; they order ties, so maps are not allowed among them.
     """
-    owner_out = F.coalesce("owner_out", "out") if "owner_out" in model.columns else F.col("out")
-    model = model.withColumn("owner_out", owner_out)
-    group = Window.partitionBy(*LEG)
-    amount = lambda c: [F.col(f"{c}.units"), F.col(f"{c}.exponent")]
-    state = lambda c: [F.col(f"{c}.state_change"), *amount(f"{c}.pre"), *amount(f"{c}.post")]
-    right = _identity(real).withColumns(
-        {
-            "n_real": F.count(F.lit(1)).over(group),
-            "leg_rank": F.row_number().over(group.orderBy(*state("out"), *state("in"))),
-        }
-    )
-    sizes = right.groupBy(*LEG).agg(F.max("n_real").alias("n_real"))
-    left = _identity(model).join(sizes, LEG).withColumns(
-        {
-            "n_model": F.count(F.lit(1)).over(group),
-            "_rank": F.row_number().over(group.orderBy(*amount("out"), *amount("in"), "leg_no")),
-        }
-    )
-    place = F.when(F.col("n_real") == 1, F.lit(1)).when(F.col("n_real") == F.col("n_model"), F.col("_rank"))
-    faced = F.sort_array(F.collect_list(F.struct("leg_no", "out", "in", "owner_out")))
-    grouped = left.withColumn("leg_rank", place).filter("leg_rank is not null").groupBy(*LEG, "leg_rank").agg(faced.alias("model_legs"))
-    return right.join(grouped, [*LEG, "leg_rank"], "left")
+    kept = [c for c in real.columns if c not in ("tx_hash", "src")]
+    both = _filled(_real_arrays(real).join(_model_arrays(model), "tx_hash", "left"))
+    return both.select("tx_hash", F.inline(_pairs(kept)))
 
 
 def _project(side: str) -> str:
-    """SQL of the balance after the faced model amounts, applied one by one with ledger rounding.
+    """SQL of the balance of pair ``p`` after the faced model amounts, applied one by one with ledger rounding.
 
     An account balance falls by what its owner paid, an offer's amount by what it gave.
     """
-    taken = "if(`out`.state_source = 'account_delta', v.owner_out, v.`out`)" if side == "out" else "v.`in`"
-    start = f"named_struct('units', cast(`{side}`.pre.units as {UNITS}), 'exponent', cast(`{side}`.pre.exponent as int))"
-    turn = f"named_struct('units', cast({taken}.units * if(`{side}`.state_change = 'increase', 1, -1) as {UNITS}), 'exponent', {taken}.exponent)"
+    taken = "if(p.`out`.state_source = 'account_delta', v.owner_out, v.`out`)" if side == "out" else "v.`in`"
+    pre = f"p.`{side}`.pre"
+    start = f"named_struct('units', cast({pre}.units as {UNITS}), 'exponent', cast({pre}.exponent as int))"
+    turn = f"named_struct('units', cast({taken}.units * if(p.`{side}`.state_change = 'increase', 1, -1) as {UNITS}), 'exponent', {taken}.exponent)"
     native = f"{side}_currency = '{NATIVE}'"
     step = A._let(turn, "f", A.signed_sum_sql("u", "f", 1, native))
-    return f"aggregate(model_legs, {start}, (u, v) -> {step})"
+    return f"aggregate(p.model_legs, {start}, (u, v) -> {step})"
+
+
+def _tested(df: DataFrame) -> DataFrame:
+    """Add ``_tested``: per pair its place, whether each side ends at the real balance, and the residuals."""
+    held = "'src', p.src, 'leg_id', p.leg_id, 'leg_rank', p.leg_rank"
+    ends = ", ".join(f"'{s}_post', p.`{s}`.post, '{s}_projected', {_project(s)}" for s in ("out", "in"))
+    gap = lambda s: A.signed_sum_sql(f"p.{s}_projected", f"p.{s}_post", -1, "false")
+    same = lambda s: f"coalesce({A.same_amount_sql(f'p.{s}_projected', f'p.{s}_post')}, false)"
+    tests = ", ".join(f"'{s}_ok', {same(s)}, '{s}_gap', {gap(s)}" for s in ("out", "in"))
+    projected = df.withColumn("_projected", F.expr(f"transform(_pairs, p -> named_struct({held}, {ends}))"))
+    return projected.withColumn("_tested", F.expr(f"transform(_projected, p -> named_struct({held}, {tests}))"))
 
 
 def leg_totals(legs: DataFrame, side: str) -> DataFrame:
@@ -343,32 +393,30 @@ def leg_totals(legs: DataFrame, side: str) -> DataFrame:
     return legs.groupBy("tx_hash").agg(F.sum(value).alias(f"total_{side}"))
 
 
-def _total_gaps(model: DataFrame, real: DataFrame) -> DataFrame:
-    """Model totals less real totals, summed exactly at the smallest exponent of the transaction."""
-
-    def long(df: DataFrame, sign: int) -> DataFrame:
-        sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}.units").alias("units"), F.col(f"{s}.exponent").alias("exponent")) for s in ("in", "out")])
-        return df.select("tx_hash", F.lit(sign).alias("sign"), F.inline(sides))
-
-    rows = long(model, 1).unionByName(long(real, -1))
-    low = F.min(F.when(F.col("units") != 0, F.col("exponent"))).over(Window.partitionBy("tx_hash", "side"))
-    placed = rows.withColumn("_base", F.coalesce(low, F.lit(0)))
-    placed = placed.withColumn("_exact", F.expr(A.aligned_sql("units", "exponent", "_base")) * F.col("sign"))
-    exact = F.col("_exact")
-    value = A.number_double(F.col("units"), F.col("exponent"))
-    sums = placed.groupBy("tx_hash", "side").agg(
-        F.try_sum(exact.cast(UNITS)).alias("_gap"), F.bool_or(exact.isNull()).alias("_lost"), F.min("_base").alias("_base"),
-        F.sum(value * F.col("sign")).alias("_float_gap"),
-        F.coalesce(F.sum(F.when(F.col("sign") == -1, value)), F.lit(0.0)).alias("real_total"),
-        F.coalesce(F.sum(F.when(F.col("sign") == 1, value)), F.lit(0.0)).alias("model_total"),
-    )
-    gap = F.when(F.col("_lost") | F.col("_gap").isNull(), F.col("_float_gap")).otherwise(A.number_double(F.col("_gap"), F.col("_base")))
-    pick = lambda s, c: F.max(F.when(F.col("side") == s, c))
-    return sums.withColumn("_diff", gap).groupBy("tx_hash").agg(
-        *[pick(s, F.col("_diff")).alias(f"total_{s}_diff") for s in ("in", "out")],
-        *[pick(s, F.col("real_total")).alias(f"real_total_{s}") for s in ("in", "out")],
-        *[pick(s, F.col("model_total")).alias(f"model_total_{s}") for s in ("in", "out")],
-    )
+def _summed(values: Column) -> Column:
+    """Sum of an array of DOUBLE without its NULLs; 0 when empty."""
+    return F.aggregate(values, F.lit(0.0), lambda total, x: total + F.coalesce(x, F.lit(0.0)))
+
+
+def _with_totals(df: DataFrame) -> DataFrame:
+    """Add model and real totals per side and their exact difference, formed at the smallest exponent of the transaction.
+
+    Where 38 digits are not enough, the difference is that of DOUBLE totals.
+    """
+    out = df
+    for side in ("in", "out"):
+        signed = lambda legs, sign, s=side: F.transform(
+            legs, lambda x: F.struct((x["leg"][s]["units"] * sign).cast(UNITS).alias("units"), x["leg"][s]["exponent"].cast("int").alias("exponent")))
+        out = out.withColumn(f"_{side}", F.concat(signed("_model", 1), signed("_real", -1)))
+        low = F.array_min(F.transform(F.filter(f"_{side}", lambda x: x["units"] != 0), lambda x: x["exponent"]))
+        out = out.withColumn(f"_{side}_base", F.coalesce(low, F.lit(0)))
+        exact = A.aligned_sql("x.units", "x.exponent", f"_{side}_base")
+        add = f"aggregate(_{side}, cast(0 as {UNITS}), (total, x) -> cast(try_add(total, {exact}) as {UNITS}))"
+        total = lambda legs, s=side: _summed(F.transform(legs, lambda x: A.number_double(x["leg"][s]["units"], x["leg"][s]["exponent"])))
+        out = out.withColumns({f"_{side}_gap": F.expr(add), f"real_total_{side}": total("_real"), f"model_total_{side}": total("_model")})
+        by_double = F.col(f"model_total_{side}") - F.col(f"real_total_{side}")
+        out = out.withColumn(f"total_{side}_diff", F.coalesce(A.number_double(F.col(f"_{side}_gap"), F.col(f"_{side}_base")), by_double))
+    return out
 
 
 def compare_legs(targets: DataFrame, model: DataFrame, real: DataFrame) -> DataFrame:
@@ -378,47 +426,37 @@ def compare_legs(targets: DataFrame, model: DataFrame, real: DataFrame) -> DataF
     (tx_hash, src, source_id, leg_no, out, in, optionally owner_out) with structs of (units, exponent); ``real`` comes from
     :func:`real_legs`.
     """
-    directions = targets.select("tx_hash", "in_currency", "out_currency")
-    paired = pair_legs(model, real).join(directions, "tx_hash")
-    stepped = A.computed(paired, {f"_{s}_projected": _project(s) for s in ("in", "out")})
-    gaps = {f"_{s}_gap": A.signed_sum_sql(f"_{s}_projected", f"`{s}`.post", -1, "false") for s in ("in", "out")}
-    stepped = A.computed(stepped, gaps)
-    for side in ("in", "out"):
-        exact = F.coalesce(A.same_amount(f"_{side}_projected", f"`{side}`.post"), F.lit(False))
-        stepped = stepped.withColumn(f"{side}_ok", exact).withColumn(f"{side}_residual", A.number_double(F.col(f"_{side}_gap.units"), F.col(f"_{side}_gap.exponent")))
-    tested = stepped
-    place = lambda s, n: F.struct("src", "leg_id", "leg_rank", F.lit(n).alias("turn"))
-    fails = F.least(F.when(~F.col("out_ok"), place("out", 0)), F.when(~F.col("in_ok"), place("in", 1)))
-    per_tx = tested.groupBy("tx_hash").agg(
-        F.bool_and("in_ok").alias("_in_ok"), F.bool_and("out_ok").alias("_out_ok"),
-        F.sum("in_residual").alias("_in_residual"), F.sum("out_residual").alias("_out_residual"),
-        F.min(fails).alias("_fail"),
-    )
-    joined = (
-        targets.join(structure_match(model, real), "tx_hash", "left")
-        .join(per_tx, "tx_hash", "left")
-        .join(_total_gaps(model, real), "tx_hash", "left")
-    )
-    yes, zero = F.lit(True), F.lit(0)
-    paired_up = F.coalesce(F.col("identity_match") & F.col("pairable"), yes)
-    structure = F.coalesce("structure_match", yes)
-    side_ok = lambda s: paired_up & F.coalesce(F.col(f"_{s}_ok"), yes)
+    # Three exchanges on tx_hash, one per input; all that follows happens inside the transaction's row.
+    joined = _filled(targets.join(_model_arrays(model), "tx_hash", "left").join(_real_arrays(real), "tx_hash", "left"))
+    paired = joined.withColumns({**_structure(), "_pairs": _pairs(["out", "in"])})
+    joined = _with_totals(_tested(paired))
+    place = lambda p, side, turn: F.struct(p["src"], p["leg_id"], p["leg_rank"], F.lit(turn).alias("turn"))
+    fail = lambda p: F.least(F.when(~p["out_ok"], place(p, "out", 0)), F.when(~p["in_ok"], place(p, "in", 1)))
+    residual = lambda s: _summed(F.transform("_tested", lambda p: A.number_double(p[f"{s}_gap"]["units"], p[f"{s}_gap"]["exponent"])))
+    joined = joined.withColumns({
+        "_in_ok": F.forall("_tested", lambda p: p["in_ok"]),
+        "_out_ok": F.forall("_tested", lambda p: p["out_ok"]),
+        **{f"_{s}_residual": residual(s) for s in ("in", "out")},
+        "_fail": F.array_min(F.transform("_tested", fail)),
+    })
+    paired_up = F.col("identity_match") & F.col("pairable")
+    structure = F.col("structure_match")
+    side_ok = lambda s: paired_up & F.col(f"_{s}_ok")
     strict = side_ok("in") & side_ok("out")
-    total = lambda s: F.coalesce(f"real_total_{s}", F.lit(0.0))
-    signed = lambda s: F.when(paired_up, S.residual_error(F.coalesce(f"_{s}_residual", F.lit(0.0)), total(s)))
+    signed = lambda s: F.when(paired_up, S.residual_error(F.col(f"_{s}_residual"), F.col(f"real_total_{s}")))
     failed = paired_up & ~strict
     return joined.select(
         *targets.columns,
-        F.coalesce("model_leg_count", zero).alias("model_leg_count"),
-        F.coalesce("real_leg_count", zero).alias("real_leg_count"),
+        "model_leg_count",
+        "real_leg_count",
         strict.alias("strict_exact_match"),
         structure.alias("structure_match"),
         side_ok("in").alias("in_side_exact_match"),
         side_ok("out").alias("out_side_exact_match"),
-        F.coalesce("total_in_diff", F.lit(0.0)).alias("total_in_diff"),
-        F.coalesce("total_out_diff", F.lit(0.0)).alias("total_out_diff"),
-        (F.coalesce("total_in_diff", F.lit(0.0)) == 0).alias("total_in_match"),
-        (F.coalesce("total_out_diff", F.lit(0.0)) == 0).alias("total_out_match"),
+        "total_in_diff",
+        "total_out_diff",
+        (F.col("total_in_diff") == 0).alias("total_in_match"),
+        (F.col("total_out_diff") == 0).alias("total_out_match"),
         signed("in").alias("in_signed_err"),
         signed("out").alias("out_signed_err"),
         F.when(failed, F.col("_fail.src")).alias("first_failed_kind"),
@@ -428,8 +466,8 @@ def compare_legs(targets: DataFrame, model: DataFrame, real: DataFrame) -> DataF
         .otherwise("structure_mismatch").alias("fit_bucket"),
         L.path_shape(F.col("model_pool"), F.col("model_book")).alias("model_shape"),
         L.path_shape(F.col("real_pool"), F.col("real_book")).alias("real_shape"),
-        L.leg_count_bucket(F.coalesce("model_leg_count", zero)).alias("model_legs_bucket"),
-        L.leg_count_bucket(F.coalesce("real_leg_count", zero)).alias("real_legs_bucket"),
+        L.leg_count_bucket(F.col("model_leg_count")).alias("model_legs_bucket"),
+        L.leg_count_bucket(F.col("real_leg_count")).alias("real_legs_bucket"),
     )
 
 

@@ -217,3 +217,61 @@ def test_derived_send_limit_and_external_path(spark):
     got = intents(spark, **fields, Paths=[[{"currency": "USD"}], [{"account": "r"}]])
     assert (got["in_currency"], got["in_issuer"], got["paths_external"], got["paths_count"]) == ("TOK", "A", True, 2)
     assert A.NATIVE == "XRP" and intents(spark, TransactionType="TrustSet", Account="A") is None
+
+
+KIND = "struct<units:decimal(38,0),exponent:int>"
+SIDE = f"struct<units:decimal(38,0),exponent:int,pre:{KIND},post:{KIND},state_change:string,state_source:string>"
+
+
+def native_side(pre, post):
+    """A native side that gives ``pre - post`` drops."""
+    return Decimal(pre - post), -6, (Decimal(pre), -6), (Decimal(post), -6), "decrease", "offer_node"
+
+
+def compared_legs(spark, model, real, targets):
+    """``model``: (tx, src, source, number, out, in); ``real``: (tx, src, source, out before, out after, in before, in after)."""
+    drops = lambda n: None if n is None else (Decimal(n), -6)
+    models = spark.createDataFrame([(t, k, i, n, drops(o), drops(g)) for t, k, i, n, o, g in model], f"tx_hash string, src string, source_id string, leg_no int, out {KIND}, `in` {KIND}")
+    reals = spark.createDataFrame([(t, k, i, native_side(a, b), native_side(c, d)) for t, k, i, a, b, c, d in real], f"tx_hash string, src string, source_id string, out {SIDE}, `in` {SIDE}")
+    wanted = spark.createDataFrame([(t, "XRP", "XRP") for t in targets], "tx_hash string, in_currency string, out_currency string")
+    return models, reals, LG.compare_legs(wanted, models, reals)
+
+
+def test_legs_are_compared_inside_a_transaction(spark):
+    model = [
+        ("one", "CLOB", "O", 1, 4, 8), ("one", "CLOB", "O", 2, 6, 12),  # two model legs face one real leg
+        ("rank", "CLOB", "O", 1, 7, 1), ("rank", "CLOB", "O", 2, 3, 1),  # two and two pair by size, not by number
+        ("sizes", "CLOB", "O", 1, 1, 1), ("sizes", "CLOB", "O", 2, 1, 1), ("sizes", "CLOB", "O", 3, 1, 1),
+        ("missing", "CLOB", "O", 1, 5, 5), ("pools", "AMM", "p", 1, 5, 6), ("null", None, None, 1, 5, 5), ("amount", "CLOB", "O", 1, 5, 5),
+    ]
+    real = [
+        ("one", "CLOB", "O", 10, 0, 20, 0), ("rank", "CLOB", "O", 9, 2, 5, 4), ("rank", "CLOB", "O", 3, 0, 4, 3),
+        ("sizes", "CLOB", "O", 2, 1, 2, 1), ("sizes", "CLOB", "O", 1, 0, 1, 0),
+        ("extra", "CLOB", "X", 5, 0, 5, 0), ("pools", "AMM", "q", 5, 0, 6, 0), ("null", None, None, 5, 0, 5, 0), ("amount", "CLOB", "O", 9, 5, 9, 4),
+    ]
+    models, reals, compared = compared_legs(spark, model, real, ["one", "rank", "sizes", "missing", "extra", "pools", "null", "amount", "none"])
+    rows = {r["tx_hash"]: r for r in compared.collect()}
+    assert len(rows) == 9
+    assert {t for t, r in rows.items() if r["strict_exact_match"]} == {"one", "rank", "pools", "null", "none"}
+    assert {t for t, r in rows.items() if r["structure_match"]} == {"rank", "pools", "null", "none", "amount"}
+    amount = rows["amount"]
+    assert (amount["first_failed_kind"], amount["first_failed_id"], amount["failed_side"]) == ("CLOB", "O", "out")
+    assert amount["in_side_exact_match"] and not amount["out_side_exact_match"]
+    assert amount["out_signed_err"] == pytest.approx(-0.25) and amount["total_out_diff"] == pytest.approx(1e-6)
+    assert rows["sizes"]["out_signed_err"] is None and rows["missing"]["in_signed_err"] is None
+    assert (rows["none"]["model_leg_count"], rows["none"]["total_in_diff"], rows["none"]["in_signed_err"]) == (0, 0.0, 0.0)
+    paired = {(r["tx_hash"], r["leg_rank"]): [int(leg["out"]["units"]) for leg in r["model_legs"]] if r["model_legs"] else None for r in LG.pair_legs(models, reals).collect()}
+    assert paired[("one", 1)] == [4, 6] and paired[("rank", 1)] == [3] and paired[("rank", 2)] == [7]
+    assert paired[("sizes", 1)] is None and paired[("extra", 1)] is None
+    whole = {r["tx_hash"]: r for r in LG.structure_match(models, reals).collect()}
+    assert (whole["extra"]["model_leg_count"], whole["extra"]["identity_match"], whole["pools"]["structure_match"], whole["sizes"]["pairable"]) == (0, False, True, False)
+
+
+def test_comparison_shuffles_each_input_once(spark):
+    _, _, compared = compared_legs(spark, [("a", "CLOB", "O", 1, 1, 1)], [("a", "CLOB", "O", 1, 0, 1, 0)], ["a"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = compared.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning(tx_hash") == text.count("Exchange ") == 3 and "Window" not in text
