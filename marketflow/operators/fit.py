@@ -68,7 +68,7 @@ def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def t_test(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """One-sample two-tailed test of a zero mean; p uses the normal approximation.
+    """One-sample two-tailed test of a zero mean by Student's t.
 
     The p-value function sees one row per group.
     """
@@ -77,7 +77,7 @@ def t_test(df: DataFrame, by: list[str], value: str) -> DataFrame:
     t_stat = F.when(~flat, F.try_divide(F.col("mean"), error))
     stats = moments(df, by, value).withColumns({"df": F.col("n") - 1, "t_stat": t_stat})
     certain = F.when(F.col("mean") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    p = F.when(F.col("n") < 1, F.lit(None)).when(F.col("t_stat").isNull(), certain).otherwise(S.two_tailed_p(F.col("t_stat")))
+    p = F.when(F.col("n") < 1, F.lit(None)).when(F.col("t_stat").isNull(), certain).otherwise(S.two_tailed_p(F.col("t_stat"), F.col("df")))
     tested = stats.withColumn("p_value", p)
     return tested.withColumn("reject", F.col("p_value") < 0.05)
 

@@ -78,3 +78,21 @@ INTENTS = (
 
 def sql(cte: str, body: str) -> str:
     return f"WITH {cte} {body}"
+
+
+def student_t_sql(stats: str, key: str) -> str:
+    """CTEs up to ``tq`` (t statistic ``t``, p-value ``p`` per ``key``) over ``stats`` with (key, n, a mean, d deviation).
+
+    For whole degrees of freedom the tails of Student's t are a finite series in the cosine of atan(|t| / sqrt(df)), summed here
+    term by term; the engine evaluates the incomplete beta function instead.
+    """
+    step = "term * cos(th) * cos(th) * (m + 1) / (m + 2)"
+    odd = "1 - 2 / pi() * (any_value(th) + sin(any_value(th)) * arg_max(tot, m))"
+    return (
+        f"ts AS (SELECT *, CASE WHEN n > 1 AND d > 0 THEN a / (d / sqrt(n)) END t, n - 1 v FROM {stats}), "
+        "tw AS (SELECT *, atan(abs(t) / sqrt(v)) th FROM ts WHERE t IS NOT NULL), "
+        f"tr AS (SELECT {key}, v, th, v % 2 m, CASE WHEN v % 2 = 1 THEN cos(th) ELSE 1 END term, CASE WHEN v = 1 THEN 0 WHEN v % 2 = 1 THEN cos(th) ELSE 1 END tot FROM tw "
+        f"UNION ALL SELECT {key}, v, th, m + 2, {step}, tot + {step} FROM tr WHERE m + 2 <= v - 2), "
+        f"tp AS (SELECT {key}, CASE WHEN any_value(v) % 2 = 1 THEN {odd} ELSE 1 - sin(any_value(th)) * arg_max(tot, m) END p FROM tr GROUP BY ALL), "
+        f"tq AS (SELECT ts.*, CASE WHEN n < 1 THEN NULL WHEN t IS NULL THEN CASE WHEN a = 0 THEN 1.0 ELSE 0.0 END ELSE p END p FROM ts LEFT JOIN tp USING ({key}))"
+    )

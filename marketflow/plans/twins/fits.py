@@ -8,7 +8,7 @@ from marketflow.operators import fit as FT
 from marketflow.operators import legs as LG
 from marketflow.plans import derive as D
 from marketflow.plans.twins.activity import CONSTRAINT, MODE, PREDICTED, ROLE
-from marketflow.plans.twins.common import INTENTS, n, plain, r, sql
+from marketflow.plans.twins.common import INTENTS, n, plain, r, sql, student_t_sql
 from marketflow.plans.twins.ledger import REAL_BOOK, REAL_POOL, value
 from marketflow.plans.twins.market import BUCKET, BUCKET_RANK
 
@@ -71,8 +71,12 @@ def ttest_groups(spark, root):
 
 
 def group_t_tests(spark, root):
-    """Tests per group and side with p-values; no SQL counterpart for the p-value."""
-    return plain(FT.t_test(FT.ttest_rows(D.compared(spark, root), ["pair"]), ["pair", "ttest_group", "side"], "signed"))
+    """Tests per group and side with p-values."""
+    out = FT.t_test(FT.ttest_rows(D.compared(spark, root), ["pair"]), ["pair", "ttest_group", "side"], "signed")
+    return out.select(
+        "pair", "ttest_group", "side", "n", "df", "reject", *[(F.round(F.col(c) * 1e9, 2) + F.lit(0.0)).alias(c) for c in ("mean", "stddev")],
+        *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("t_stat", "p_value")],
+    )
 
 
 def breakdown(spark, root):
@@ -165,7 +169,8 @@ TWINS = {
         + ", ".join(f"{RATE(f'{c[0]}side = ' + chr(39) + v + chr(39))} {c}_{v}_count" for c in ("predicted", "constraint") for v in ("in", "out"))
         + f", {RATE('inok')} in_side_exact_count, {RATE('outok')} out_side_exact_count, {RATE('CASE pside WHEN ' + chr(39) + 'in' + chr(39) + ' THEN inok WHEN ' + chr(39) + 'out' + chr(39) + ' THEN outok END')} predicted_side_exact_count, {RATE('CASE cside WHEN ' + chr(39) + 'in' + chr(39) + ' THEN inok WHEN ' + chr(39) + 'out' + chr(39) + ' THEN outok END')} constraint_side_exact_count FROM fc GROUP BY 1, 2")),
     "ttest_groups": (ttest_groups, sql(COMPARED, f", {TT} SELECT tt.pair, tt.g ttest_group, side, count(e) n, max(txn) tx_count, {nano('avg(e)', 2)} signed_mean, {nano('CASE WHEN count(e) > 0 THEN coalesce(stddev_samp(e), 0) END', 2)} signed_stddev, {nano('avg(abs(e))', 2)} unsigned_mean FROM tt JOIN tz ON tz.pair = tt.pair AND tz.g = tt.g GROUP BY 1, 2, 3")),
-    "group_t_tests": (group_t_tests, None),
+    "group_t_tests": (group_t_tests, sql(COMPARED, f", {TT}, gs AS (SELECT pair, g, side, count(e) n, avg(e) a, CASE WHEN count(e) > 0 THEN coalesce(stddev_samp(e), 0) END d FROM tt GROUP BY 1, 2, 3), {student_t_sql('gs', 'pair, g, side')} "
+        f"SELECT pair, g ttest_group, side, n, v df, p < 0.05 reject, {nano('a', 2)} mean, {nano('d', 2)} AS stddev, {r('t', 5)} t_stat, {r('p', 5)} p_value FROM tq").replace("WITH ", "WITH RECURSIVE ", 1)),
     "breakdown": (breakdown, sql(COMPARED, f", {FAN}, fr AS (SELECT *, row_number() OVER (PARTITION BY dimension, key ORDER BY pe NULLS LAST) rk, count(pe) OVER (PARTITION BY dimension, key) m FROM fan) "
         f"SELECT dimension, key, count(*) n, {RATE('strict')} strict_exact_match_count, {RATE('struct_ok')} structure_match_count, {RATE('NOT struct_ok')} structure_false_count, {RATE('pe = 0')} primary_exact, {RATE('poe > CAST(1e-9 AS DOUBLE)')} proceeds_above, "
         + ", ".join(f"{r(f'{CEIL(q)} * 10000 * 1e6', 3)} primary_bps_{name}" for name, q in (("p50", "0.50"), ("p95", "0.95"), ("p99", "0.99"))) + f", {r('max(pe) * 10000 * 1e6', 3)} primary_bps_max FROM fr GROUP BY 1, 2")),

@@ -13,7 +13,7 @@ from marketflow.operators import temporal as TP
 from marketflow.operators.scan import top_rows
 from marketflow.plans import derive as D
 from marketflow.plans.twins.base import BOOK, book_rows
-from marketflow.plans.twins.common import INTENTS, META, ORDERS, n, plain, r, sql
+from marketflow.plans.twins.common import INTENTS, META, ORDERS, n, plain, r, sql, student_t_sql
 
 
 def asof_value(spark, root):
@@ -253,9 +253,9 @@ def t_stat(spark, root):
 
 
 def t_test_p(spark, root):
-    """Full test with p-value and decision; the p-value has no SQL counterpart."""
+    """Full test with p-value and decision."""
     li = D.table(spark, root, "lineitem").withColumn("gap", F.col("l_discount") - 0.05)
-    return plain(FT.t_test(li, ["l_suppkey"], "gap"))
+    return plain(FT.t_test(li, ["l_suppkey"], "gap"), 6)
 
 
 def pct_nearest(spark, root):
@@ -349,7 +349,8 @@ TWINS = {
         + " UNION ALL ".join(f"SELECT l_returnflag, '{lab}' AS label, {n(col)} n, {r(f'CAST({col} AS DOUBLE) / t')} AS share FROM s" for lab, col in (("=0", "a"), ("<= 1e-12", "b"), ("<= 1e-9", "c"), ("> 1e-9", "d")))),
     "moments": (moments, f"WITH q AS (SELECT l_suppkey, nullif(l_discount, 0) v FROM lineitem) SELECT l_suppkey, count(v) n, {r('avg(v)', 5)} mean, {r('CASE WHEN count(v) > 0 THEN coalesce(stddev_samp(v), 0) END', 5)} AS stddev FROM q GROUP BY 1"),
     "t_stat": (t_stat, f"WITH q AS (SELECT l_returnflag, l_discount - 0.05::DOUBLE g FROM lineitem), s AS (SELECT l_returnflag, count(*) n, avg(g) a, stddev_samp(g) d FROM q GROUP BY 1) SELECT l_returnflag, n, n - 1 df, {r('a', 4)} mean, {r('d', 4)} AS stddev, {r('a / (d / sqrt(n))', 4)} t_stat FROM s"),
-    "t_test_p": (t_test_p, None),
+    "t_test_p": (t_test_p, "WITH RECURSIVE q AS (SELECT l_suppkey, l_discount - 0.05::DOUBLE g FROM lineitem), s AS (SELECT l_suppkey, count(*) n, avg(g) a, stddev_samp(g) d FROM q GROUP BY 1), "
+        f"{student_t_sql('s', 'l_suppkey')} SELECT l_suppkey, n, v df, {r('a', 6)} mean, {r('d', 6)} AS stddev, {r('t', 6)} t_stat, {r('p', 6)} p_value, p < 0.05 reject FROM tq"),
     "pct_nearest": (pct_nearest, "SELECT l_suppkey, count(*) n_values, " + ", ".join(f"{r(f'quantile_disc(l_extendedprice, {p / 100})')} p{p}" for p in (5, 50, 90, 95, 99)) + " FROM lineitem GROUP BY 1"),
     "pct_linear": (pct_linear, "SELECT p_brand, count(*) n_values, " + ", ".join(f"{r(f'quantile_cont(p_retailprice, {q})', 4)} {name}" for name, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))) + " FROM part GROUP BY 1"),
     "pct_ceil": (pct_ceil, "WITH q AS (SELECT p_brand, p_retailprice v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) rk, count(*) OVER (PARTITION BY p_brand) m FROM part) SELECT p_brand, max(m) n_values, " + ", ".join(f"{r(f'max(CASE WHEN rk = ceil((m - 1) * {q}) + 1 THEN v END)')} {name}" for name, q in (("c50", "0.5"), ("c95", "0.95"), ("c99", "0.99"))) + " FROM q GROUP BY 1"),
