@@ -57,13 +57,16 @@ LISTED = [
     host_rule("net/es/", "block"),
     host_rule("net/fr/", "block"),
 ]
-# Rules of the method: expressions over the host and path or the whole URL, each with a literal token to be found by.
+# Rules of the method: expressions over the host and path or the whole URL, each with a literal token to be found by;
+# alternatives are rules of their own, so that no rule runs on a URL without its literal.
 PATTERNS = [
     Rule("spam host", "block", r"^//(?:[^/]*[.-])?spam(?:[.-][^/]*)?(?:/|$)", ("spam",)),
     Rule("pills host", "block", r"^//(?:[^/]*[.-])?pills(?:[.-][^/]*)?(?:/|$)", ("pills",)),
     Rule("casino host", "block", r"^//(?:[^/]*[.-])?casino(?:[.-][^/]*)?(?:/|$)", ("casino",)),
-    Rule("adult host", "block", r"^//(?:[^/]*[.-])?(?:xxx|porn)(?:[.-][^/]*)?(?:/|$)", ()),
-    Rule("login page", "block", r"^//[^/]*/(?:.*/)?(?:login|signin)(?:[/.]|$)", ()),
+    Rule("xxx host", "block", r"^//(?:[^/]*[.-])?xxx(?:[.-][^/]*)?(?:/|$)", ("xxx",)),
+    Rule("porn host", "block", r"^//(?:[^/]*[.-])?porn(?:[.-][^/]*)?(?:/|$)", ("porn",)),
+    Rule("login page", "block", r"^//[^/]*/(?:.*/)?login(?:[/.]|$)", ("login",)),
+    Rule("signin page", "block", r"^//[^/]*/(?:.*/)?signin(?:[/.]|$)", ("signin",)),
     Rule("tracking pixel", "block", r"/pixel\.gif(?:[?#]|$)", ("pixel", "gif"), on="url"),
     Rule("session in query", "block", r"[?&]phpsessid=", ("phpsessid",), on="url"),
 ]

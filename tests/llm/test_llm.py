@@ -505,7 +505,21 @@ def test_urls_equal_brute_force(spark):
 def test_rules_are_indexed_by_their_rarest_token(spark):
     urls = spark.createDataFrame([(f"http://a.example.com/en/{i}",) for i in range(9)] + [("http://www.example.com/de/",)], "url string")
     keys = {r.rule: r.key for r in url_rules.index(urls, url_rules.RULES).collect()}
-    assert keys["www.example.com/en/"] == "www" and keys["example.com/en/"] == "en" and keys["adult host"] == ""
+    assert keys["www.example.com/en/"] == "www" and keys["example.com/en/"] == "en"
+    assert all(key in r.tokens for r in url_rules.RULES for key in [keys[r.name]])  # no rule is fetched by every URL
+
+
+def test_patterns_run_only_where_their_literal_is(spark):
+    urls = {
+        "http://xxx.net": "block", "http://a-porn.b.org/x": "block", "http://h.org/a/login.php?x": "block", "http://h.org/signin": "block", "http://h.org/signin#top": "block",
+        "http://xxxl.org/": "allow", "http://h.org/porn": "allow", "http://h.org/blogin/": "allow", "http://h.org/?u=/login": "allow", "http://login.org/": "allow",
+    }
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    patterns = [r for r in url_rules.RULES if not r.listed]
+    got = {r.url: r.verdict for r in url_rules.judge(pages, patterns).collect()}
+    assert got == urls
+    plain = {u: "block" if any(re.search(r.pattern, u.lower() if r.on == "url" else "//" + re.match(r"[^?#]*", u.split("://", 1)[1])[0]) for r in patterns) else "allow" for u in urls}
+    assert got == plain
 
 
 # Registered queries and the pipeline
