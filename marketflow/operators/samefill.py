@@ -6,7 +6,7 @@ or unreadable one counts as zero. Sums and ratios are DOUBLE.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketflow.functions import labels as L
@@ -391,13 +391,30 @@ def label_maps(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def same_fill_global(rows: DataFrame) -> DataFrame:
-    """Roll-up over pairs: one row per (pair, measurement), per pair and for everything."""
+    """Roll-up over pairs: one row per (pair, measurement), per pair and for everything.
+
+    Rows combine per (pair, measurement, transaction) first. Inside a transaction, whose rows are few, one of them is marked to count
+    at each level, so distinct transactions are plain sums and nothing but the roll-up itself multiplies rows.
+    """
     n, good = F.count(F.lit(1)), F.count_if("found")
-    return rows.rollup("pair", "measurement").agg(
-        F.grouping_id().alias("level"), n.alias("n"), good.alias("improved"),
-        F.count_if("violation").alias("constraint_violations"), F.count_if("under_spent").alias("under_spent"),
-        F.count_distinct("tx_hash").alias("unique_tx"),
-        F.count_distinct(F.when(F.col("found"), F.col("tx_hash"))).alias("improved_tx"),
+    each = rows.groupBy("pair", "measurement", "tx_hash").agg(
+        n.alias("n"), good.alias("improved"), F.count_if("violation").alias("violations"), F.count_if("under_spent").alias("under")
+    )
+    known = F.col("tx_hash").isNotNull()  # a NULL hash is no transaction; its rows are one per pair and measurement
+    better = F.col("improved") > 0
+    order = [F.desc(better), F.asc_nulls_first("pair"), F.asc_nulls_first("measurement")]
+    everywhere = F.row_number().over(Window.partitionBy("tx_hash").orderBy(*order)) == 1
+    in_pair = F.row_number().over(Window.partitionBy("tx_hash", "pair").orderBy(F.desc(better), F.asc_nulls_first("measurement"))) == 1
+    marked = each.withColumns({"_t0": known, "_t1": known & in_pair, "_t3": known & everywhere, "_better": better})
+    # The marked row of a transaction is an improved one if it has any, so one mark serves both counts.
+    level = F.grouping_id()
+    at_level = lambda extra: F.when(level == 0, F.count_if(F.col("_t0") & extra)).when(
+        level == 1, F.count_if(F.col("_t1") & extra)).otherwise(F.count_if(F.col("_t3") & extra))
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    return marked.rollup("pair", "measurement").agg(
+        level.alias("level"), total("n").alias("n"), total("improved").alias("improved"),
+        total("violations").alias("constraint_violations"), total("under").alias("under_spent"),
+        at_level(F.lit(True)).alias("unique_tx"), at_level(F.col("_better")).alias("improved_tx"),
     )
 
 
@@ -412,20 +429,31 @@ def result_summary(results: DataFrame, by: list[str] | None = None) -> DataFrame
     gain = lambda g: L.number(d[g])
     compounding = F.col("improvement_type") == GAIN_COMPOUNDING
     explained = compounding & L.truth(F.col("amm_one_shot_diagnostic.explained_by_amm_one_shot"))
-    n, good = F.count(F.lit(1)), F.count_if(found)
-    return results.groupBy(*(by or [])).agg(
-        n.alias("measurement_count"), good.alias("improved_count"), (n - good).alias("unchanged_count"),
-        F.count_distinct(F.nullif("tx_hash", F.lit(""))).alias("unique_tx_count"),
-        F.count_distinct(F.when(found, F.nullif("tx_hash", F.lit("")))).alias("improved_tx_count"),
-        *[F.sum(gain(g).cast("double")).alias(g) for g in GAINS],
-        *[F.count_if(gain(g) > 0).alias(f"{g}_positive") for g in GAINS],
-        *[F.max(F.greatest(L.number(d[f"{g}_bps"]), _zero())).alias(f"{g}_max_bps") for g in GAINS],
-        F.count_if(explained).alias("compounding_explained"),
-        (F.count_if(compounding) - F.count_if(explained)).alias("compounding_unexplained"),
-        F.count_if(~claim.isin(*UNCERTIFIED_CLAIMS)).alias("certified_count"),
-        F.coalesce(F.sum(cert["certified_interval_count"]), F.lit(0)).alias("certified_intervals"),
-        F.coalesce(F.sum(cert["uncertified_interval_count"]), F.lit(0)).alias("uncertified_intervals"),
-        F.max(F.when(found, L.number(F.col("best.improvement_bps"))).otherwise(_zero())).alias("max_improvement_bps"),
+    by = by or []
+    counts = {
+        "measurement_count": F.count(F.lit(1)), "improved_count": F.count_if(found),
+        **{f"{g}_positive": F.count_if(gain(g) > 0) for g in GAINS},
+        "compounding_explained": F.count_if(explained), "_compounding": F.count_if(compounding),
+        "certified_count": F.count_if(~claim.isin(*UNCERTIFIED_CLAIMS)),
+        "certified_intervals": F.sum(cert["certified_interval_count"]), "uncertified_intervals": F.sum(cert["uncertified_interval_count"]),
+    }
+    sums = {g: F.sum(gain(g).cast("double")) for g in GAINS}
+    largest = {
+        **{f"{g}_max_bps": F.max(F.greatest(L.number(d[f"{g}_bps"]), _zero())) for g in GAINS},
+        "max_improvement_bps": F.max(F.when(found, L.number(F.col("best.improvement_bps"))).otherwise(_zero())),
+    }
+    # One row per transaction, then per group: distinct transactions are a count of rows.
+    each = results.groupBy(*by, F.nullif("tx_hash", F.lit("")).alias("_tx")).agg(*[c.alias(name) for name, c in {**counts, **sums, **largest}.items()])
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
+    out = each.groupBy(*by).agg(
+        *[total(name).alias(name) for name in counts], *[F.sum(name).alias(name) for name in sums], *[F.max(name).alias(name) for name in largest],
+        F.count("_tx").alias("unique_tx_count"), F.count_if(F.col("_tx").isNotNull() & (F.col("improved_count") > 0)).alias("improved_tx_count"),
+    )
+    return out.select(
+        *by, "measurement_count", "improved_count", (F.col("measurement_count") - F.col("improved_count")).alias("unchanged_count"),
+        "unique_tx_count", "improved_tx_count", *GAINS, *[f"{g}_positive" for g in GAINS], *[f"{g}_max_bps" for g in GAINS],
+        "compounding_explained", (F.col("_compounding") - F.col("compounding_explained")).alias("compounding_unexplained"),
+        "certified_count", "certified_intervals", "uncertified_intervals", "max_improvement_bps",
     )
 
 

@@ -24,9 +24,9 @@ def write_book(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> None:
-    """CSV with a header. ``single_file`` writes through one task and is meant for reports; it holds for any size."""
+    """CSV with a header. ``single_file`` is meant for reports: only the last step, the writing, is one task, whatever the size."""
     if single_file:
-        df = df.coalesce(1)
+        df = df.repartition(1)  # coalesce(1) would run the whole plan before it in that task
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -48,7 +48,7 @@ def write_manifest(
     df.observe(seen, *[c.alias(name) for name, c in metrics.items()]).write.mode("overwrite").parquet(path)
     payload = {**(facts or {}), **seen.get}
     row = df.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in payload.items()])
-    row.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_manifest")
+    row.repartition(1).write.mode("overwrite").json(f"{path.rstrip('/')}_manifest")
     return payload
 
 
