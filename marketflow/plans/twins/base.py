@@ -113,11 +113,45 @@ def book_shards(spark, root):
     """Snapshots written in ledger buckets, then one range read back."""
     path = scratch(spark)
     book = book_rows(spark, root).filter("ledger_index >= 0")
-    bucketed = book.select("ledger_index", "side", F.array(F.struct("offer_id", "account")).alias("offers"))
+    bucketed = book.select("ledger_index", "side", F.array(F.struct(F.col("offer_id").alias("index"), F.col("account").alias("Account"))).alias("offers"))
     W.write_book(bucketed, path)
-    last = 10_000
-    back = R.in_ledger_range(spark.read.parquet(path), 100, last)
-    return back.select("ledger_index", "side", F.inline("offers"))
+    back = R.read_book(spark, path, 100, 10_000)
+    return back.select("ledger_index", "side", F.inline("offers")).select("ledger_index", "side", F.col("index").alias("offer_id"), F.col("Account").alias("account"))
+
+
+def tick_size_scan(spark, root):
+    """Tick sizes written as one JSON map per ledger file, nested or flat by turns, and read back; a removed size stays as NULL."""
+    o = D.orders(spark, root).filter("c % 97 < 10")
+    size = F.when(F.col("c") % 3 == 0, F.lit(None)).otherwise(3 + F.col("c") % 13).cast("int")
+    rows = o.select(D.div("k", 10).alias("ledger_index"), D.tagged("I", F.col("u") % 3).alias("account"), "k", size.alias("tick_size"))
+    rows = rows.groupBy("ledger_index", "account").agg(F.max_by("tick_size", "k").alias("tick_size"))
+    sizes = rows.groupBy("ledger_index").agg(F.map_from_entries(F.collect_list(F.struct("account", "tick_size"))).alias("sizes"))  # a ledger has few
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    nested = F.concat(F.lit('{"tick_sizes": '), text(F.col("sizes")), F.lit("}"))
+    files = sizes.select("ledger_index", F.when(F.col("ledger_index") % 2 == 0, nested).otherwise(text(F.col("sizes"))).alias("value"))
+    path = scratch(spark)
+    files.repartition("ledger_index").write.partitionBy("ledger_index").text(path)
+    return plain(R.read_tick_sizes(spark, path))
+
+
+def pair_scan(spark, root):
+    """Pair configurations, one file per counter asset, written as JSON and read back; windows and counters come from the file level."""
+    o = D.orders(spark, root).groupBy("u").agg(F.min("k").alias("low"), F.max("k").alias("high"))
+    own = F.col("u") % 3 == 0
+    pair = F.struct(
+        F.concat(F.lit("p"), "u").alias("pair"), F.when(F.col("u") % 2 == 0, F.concat(F.lit("T"), "u", F.lit("/XRP"))).alias("pair_label"),
+        D.tagged("T", F.col("u")).alias("base_label"), D.tagged("T", F.col("u")).alias("base_currency"),
+        F.when(F.col("u") % 5 != 0, D.tagged("I", F.col("u"))).alias("base_issuer"), F.when(own, F.col("low")).alias("ledger_start"),
+        F.when(own, F.col("high")).alias("ledger_end"), F.when(F.col("u") % 7 == 0, F.lit("whole")).alias("window"),
+    )
+    # One configuration per hundred accounts, so a file's list is bounded.
+    groups = o.groupBy(D.div("u", 100).alias("g")).agg(F.collect_list(pair).alias("pairs"))
+    config = groups.select("g", F.to_json(F.struct((F.col("g") * 10).alias("ledger_start"), (F.col("g") * 10 + 9).alias("ledger_end"),
+                                              F.lit("XRP").alias("counter_currency"), "pairs")).alias("value"))
+    path = scratch(spark)
+    config.repartition("g").write.partitionBy("g").text(path)
+    back = R.read_pairs(spark, path)
+    return plain(back.select("pair", "pair_key", "base_issuer", "counter_currency", "counter_issuer", "ledger_start", "ledger_end", "window"))
 
 
 def merge_shards(spark, root):
@@ -225,6 +259,10 @@ TWINS = {
     "json_round_trip": (json_round_trip, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"),
     "sorted_write": (sorted_write, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey"),
     "book_shards": (book_shards, sql(BOOK, "SELECT li ledger_index, side, offer_id, account FROM bk WHERE li BETWEEN 100 AND 10000")),
+    "tick_size_scan": (tick_size_scan, sql(ORDERS, "SELECT k // 10 ledger_index, 'I' || (u % 3) account, CAST((max(struct_pack(k := k, sz := CASE WHEN c % 3 = 0 THEN NULL ELSE 3 + c % 13 END))).sz AS BIGINT) tick_size FROM o WHERE c % 97 < 10 GROUP BY 1, 2")),
+    "pair_scan": (pair_scan, sql(ORDERS, "SELECT 'p' || u pair, CASE WHEN u % 2 = 0 THEN 'T' || u || '_XRP' ELSE 'p' || u END pair_key, CASE WHEN u % 5 <> 0 THEN 'I' || u ELSE '' END base_issuer, 'XRP' counter_currency, '' counter_issuer, "
+                              "st ledger_start, en ledger_end, CASE WHEN u % 7 = 0 THEN 'whole' ELSE 'ledger_' || st || '_' || en END AS \"window\" "
+                              "FROM (SELECT u, CASE WHEN u % 3 = 0 THEN min(k) ELSE u // 100 * 10 END st, CASE WHEN u % 3 = 0 THEN max(k) ELSE u // 100 * 10 + 9 END en FROM o GROUP BY u)")),
     "merge_shards": (merge_shards, sql(SWAPS, "SELECT tx tx_hash, li ledger_index, ti transaction_index FROM sw WHERE li IN (SELECT k // 10 FROM o WHERE c % 4 = 0)")),
     "manifest": (manifest, sql(SWAPS, "SELECT count(*) AS rows, min(li) ledger_min, max(li) ledger_max FROM sw")),
     "quarantine": (quarantine, "SELECT CASE WHEN NOT coalesce(value >= 1, false) THEN 'small_value' WHEN event_type = 'error' THEN 'odd_kind' "

@@ -12,11 +12,12 @@ from marketflow.plans.twins.results import rows as result_rows
 from marketflow.streaming import jobs as J
 
 
-def _stream(spark, df):
-    """Rows landed as files and read back as a stream."""
+def _stream(spark, df, files_per_batch: int | None = None):
+    """Rows landed as files and read back as a stream, optionally a few files at a time."""
     folder = scratch(spark)
     df.write.parquet(folder)
-    return spark.readStream.schema(df.schema).parquet(folder)
+    reader = spark.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
 def _finish(spark, df, mode="append"):
@@ -31,13 +32,13 @@ def _events(spark, root):
 
 
 def stream_ingest(spark, root):
-    """Good events twice, some without a key and some years old; each lands once and every failure is kept."""
+    """Good events twice, some without a key and some years old, in several batches; each lands once and every failure is kept."""
     copies = F.when(F.col("value") >= 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     events = _events(spark, root).withColumn("ts", F.when(F.col("event_id") % 5 == 0, F.col("ts") - F.expr("interval 9 years")).otherwise(F.col("ts")))
-    twice = events.withColumn("copy", F.explode(copies)).drop("copy")
+    twice = events.withColumn("copy", F.explode(copies)).repartition(6, "copy", "event_id").drop("copy")  # copies meet in different files
     twice = twice.withColumn("event_id", F.when((F.col("value") < 1) & (F.col("event_id") % 2 == 0), F.lit(None)).otherwise(F.col("event_id")))
     landed, rejected = scratch(spark), scratch(spark)
-    J.stream_ingest(_stream(spark, twice), landed, rejected, scratch(spark), key="event_id", valid="value >= 1").awaitTermination()
+    J.stream_ingest(_stream(spark, twice, 2), landed, rejected, scratch(spark), key="event_id", valid="value >= 1").awaitTermination()
     good = spark.read.parquet(landed).withColumn("status", F.lit("ok"))
     bad = spark.read.parquet(rejected).withColumn("status", F.lit("rejected"))
     return good.unionByName(bad).groupBy("event_type", "status").agg(F.count(F.lit(1)).alias("n"))

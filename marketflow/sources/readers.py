@@ -142,12 +142,15 @@ def read_ledger_list(spark: SparkSession, path: str) -> DataFrame:
 def read_tick_sizes(spark: SparkSession, path: str) -> DataFrame:
     """One JSON map per ledger file as (ledger_index, account, tick_size); a NULL size is a value.
 
+    The ledger is the number before ``.json`` in the file's name, or that of its folder ``ledger_index=N``.
+
     A file that is no JSON map fails the job: without its ledger an as-of lookup would fall back to older sizes.
     """
     raw = spark.read.option("wholetext", True).text(path)
     nested = F.from_json("value", "tick_sizes map<string,int>")["tick_sizes"]
     flat = F.from_json("value", "map<string,int>")
-    ledger = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)\.json$", 1).cast("bigint")
+    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("bigint")
+    ledger = F.coalesce(number(r"(\d+)\.json$"), number(r"ledger_index=(\d+)/[^/]+$"))
     broken = F.raise_error(F.concat(F.lit("unreadable tick sizes: "), F.col("_metadata.file_path"))).cast("map<string,int>")
     return raw.select(ledger.alias("ledger_index"), F.explode(F.coalesce(nested, flat, broken)).alias("account", "tick_size"))
 

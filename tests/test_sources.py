@@ -106,3 +106,33 @@ def test_book_range_reads_only_its_buckets(spark, tmp_path):
     part = R.in_ledger_range(spark.read.parquet(str(tmp_path / "b")), 12_000, 28_000)
     assert sorted(r["ledger_index"] for r in part.collect()) == [12_000, 16_000, 20_000, 24_000, 28_000]
     assert "PartitionFilters: [isnotnull(ledger_bucket" in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_book_range_reads_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "book")
+    rows = spark.range(0, 50_000, 500).select(F.col("id").alias("ledger_index"), F.lit("s").alias("side"), F.array(F.struct(F.lit("o").alias("index"))).alias("offers"))
+    W.write_book(rows, path)
+
+    def files_read(df):
+        found = {r["ledger_index"] for r in df.collect()}
+        leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return found, leaf.metrics().apply("numFiles").value()
+
+    everything, all_files = files_read(R.read_book(spark, path, 0, 49_999))
+    part, few_files = files_read(R.read_book(spark, path, 12_000, 18_000))
+    assert everything == set(range(0, 50_000, 500)) and part == set(range(12_000, 18_001, 500))
+    assert all_files >= 5 and few_files <= all_files - 4
+
+
+def test_tick_sizes_in_ledger_folders(spark, tmp_path):
+    sizes = spark.createDataFrame([(10, '{"A": 5}'), (11, '{"tick_sizes": {"A": null}}')], "ledger_index bigint, value string")
+    sizes.write.partitionBy("ledger_index").text(str(tmp_path / "ticks"))
+    assert sorted(tuple(r) for r in R.read_tick_sizes(spark, str(tmp_path / "ticks")).collect()) == [(10, "A", 5), (11, "A", None)]
+    spark.createDataFrame([(12, "{broken")], "ledger_index bigint, value string").write.mode("append").partitionBy("ledger_index").text(str(tmp_path / "ticks"))
+    with pytest.raises(Exception, match="unreadable tick sizes"):
+        R.read_tick_sizes(spark, str(tmp_path / "ticks")).collect()
+
+
+def test_single_file_output_is_one_file(spark, tmp_path):
+    W.write_csv(spark.range(1000).repartition(5), str(tmp_path / "one"), single_file=True)
+    assert len(list((tmp_path / "one").glob("part-*.csv"))) == 1 and R.read_delimited(spark, str(tmp_path / "one")).count() == 1000
