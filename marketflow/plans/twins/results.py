@@ -66,7 +66,7 @@ def mechanism_counts(spark, root):
 
 def submitted_fields(spark, root):
     kept = _kept(spark, root).withColumn("tx_hash", F.regexp_replace("tx_hash", "^R", "A"))
-    return plain(SF.submitted_fields(kept, D.metadata(spark, root)), WEIGHT)
+    return plain(SF.submitted_fields(kept, D.metadata_heads(spark, root)), WEIGHT)
 
 
 def corrected_types(spark, root):
