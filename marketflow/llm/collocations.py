@@ -37,9 +37,9 @@ WORD_BYTES = 4
 BURST = 16_384  # entries of a container
 SHARE = 64  # a word with more than 1 / SHARE of a bursting container gets a child
 DEEPEST = 3  # levels of nodes: language, first and second word
-HELD_ENTRIES = 1_200_000  # entries of a task's trie before subtrees leave
+HELD_ENTRIES = 900_000  # entries of a task's trie before subtrees leave
 HELD_WORDS = 500_000  # words of a task's dictionary
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20  # a block of short words takes about forty times its text while it is counted
 MIN_BITS, MAX_BITS, BITS_PER_PAIR, PROBES = 1 << 16, 1 << 28, 16, 3
 RUN_ROWS = 65_536
 

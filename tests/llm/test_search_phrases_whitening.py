@@ -259,3 +259,19 @@ def test_whitening_without_rows_or_variance(spark):
     flat = [(i, [float(i % 2), 1.0, 2.0 * (i % 2)], 0) for i in range(10)]
     got = whitening.whiten(spark.createDataFrame(flat, VECTORS)).collect()
     assert {r.component for r in got} == {1} and {round(abs(r.whitened), 9) for r in got} == {1.0}
+
+
+def test_a_block_of_short_words_stays_small():
+    """Very frequent short words: a block's arrays stay far below a worker's share of memory."""
+    import tracemalloc
+
+    from marketflow.llm import collocations
+
+    text = "a bc " * (collocations.BLOCK_BYTES // 5)
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([text]), "lang": pa.array(["en"])})
+    tracemalloc.start()
+    try:
+        list(collocations.Counter(1, 2, None).read(batch))
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
