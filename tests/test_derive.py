@@ -2,6 +2,7 @@
 
 import pytest
 
+from marketflow.operators import legs
 from marketflow.plans import churn, derive
 from marketflow.sources.readers import parse_metadata, read_metadata
 
@@ -34,3 +35,14 @@ def test_unreadable_text_stops_the_job(spark):
     assert parse_metadata(bad, "value").first()["result"] is None
     with pytest.raises(Exception, match="(?i)malformed"):
         parse_metadata(bad, "value", on_bad="fail").collect()
+
+
+def test_legs_are_shuffled_without_their_order_keys(spark):
+    """What orders a leg repeats its amounts: it is made of the gathered legs, not gathered."""
+    end = "struct<units: decimal(38,0), exponent: int>"
+    side = f"struct<units: decimal(38,0), exponent: int, pre: {end}, post: {end}, state_change: string, state_source: string>"
+    model = spark.createDataFrame([], f"tx_hash string, src string, source_id string, leg_no int, out {end}, `in` {end}")
+    real = spark.createDataFrame([], f"tx_hash string, src string, source_id string, owner string, out {side}, `in` {side}")
+    for arrays in (legs._model_arrays(model), legs._real_arrays(real)):
+        first, below = arrays._jdf.queryExecution().optimizedPlan().toString().split("\n", 1)
+        assert "collect_list(_l#" in first and "place, struct(" in first and "place, struct(" not in below
