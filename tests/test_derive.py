@@ -1,5 +1,7 @@
 """Derived records: the columns equal the text they stand for, and queries write no text."""
 
+from decimal import Decimal
+
 import pytest
 
 from marketflow.operators import legs
@@ -46,3 +48,23 @@ def test_legs_are_shuffled_without_their_order_keys(spark):
     for arrays in (legs._model_arrays(model), legs._real_arrays(real)):
         first, below = arrays._jdf.queryExecution().optimizedPlan().toString().split("\n", 1)
         assert "collect_list(_l#" in first and "place, struct(" in first and "place, struct(" not in below
+
+
+@pytest.mark.parametrize("read", [legs.real_offer_legs, legs.real_pool_legs, legs.source_funds])
+def test_records_with_their_intents_need_no_join(spark, read, monkeypatch):
+    joined = read(derive.metadata(spark, ROOT), derive.intents(spark, ROOT))
+    monkeypatch.setattr(derive, "_LANDED", {})
+    beside = read(derive.records(spark, ROOT))
+    plan = beside._jdf.queryExecution().optimizedPlan().toString()
+    # The orders are dealt out once; no record, offer or line is shuffled or landed.
+    assert "Join " not in plan and plan.count("RepartitionByExpression") == 1 and derive._LANDED == {}
+    assert beside.count() > 0 and beside.exceptAll(joined).isEmpty() and joined.exceptAll(beside).isEmpty()
+
+
+def test_leg_totals_shuffle_once(spark):
+    side = "struct<units: decimal(38,0), exponent: int>"
+    of = lambda units, exponent: (Decimal(units), exponent)
+    rows = spark.createDataFrame([("T0", of(5, 0), of(2, 1)), ("T0", of(1, 0), of(3, 0)), ("T1", of(4, 0), None)], f"tx_hash string, out {side}, `in` {side}")
+    totals = legs.leg_totals(rows, "out", "in")
+    assert totals._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, totals.collect())) == [("T0", 6.0, 23.0), ("T1", 4.0, None)]
