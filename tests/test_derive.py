@@ -3,6 +3,7 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketflow.operators import legs
 from marketflow.plans import churn, derive
@@ -68,3 +69,25 @@ def test_leg_totals_shuffle_once(spark):
     totals = legs.leg_totals(rows, "out", "in")
     assert totals._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, totals.collect())) == [("T0", 6.0, 23.0), ("T1", 4.0, None)]
+
+
+def test_comparison_exchanges_only_orders(spark, monkeypatch):
+    """Orders are dealt out by transaction before they grow; no leg, target or balance is shuffled or landed."""
+    monkeypatch.setattr(derive, "_LANDED", {})
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = derive._compared(spark, ROOT)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange ") == plan.count("REPARTITION_BY_NUM") > 0
+    assert derive._LANDED == {}
+
+
+def test_records_dealt_out_by_transaction_keep_their_ids(spark, monkeypatch):
+    monkeypatch.setattr(derive, "DEALT_ROWS", 100)
+    ids = ["tx_hash", "ledger_index", "transaction_index"]
+    dealt = derive._metadata(spark, ROOT, nodes=False, by_tx=True)
+    assert dealt.rdd.getNumPartitions() == 15
+    assert dealt.select(*ids).exceptAll(derive.metadata_heads(spark, ROOT).select(*ids)).isEmpty()
+    assert dealt.count() == 1500 and dealt.filter(F.col("tx_hash") != F.upper("result.hash")).isEmpty()
