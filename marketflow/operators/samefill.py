@@ -90,6 +90,11 @@ def weighted_bps(df: DataFrame, by: list[str]) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, _zero()) for c in ("positive_median_bps", "positive_p95_bps")})
 
 
+def rated(scoped: DataFrame) -> DataFrame:
+    """Rows in scope as keys, size and weights: a filter that joins them need not shuffle their nested fills."""
+    return with_weights(scoped).select("pair", "side", "tx_hash", "fixed_size", "improved", "weight_num", "weight_den", "bps")
+
+
 def dust_thresholds(scoped: DataFrame, quantile: float = 0.05) -> DataFrame:
     """Size threshold per (pair, side), interpolated."""
     return percentile_linear(scoped, ["pair", "side"], "fixed_size", {"dust_size": quantile}).drop("n_values")
@@ -207,18 +212,20 @@ def submitted_labels(result: Column) -> Column:
     return F.when(kind == "PAYMENT", payment).when(kind == "OFFERCREATE", offer)
 
 
-def submitted_fields(kept: DataFrame, meta: DataFrame) -> DataFrame:
-    """Weighted improvement per submitted-field label: first per transaction, then per label.
-
-    Rows combine to one per transaction before they meet the metadata and fan out.
-    """
-    per_tx = with_weights(kept).groupBy("pair", "tx_hash").agg(
+def submitted_transactions(kept: DataFrame, meta: DataFrame) -> DataFrame:
+    """Improvement and submitted-field labels, one row per (pair, transaction). Rows of :func:`rated` have their weights."""
+    per_tx = (kept if "weight_num" in kept.columns else with_weights(kept)).groupBy("pair", "tx_hash").agg(
         F.bool_or("improved").alias("improved"), F.sum("weight_num").alias("weight_num"),
         F.sum("weight_den").alias("weight_den"), F.greatest(F.max("bps"), _zero()).alias("max_bps"),
     )
     kind = F.when(F.upper("result.TransactionType") == "PAYMENT", "Payment").otherwise("OfferCreate")
     fields = meta.select("tx_hash", kind.alias("tx_type"), submitted_labels(F.col("result")).alias("labels")).filter("labels is not null")
-    rows = per_tx.join(fields, "tx_hash").select("tx_type", F.explode("labels").alias("field"), "improved", "weight_num", "weight_den", "max_bps")
+    return per_tx.join(fields, "tx_hash").select("tx_type", "labels", "improved", "weight_num", "weight_den", "max_bps")
+
+
+def submitted_fields(transactions: DataFrame) -> DataFrame:
+    """Weighted improvement per label of :func:`submitted_transactions`, which is read three times: once written, it is made once."""
+    rows = transactions.select("tx_type", F.explode("labels").alias("field"), "improved", "weight_num", "weight_den", "max_bps")
     n, good = F.count(F.lit(1)), F.count_if("improved")
     base = rows.groupBy("tx_type", "field").agg(
         n.alias("transactions"), good.alias("improved_transactions"), S.ratio(good, n).alias("improved_rate"),

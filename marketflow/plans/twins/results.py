@@ -64,9 +64,18 @@ def mechanism_counts(spark, root):
     return SF.mechanism_counts(_kept(spark, root), ["pair"])
 
 
+def _rated(spark, root):
+    return SF.rated(SF.same_fill_scope(D.results(spark, root)))
+
+
+def _submitted(spark, root):
+    scoped = D.landed(spark, root, "rated", _rated)
+    kept = SF.dust_filter(scoped, SF.dust_thresholds(scoped)).withColumn("tx_hash", F.regexp_replace("tx_hash", "^R", "A"))
+    return SF.submitted_transactions(kept, D.metadata_heads(spark, root))
+
+
 def submitted_fields(spark, root):
-    kept = _kept(spark, root).withColumn("tx_hash", F.regexp_replace("tx_hash", "^R", "A"))
-    return plain(SF.submitted_fields(kept, D.metadata_heads(spark, root)), WEIGHT)
+    return plain(SF.submitted_fields(D.landed(spark, root, "submitted", _submitted)), WEIGHT)
 
 
 def corrected_types(spark, root):

@@ -46,3 +46,22 @@ def test_result_totals_count_transactions_without_expand(spark):
     assert "Expand" not in plan(out)
     empty = SF.result_summary(frame.limit(0)).collect()
     assert [(r["measurement_count"], r["unique_tx_count"], r["total_gain"]) for r in empty] == [(0, 0, None)]
+
+
+def test_submitted_fields_land_narrow_rows_only(spark, monkeypatch):
+    """Fills are not landed whole, and what the summary reads several times is landed."""
+    from marketflow.plans import derive
+    from marketflow.plans.twins import results
+
+    root = "/root/testdata/sf0.001"
+    monkeypatch.setattr(derive, "_LANDED", {})
+    got = results.submitted_fields(spark, root)
+    assert sorted(name for _, _, name in derive._LANDED) == ["rated", "submitted"]
+    assert all("counterfactual_comparison" not in spark.read.parquet(folder).columns for folder in derive._LANDED.values())
+    text = plan(got)
+    assert "Relation [tx_type#" in text and text.count("Relation [") == text.count("Relation [tx_type#")
+    # The same rows from whole fills, filtered before they are weighed.
+    kept = results._kept(spark, root).withColumn("tx_hash", results.F.regexp_replace("tx_hash", "^R", "A"))
+    whole = SF.submitted_transactions(kept, derive.metadata_heads(spark, root))
+    landed = spark.read.parquet(next(f for (_, _, n), f in derive._LANDED.items() if n == "submitted"))
+    assert landed.count() > 0 and landed.exceptAll(whole).isEmpty() and whole.exceptAll(landed).isEmpty()
