@@ -65,3 +65,28 @@ def test_submitted_fields_land_narrow_rows_only(spark, monkeypatch):
     whole = SF.submitted_transactions(kept, derive.metadata_heads(spark, root))
     landed = spark.read.parquet(next(f for (_, _, n), f in derive._LANDED.items() if n == "submitted"))
     assert landed.count() > 0 and landed.exceptAll(whole).isEmpty() and whole.exceptAll(landed).isEmpty()
+
+
+def test_rate_ranges_list_every_change_of_an_issuer(spark):
+    from marketflow.operators import temporal as TP
+
+    targets = spark.createDataFrame([(10,), (20,)], "ledger_index bigint")
+    # A: set before, to the same rate, anew twice in one ledger, taken away, after the window; B: before only; C: never; E: not asked for.
+    settings = [("A", 9, 0, "s", 5), ("A", 10, 3, "t", 5), ("A", 12, 1, "u", 7), ("A", 12, 4, "v", 8), ("A", 20, 2, "w", 0), ("A", 21, 0, "x", 9), ("B", 3, 0, "y", 6), ("E", 11, 0, "z", 4)]
+    changes = spark.createDataFrame(settings, "issuer string, ledger_index bigint, transaction_index bigint, tx_hash string, transfer_rate bigint")
+    issuers = spark.createDataFrame([("A",), ("B",), ("C",), ("A",), (None,)], "issuer string")
+    one, names = 1_000_000_000, ["issuer", "first_ledger", "first_index", "last_ledger", "last_index", "tx_hash", "n_changes", "status", "transfer_rate"]
+    want = [
+        ("A", 10, -1, 12, 1, None, 4, "changed_inside", 5), ("A", 12, 1, 12, 4, "u", 4, "changed_inside", 7), ("A", 12, 4, 20, 2, "v", 4, "changed_inside", 8),
+        ("A", 20, 2, 20, None, "w", 4, "changed_inside", one), ("B", 10, -1, 20, None, None, 0, "single", 6), ("C", 10, -1, 20, None, None, 0, "single", one)]
+    rates = TP.bound_rates(issuers, changes, TP.ledger_bounds(targets))
+    assert sorted(tuple(r) for r in rates.collect()) == [("A", 5, one), ("B", 6, 6), ("C", one, one)]
+    got = lambda: sorted((tuple(r) for r in TP.rate_ranges(targets, changes, rates).select(*names).collect()), key=lambda t: t[:3])
+    assert got() == want
+    spark.conf.set("spark.marketflow.maxGroupRows", "3")
+    try:
+        assert got() == want
+    finally:
+        spark.conf.unset("spark.marketflow.maxGroupRows")
+    differing = TP.rate_ranges(targets, changes, spark.createDataFrame([("B", 6, 7)], "issuer string, start_rate bigint, end_rate bigint"))
+    assert [tuple(r) for r in differing.select(*names).collect()] == [("B", 10, -1, 20, None, None, 0, "ends_differ", None)]
