@@ -136,3 +136,25 @@ def test_tick_sizes_in_ledger_folders(spark, tmp_path):
 def test_single_file_output_is_one_file(spark, tmp_path):
     W.write_csv(spark.range(1000).repartition(5), str(tmp_path / "one"), single_file=True)
     assert len(list((tmp_path / "one").glob("part-*.csv"))) == 1 and R.read_delimited(spark, str(tmp_path / "one")).count() == 1000
+
+
+def test_packed_tick_sizes_read_as_files_do_and_are_few(spark, tmp_path):
+    maps = spark.range(300).selectExpr("id ledger_index", """if(id % 2 = 0, concat('{"tick_sizes":\n {"A": ', id % 9, ', "B": null}}'), '{"A\\\\t": 5}') value""").repartition(3)
+    W.write_tick_sizes(maps, str(tmp_path / "packed"))
+    maps.filter("ledger_index < 20").write.partitionBy("ledger_index").option("lineSep", "\x01").text(str(tmp_path / "single"))
+    packed = R.read_packed_tick_sizes(spark, str(tmp_path / "packed"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert len(list((tmp_path / "packed").glob("part-*"))) == 3 and packed.count() == 450
+    assert rows(packed.filter("ledger_index < 20"))[:2] == [(0, "A", 0), (0, "B", None)] and ("A\t") in {r["account"] for r in packed.collect()}
+    for bad in ("12\t{broken", '{"A": 5}', 'x\t{"A": 5}'):
+        lines(tmp_path / "bad.txt", [bad])
+        with pytest.raises(Exception, match="unreadable tick sizes"):
+            R.read_packed_tick_sizes(spark, str(tmp_path / "bad.txt")).collect()
+
+
+def test_tick_size_scan_writes_no_file_per_ledger(spark, tmp_path, monkeypatch):
+    from marketflow.plans.twins import base
+
+    monkeypatch.setattr(base, "scratch", lambda spark: str(tmp_path / "ticks"))
+    found = base.tick_size_scan(spark, "/root/testdata/sf0.001")
+    assert found.select("ledger_index").distinct().count() > 50 and len(list((tmp_path / "ticks").rglob("part-*"))) <= 8
