@@ -95,3 +95,17 @@ def test_digits_behind_the_half_round_up(spark):
     exact = "1000000000000000" + "5" + "0" * 22
     rows = spark.createDataFrame([(text,), (exact,)], "t string").select(F.expr(canonical_sql("t")).alias("n")).collect()
     assert [int(r["n"]["units"]) for r in rows] == [1000000000000001, 1000000000000000]
+
+
+def test_steps_give_what_nested_expressions_give(spark):
+    texts = ["0", "-0", "1", "-12.5", "0.1", "123456789012345678", "1234567890123456.5", "1234567890123455.5", "9999999999999999.5", "1e20", "-7e-20", "1e-90", "1e99", "x", "", "1" * 45]
+    raws = [*texts, *[f'{{"currency":"T","issuer":"i","value":"{t}"}}' for t in texts], '{"currency":"T"}', "{broken", None]
+    df = spark.createDataFrame([(i, a, b) for i, a in enumerate(raws) for b in raws], "i int, a string, b string")
+    nested = df.withColumns({"x": A.parse_amount("a"), "y": A.parse_amount("b")})
+    steps = A.parsed(df, {"x": "a", "y": "b"})
+    assert steps.columns == nested.columns and steps.schema["x"].dataType.simpleString() == nested.schema["x"].dataType.simpleString()
+    assert "lambda" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    native = "x.currency = 'XRP' and y.currency = 'XRP'"
+    nested = nested.withColumn("z", A.signed_sum("x", "y", -1, native))
+    steps = A.summed(steps, {"z": ("x", "y", -1, native)})
+    assert sorted(map(tuple, steps.collect()), key=repr) == sorted(map(tuple, nested.collect()), key=repr)
